@@ -14,6 +14,7 @@ Line key (unique per lineitem row):
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ class Warehouse:
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("category"),
             F.col("p_brand").alias("brand"),
-            (F.col("p_retailprice").cast("decimal(12,2)") * F.lit(0.6)).cast("decimal(12,2)").alias("unit_cost"),
+            (F.col("p_retailprice").cast("decimal(12,2)") * F.lit(Decimal("0.6"))).cast("decimal(12,2)").alias("unit_cost"),
             F.col("p_retailprice").cast("decimal(12,2)").alias("unit_price"))
 
     def dim_locations(self) -> DataFrame:
@@ -284,7 +285,8 @@ class Warehouse:
             F.when(F.col("l_returnflag") == "R",
                    F.floor((qty - F.col("l_orderkey") % 2) / 10).cast("int")).otherwise(F.lit(0))
              .alias("defect_quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity") * F.lit(0.6)).cast("decimal(12,2)").alias("unit_cost"),
+            (F.col("l_extendedprice") / F.col("l_quantity") * F.lit(0.6)).cast("decimal(38,9)").cast("decimal(12,2)")
+             .alias("unit_cost"),
             F.when(u, "placed").when(F.col("l_linestatus") == "F", "received").otherwise("closed")
              .alias("status"))
 
@@ -300,7 +302,7 @@ class Warehouse:
                .agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("q"),
                     F.max("p_size").alias("size"), F.max("p_retailprice").alias("price")))
         on_hand = (F.col("size") * 4 + F.col("q") % 50).cast("int")
-        unit_cost = (F.col("price").cast("decimal(12,2)") * F.lit(0.6)).cast("decimal(12,2)")
+        unit_cost = (F.col("price").cast("decimal(12,2)") * F.lit(Decimal("0.6"))).cast("decimal(12,2)")
         rop = ((F.col("product_id") * 13) % 150).cast("int")
         return (g.select(
             F.concat_ws("-", "product_id", "location_id", "snapshot_date").alias("snapshot_id"),
@@ -358,7 +360,8 @@ class Warehouse:
                          .alias("actual_delivery_date"),
                         qty.alias("shipped_quantity"),
                         F.when(u, F.lit(0)).otherwise(qty).alias("delivered_quantity"),
-                        (F.col("l_extendedprice") * F.lit(0.02)).cast("decimal(12,2)").alias("freight_cost"),
+                        (F.col("l_extendedprice").cast("decimal(12,2)") * F.lit(Decimal("0.02"))).cast("decimal(12,2)")
+                         .alias("freight_cost"),
                         (100 + (F.col("l_orderkey") % 50) * 10).cast("decimal(10,2)").alias("distance_km"),
                         F.when(u, "in_transit").otherwise("delivered").alias("status")))
         from kestrel.functions.columns import date_diff_floor0, is_delayed
@@ -430,8 +433,9 @@ class Warehouse:
         scored = g.select("supplier_id", "score_date", delivery.alias("delivery_score"),
                           quality.alias("quality_score"), cost.alias("cost_score"),
                           reliability.alias("reliability_score"))
-        overall = d5(F.round(F.col("quality_score") * F.lit(0.30) + F.col("delivery_score") * F.lit(0.25)
-                             + F.col("cost_score") * F.lit(0.25) + F.col("reliability_score") * F.lit(0.20), 2))
+        w = lambda x: F.lit(Decimal(x))
+        overall = d5(F.round(F.col("quality_score") * w("0.30") + F.col("delivery_score") * w("0.25")
+                             + F.col("cost_score") * w("0.25") + F.col("reliability_score") * w("0.20"), 2))
         return (scored.withColumn("overall_score", overall)
                 .withColumn("risk_tier", F.when(F.col("overall_score") <= 40, "high")
                             .when(F.col("overall_score") <= 70, "medium").otherwise("low"))
@@ -441,14 +445,16 @@ class Warehouse:
         """Rule-scored prediction per shipment; carrier 0 also has an older one."""
         sh = self.fact_shipments()
         lead = F.datediff("expected_delivery_date", "ship_date")
-        prob = (F.when(lead <= 2, F.lit(0.75) + F.least(F.col("freight_cost").cast("double") / 200.0, F.lit(0.20)))
-                .when(lead >= 5, F.lit(0.12)).otherwise(F.lit(0.38)))
+        # decimal arithmetic end to end: exact in every engine
+        prob = (F.when(lead <= 2, F.lit(Decimal("0.75"))
+                       + F.least(F.col("freight_cost") * F.lit(Decimal("0.005")), F.lit(Decimal("0.20"))))
+                .when(lead >= 5, F.lit(Decimal("0.12"))).otherwise(F.lit(Decimal("0.38"))))
         cur = sh.select("shipment_id", prob.cast("decimal(5,4)").alias("predicted_delay_probability"),
                         F.lit(None).cast("decimal(8,2)").alias("predicted_delay_days"),
                         F.when(prob >= 0.7, "high").when(prob >= 0.3, "medium").otherwise("low").alias("risk_level"),
                         F.col("ship_date").cast("timestamp").alias("created_at"))
         old = (sh.where(F.col("carrier_id") == 0)
-                 .select("shipment_id", F.lit(0.5).cast("decimal(5,4)").alias("predicted_delay_probability"),
+                 .select("shipment_id", F.lit(Decimal("0.5")).cast("decimal(5,4)").alias("predicted_delay_probability"),
                          F.lit(None).cast("decimal(8,2)").alias("predicted_delay_days"),
                          F.lit("medium").alias("risk_level"),
                          F.date_sub("ship_date", 1).cast("timestamp").alias("created_at")))

@@ -114,7 +114,7 @@ VIEWS["dim_products"] = ([], """
   from part""")
 
 VIEWS["dim_locations"] = (["geo"], """
-  select n_nationkey as location_id, 'LOC-' || cast(n_nationkey as varchar) as location_code,
+  select cast(n_nationkey as bigint) as location_id, 'LOC-' || cast(n_nationkey as varchar) as location_code,
          n_name as location_name,
          case when n_nationkey % 2 = 0 then 'warehouse' else 'distribution_center' end as location_type,
          r_name as region
@@ -161,7 +161,7 @@ VIEWS["b_inv"] = ([], """
     cast(cast(size * 4 + q % 50 as integer) * cast(cast(price as decimal(12,2)) * 0.6 as decimal(12,2))
          as decimal(14,2)) as inventory_value
   from (
-    select l_partkey as product_id, s_nationkey as location_id,
+    select l_partkey as product_id, cast(s_nationkey as bigint) as location_id,
            cast(date_trunc('month', l_shipdate) as date) as snapshot_date,
            cast(sum(cast(l_quantity as integer)) as integer) as q,
            max(p_size) as size, max(p_retailprice) as price
@@ -173,7 +173,7 @@ VIEWS["b_dem"] = ([], """
          q - q % 5 as quantity_sold, q % 5 as lost_sales_quantity, revenue
   from (
     select cast(o_orderdate as date) as demand_date, l_partkey as product_id,
-           c_nationkey as location_id,
+           cast(c_nationkey as bigint) as location_id,
            cast(sum(cast(l_quantity as integer)) as integer) as q,
            sum(cast(l_extendedprice as decimal(14,2))) as revenue
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
@@ -187,7 +187,7 @@ VIEWS["b_ship"] = ([], f"""
   from (
     select {_LINE_KEY} as shipment_id, {_LINE_KEY} as shipment_number,
       cast(l_linenumber % 5 as integer) as carrier_id,
-      s_nationkey as source_location_id, c_nationkey as destination_location_id,
+      cast(s_nationkey as bigint) as source_location_id, cast(c_nationkey as bigint) as destination_location_id,
       l_suppkey as supplier_id, l_partkey as product_id,
       cast(l_shipdate as date) as ship_date,
       cast(l_shipdate as date) + cast({_SCHED} as integer) as expected_delivery_date,
@@ -196,7 +196,7 @@ VIEWS["b_ship"] = ([], f"""
         as actual_delivery_date,
       cast(l_quantity as integer) as shipped_quantity,
       case when {_U} then 0 else cast(l_quantity as integer) end as delivered_quantity,
-      cast(l_extendedprice * 0.02 as decimal(12,2)) as freight_cost,
+      cast(cast(l_extendedprice as decimal(12,2)) * 0.02 as decimal(12,2)) as freight_cost,
       cast(100 + (l_orderkey % 50) * 10 as decimal(10,2)) as distance_km,
       case when {_U} then 'in_transit' else 'delivered' end as status
     from lineitem join orders on l_orderkey = o_orderkey
@@ -259,7 +259,7 @@ VIEWS["b_pred"] = (["b_ship"], """
          case when p >= 0.7 then 'high' when p >= 0.3 then 'medium' else 'low' end as risk_level,
          cast(ship_date as timestamp) as created_at
   from (select *, case when date_diff('day', ship_date, expected_delivery_date) <= 2
-                       then 0.75 + least(cast(freight_cost as double) / 200.0, 0.20)
+                       then 0.75 + least(freight_cost * 0.005, 0.20)
                        when date_diff('day', ship_date, expected_delivery_date) >= 5 then 0.12
                        else 0.38 end as p from b_ship)
   union all

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.plans.context import Context
 
@@ -33,13 +35,30 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Context], DataFrame]):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
-        _QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(Context(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir, _fn=fn: for_check(_fn(Context(spark, sf_dir)))
         if sql is not None:
             _ORACLE[name] = sql
         return fn
     return deco
 
 
+def for_check(df: DataFrame) -> DataFrame:
+    """Portable output types for the cross-engine compare: dates and
+    timestamps as ISO text, decimals as double, integers as bigint."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        dt = f.dataType
+        if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            c = c.cast("string")
+        elif isinstance(dt, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("long")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 @lru_cache(maxsize=1)
 def _load() -> None:
     for m in _MODULES:
