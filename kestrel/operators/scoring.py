@@ -173,8 +173,8 @@ def agg_inventory_metrics(inv: DataFrame) -> DataFrame:
 
 def agg_risk_by_type(inv: DataFrame) -> DataFrame:
     return inv.groupBy("product_type").agg(
-        F.round(F.avg(F.col("stockout_risk").cast("decimal(20,0)")) * 100, 4).cast("double")
-         .alias("stockout_risk_pct"))
+        F.round(F.sum(F.col("stockout_risk")).cast("decimal(38,9)") * 100 / F.count("stockout_risk"), 4)
+         .cast("double").alias("stockout_risk_pct"))
 
 
 def reoptimize_service_level(inv: DataFrame, service_level: int = 95,

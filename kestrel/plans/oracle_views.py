@@ -130,7 +130,7 @@ VIEWS["dim_carriers"] = ([], """
   select carrier_id, 'CAR-' || cast(carrier_id as varchar) as carrier_code,
          'Carrier ' || cast(carrier_id as varchar) as carrier_name,
          (['road','rail','ocean','air','multimodal'])[carrier_id + 1] as transport_mode
-  from (select distinct cast(l_linenumber % 5 as integer) as carrier_id from lineitem)""")
+  from (select distinct cast(l_linenumber % 5 as bigint) as carrier_id from lineitem)""")
 
 VIEWS["b_po"] = ([], f"""
   select {_LINE_KEY} as po_number, l_suppkey as supplier_id, l_partkey as product_id,
@@ -186,7 +186,7 @@ VIEWS["b_ship"] = ([], f"""
     actual_delivery_date > expected_delivery_date as is_delayed
   from (
     select {_LINE_KEY} as shipment_id, {_LINE_KEY} as shipment_number,
-      cast(l_linenumber % 5 as integer) as carrier_id,
+      cast(l_linenumber % 5 as bigint) as carrier_id,
       cast(s_nationkey as bigint) as source_location_id, cast(c_nationkey as bigint) as destination_location_id,
       l_suppkey as supplier_id, l_partkey as product_id,
       cast(l_shipdate as date) as ship_date,
@@ -203,7 +203,7 @@ VIEWS["b_ship"] = ([], f"""
     join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)""")
 
 VIEWS["b_fc"] = (["b_inv"], f"""
-  select product_id, location_id, h as forecast_horizon_days,
+  select product_id, location_id, cast(h as bigint) as forecast_horizon_days,
     {AS_OF} + cast((product_id * 7 + location_id * 3) % 40 - 10 as integer)
             - (case when h = 30 then 5 else 0 end) as forecast_date,
     cast(product_id % 50 + location_id + h as decimal(14,2)) as predicted_quantity,
