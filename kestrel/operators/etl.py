@@ -10,6 +10,18 @@ from kestrel import schemas as S
 from kestrel.functions import columns as C
 
 
+# Text that a pandas CSV read turns into a missing value.
+PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def normalize_na_tokens(df: DataFrame) -> DataFrame:
+    """Text cells equal to a pandas NA token become null (no trimming)."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(*PANDAS_NA_TOKENS), F.lit(None).cast("string"))
+                           .otherwise(F.col(f"`{c}`")) for c in text})
+
+
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Raw header -> snake_case; names not in the map are kept."""
     present = {k: v for k, v in mapping.items() if k in df.columns}
@@ -95,9 +107,9 @@ def clean_skus(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- validation report (one aggregation pass over the raw rows) -----------------
 
 def _duplicate_rows(raw: DataFrame) -> DataFrame:
-    """Full-row duplicates beyond the first occurrence (null-safe)."""
-    return (raw.groupBy(*raw.columns).count()
-            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+    """Full-row duplicates beyond the first occurrence (null-safe, hash pre-filter)."""
+    from kestrel.operators.relational import agg_duplicate_rows
+    return agg_duplicate_rows(raw)
 
 
 def dq_report_orders(raw: DataFrame) -> DataFrame:

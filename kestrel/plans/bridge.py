@@ -459,3 +459,26 @@ class Warehouse:
                          F.lit("medium").alias("risk_level"),
                          F.date_sub("ship_date", 1).cast("timestamp").alias("created_at")))
         return cur.unionByName(old)
+
+
+def supplier_products(t: Tables) -> DataFrame:
+    """Bridge of (supplier, product) pairs that occur on order lines."""
+    return (t.lineitem.groupBy(F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("product_id"))
+            .agg(F.min("l_quantity").cast("int").alias("min_order_quantity"),
+                 F.count(F.lit(1)).alias("lines"))
+            .withColumn("is_preferred", F.col("lines") >= 2))
+
+
+def fact_customer_orders(t: Tables) -> DataFrame:
+    """One customer order line per lineitem (order number = line key)."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    c = t.customer.select("c_custkey", "c_nationkey")
+    u = undelivered()
+    return (t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(c, F.col("o_custkey") == F.col("c_custkey"))
+            .select(line_key().alias("order_number"), F.col("c_nationkey").alias("customer_location_id"),
+                    F.col("l_partkey").alias("product_id"), F.to_date("o_orderdate").alias("order_date"),
+                    F.when(u, F.lit(None).cast("date")).otherwise(F.to_date("l_shipdate")).alias("actual_delivery_date"),
+                    F.col("l_quantity").cast("int").alias("ordered_quantity"),
+                    F.when(u, F.lit(0)).otherwise(F.col("l_quantity").cast("int")).alias("fulfilled_quantity"),
+                    F.when(u, "open").otherwise("fulfilled").alias("status")))

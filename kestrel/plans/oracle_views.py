@@ -145,6 +145,7 @@ VIEWS["b_po"] = ([], f"""
     case when l_returnflag = 'R'
          then cast(floor((cast(l_quantity as integer) - l_orderkey % 2) / 10) as integer) else 0 end
       as defect_quantity,
+    cast(cast(l_extendedprice / l_quantity * 0.6 as decimal(38,9)) as decimal(12,2)) as unit_cost,
     case when {_U} then 'placed' when l_linestatus = 'F' then 'received' else 'closed' end as status
   from lineitem""")
 

@@ -124,7 +124,7 @@ def q_kruskal_wallis_report(ctx):
 SELECT order_item_quantity AS value, CAST(COUNT(*) AS BIGINT) AS cnt, {r('MIN(rk)', 4)} AS avg_rank FROM
   (SELECT order_item_quantity, {_AVG_RANK.format(v='order_item_quantity')} AS rk FROM orders_f) GROUP BY 1"""))
 def q_rank_average_ties(ctx):
-    vr = RK.value_ranks(ctx.orders(), "order_item_quantity")
+    vr = RK.value_ranks(ctx.orders_clean(), "order_item_quantity")
     return vr.select(F.col("order_item_quantity").alias("value"), "cnt",
                      C.round_half_up("avg_rank", 4).alias("avg_rank"))
 
