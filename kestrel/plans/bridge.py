@@ -67,9 +67,10 @@ def _geo(t: Tables) -> DataFrame:
 # Raw files (strings, raw headers) as the ETL would receive them
 # ---------------------------------------------------------------------------
 
-def order_lines(t: Tables) -> DataFrame:
-    """lineitem joined to orders, customer, geography and part."""
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+def order_lines(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
+    """lineitem (or a batch of new lines) joined to orders, customer,
+    geography and part."""
+    li = (lineitem if lineitem is not None else t.lineitem).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                            "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
                            "l_linestatus", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
@@ -82,7 +83,7 @@ def order_lines(t: Tables) -> DataFrame:
               .join(p, F.col("l_partkey") == F.col("p_partkey")))
 
 
-def raw_orders(t: Tables) -> DataFrame:
+def raw_orders(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
     """Order-items file: 53 raw headers (plus the line key), all text."""
     prio = F.col("o_orderpriority")
     actual = F.pmod(F.datediff(F.col("l_shipdate"), F.col("o_orderdate")), F.lit(7))
@@ -150,7 +151,7 @@ def raw_orders(t: Tables) -> DataFrame:
         "Shipping Mode": shipping_mode(prio),
         "Line Key": line_key(),
     }
-    return order_lines(t).select(*[v.alias(k) for k, v in cols.items()])
+    return order_lines(t, lineitem).select(*[v.alias(k) for k, v in cols.items()])
 
 
 def part_sales(t: Tables) -> DataFrame:
