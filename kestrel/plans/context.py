@@ -6,18 +6,49 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kestrel import schemas as S
 from kestrel.operators import etl
 from kestrel.plans.bridge import Warehouse, raw_orders, raw_skus
+from kestrel.plans.store import stored
 from kestrel.session import DEFAULT_AS_OF
 from kestrel.sources.tables import Tables
 
+_WAREHOUSE_TABLES = ["dim_products", "dim_locations", "dim_suppliers", "dim_carriers", "fact_purchase_orders",
+                     "fact_inventory_snapshots", "fact_sales_demand", "fact_shipments", "demand_forecasts",
+                     "inventory_recommendations", "business_recommendations", "supplier_performance_scores",
+                     "shipment_delay_predictions"]
+
+
+class StoredWarehouse(Warehouse):
+    """Warehouse whose tables are built once and then read from Parquet."""
+
+    def __init__(self, t: Tables, as_of: date, scope: str):
+        super().__init__(t, as_of)
+        self._scope = scope
+
+    def __getattribute__(self, name):
+        attr = object.__getattribute__(self, name)
+        if name in _WAREHOUSE_TABLES:
+            build = attr
+            return lambda: stored(self.t.spark, self._scope, name, build)
+        return attr
+
 
 class Context:
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: date = DEFAULT_AS_OF):
+    """Tables of one data folder.  With ``materialize`` the ETL outputs and
+    warehouse tables are written once and read back (production shape);
+    without it every query is one lineage from the raw tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: date = DEFAULT_AS_OF, materialize: bool = True):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
-        self.wh = Warehouse(self.t, as_of)
         self.as_of = as_of
+        self.materialize = materialize
+        self._scope = f"{self.t.sf_dir}|{as_of.isoformat()}"
+        self.wh = StoredWarehouse(self.t, as_of, self._scope) if materialize else Warehouse(self.t, as_of)
+
+    def _stored(self, name: str, build) -> DataFrame:
+        return stored(self.spark, self._scope, name, build) if self.materialize else build()
 
     def raw_orders(self) -> DataFrame:
         return raw_orders(self.t)
@@ -26,15 +57,16 @@ class Context:
         return raw_skus(self.t)
 
     def orders_clean(self) -> DataFrame:
-        return etl.clean_orders(self.raw_orders())[0]
+        """Clean order items (ETL output)."""
+        return self._stored("orders_clean", lambda: etl.clean_orders(self.raw_orders())[0])
 
     def orders(self) -> DataFrame:
-        """Order-item feature table (24 columns)."""
-        return etl.clean_orders(self.raw_orders())[1]
+        """Order-item feature table (24 columns) = projection of the clean table."""
+        return self.orders_clean().select(*S.ORDERS_FEATURES)
 
     def skus_clean(self) -> DataFrame:
-        return etl.clean_skus(self.raw_skus())[0]
+        return self._stored("skus_clean", lambda: etl.clean_skus(self.raw_skus())[0])
 
     def skus(self) -> DataFrame:
         """SKU feature table (27 columns)."""
-        return etl.clean_skus(self.raw_skus())[1]
+        return self.skus_clean().select(*S.SKUS_FEATURES)
