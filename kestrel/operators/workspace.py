@@ -14,7 +14,7 @@ import json
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,10 +157,10 @@ def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str,
     records = (adapted.select("row_number", payload_build(all_cols).alias("payload"))
                .select(F.lit(dataset_id).alias("dataset_id"), F.lit(user_email).alias("user_email"),
                        F.col("row_number").cast("long"), "payload"))
-    obs = Observation(f"ingest-{dataset_id}")
-    records.observe(obs, F.count(F.lit(1)).alias("rows")) \
-        .write.mode("append").partitionBy("user_email", "dataset_id").parquet(f"{root}/records")
-    n = int(obs.get["rows"])  # counted by the write job itself
+    records.write.mode("append").partitionBy("user_email", "dataset_id").parquet(f"{root}/records")
+    # footer count of this dataset's partition only (partition pruning, no data read)
+    n = spark.read.parquet(f"{root}/records").where(
+        (F.col("user_email") == user_email) & (F.col("dataset_id") == dataset_id)).count()
     meta = spark.createDataFrame([(dataset_id, user_email, dataset_name, report["dataset_type"], file_name,
                                    n, columns, missing, True, now, now)], METADATA_SCHEMA)
     meta.write.mode("append").parquet(f"{root}/datasets")

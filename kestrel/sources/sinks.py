@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators.latest import keep_latest
@@ -27,14 +27,25 @@ def sink_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _stored_rows(spark: SparkSession, path: str) -> int:
+    """Row count of a Parquet table from file footers (no data is read)."""
+    try:
+        return spark.read.parquet(path).count()
+    except Exception:  # nothing written yet
+        return 0
+
+
 def sink_append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Append; returns the number of rows written (counted by the write job)."""
-    obs = Observation("append")
-    w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append")
+    """Append; returns the number of rows written (footer counts before and
+    after; one writer per table is assumed).  ``Observation`` is avoided on
+    purpose: once used, the session cannot serialise MLlib models."""
+    spark = df.sparkSession
+    before = _stored_rows(spark, path)
+    w = df.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return int(obs.get["n"])
+    return _stored_rows(spark, path) - before
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
