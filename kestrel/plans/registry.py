@@ -27,6 +27,7 @@ _MODULES = [
     "kestrel.plans.q_workspace",
     "kestrel.plans.q_ml",
     "kestrel.plans.q_stream",
+    "kestrel.plans.q_scalars",
 ]
 
 
