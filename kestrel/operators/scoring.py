@@ -130,9 +130,9 @@ def optimize_inventory(skus: DataFrame, z: float = SERVICE_Z, period_days: int =
     quantity and revenue at risk per SKU (pandas half-even rounding)."""
     inv = skus.select("sku", "product_type", "supplier_name", "stock_levels", "products_sold",
                       "source_lead_time_days", "availability", "revenue_generated", "product_price")
-    # exact median of the lead time: values are whole days, so the
-    # percentile buffer (value -> count) stays small.
-    med = inv.agg(F.median("source_lead_time_days").alias("_med_lead"))
+    # exact median of the lead time from distributed ranks (one small row)
+    from kestrel.operators.ranks import median
+    med = median(inv, "source_lead_time_days").select(F.col("median").alias("_med_lead"))
     inv = inv.crossJoin(F.broadcast(med))
     avg_d = F.col("products_sold") / F.lit(float(period_days))
     inv = inv.withColumns({

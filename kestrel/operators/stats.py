@@ -135,19 +135,33 @@ def pearson_long(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Spearman rho per pair: average ranks over the pair's complete rows,
-    then Pearson r of the ranks (pandas pairwise-complete semantics)."""
-    out = None
-    for a, b in combinations(cols, 2):
-        sub = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-        ra = RK.with_avg_rank(sub, a, "_ra")
-        rb = RK.with_avg_rank(ra, b, "_rb")
-        rho = rb.agg(F.corr("_ra", "_rb").alias("r"))
-        part = rho.select(F.inline(F.array(
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col("r")),
-            F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col("r")))))
-        out = part if out is None else out.unionByName(part)
+    then Pearson r of the ranks (pandas pairwise-complete semantics).
+
+    All pairs are ranked in one job: complete rows are stacked as
+    (pair, x, y), both sides are ranked together grouped by (pair, side),
+    and ranks are joined back on the values (no row ids needed).
+    """
+    pairs = list(combinations(cols, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "x string, y string, r double")
+    cells = F.array(*[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
+                             F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
+                                      F.col(b).cast("double").alias("y")))
+                      for i, (a, b) in enumerate(pairs)])
+    long = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
+    sides = (long.select("pair", F.lit(0).alias("side"), F.col("x").alias("v"))
+             .unionByName(long.select("pair", F.lit(1).alias("side"), F.col("y").alias("v"))))
+    ranks = RK.value_ranks(sides, "v", ["pair", "side"])
+    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("x"), F.col("avg_rank").alias("ra"))
+    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("y"), F.col("avg_rank").alias("rb"))
+    rho = long.join(ra, ["pair", "x"]).join(rb, ["pair", "y"]).groupBy("pair").agg(F.corr("ra", "rb").alias("r"))
+    xs = F.array(*[F.lit(a) for a, _ in pairs])
+    ys = F.array(*[F.lit(b) for _, b in pairs])
+    named = rho.select(F.element_at(xs, F.col("pair") + 1).alias("x"), F.element_at(ys, F.col("pair") + 1).alias("y"),
+                       "r")
+    both = named.unionByName(named.select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "x string, y string, r double")
-    return out.unionByName(diag) if out is not None else diag
+    return both.unionByName(diag)
 
 
 def corr_highlights(long: DataFrame, pairs: list[tuple[str, str]], suffix: str = "") -> DataFrame:
