@@ -84,7 +84,8 @@ def order_lines(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
 
 
 def raw_orders(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
-    """Order-items file: 53 raw headers (plus the line key), all text."""
+    """Order-items file as a pandas CSV read yields it: 53 raw headers (plus
+    the line key); numeric fields typed, text and date fields as text."""
     prio = F.col("o_orderpriority")
     actual = F.pmod(F.datediff(F.col("l_shipdate"), F.col("o_orderdate")), F.lit(7))
     sched = scheduled_days(prio)
@@ -92,61 +93,62 @@ def raw_orders(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
     benefit = net - F.col("l_quantity") * F.col("p_retailprice")
     late = (actual > sched).cast("int")
     s = lambda c: c.cast("string")
+    n = lambda c: c.cast("double")  # noqa: E731  numbers typed as a pandas CSV read infers them
     cols = {
         "Type": F.when(F.col("o_orderstatus") == "F", "DEBIT")
                  .when(F.col("o_orderstatus") == "O", "TRANSFER").otherwise("CASH"),
-        "Days for shipping (real)": s(actual),
-        "Days for shipment (scheduled)": s(sched),
-        "Benefit per order": s(benefit),
-        "Sales per customer": s(net),
+        "Days for shipping (real)": n(actual),
+        "Days for shipment (scheduled)": n(sched),
+        "Benefit per order": n(benefit),
+        "Sales per customer": n(net),
         "Delivery Status": F.when(late == 1, "Late delivery").otherwise("Shipping on time"),
-        "Late_delivery_risk": s(late),
-        "Category Id": F.lit(None).cast("string"),
+        "Late_delivery_risk": n(late),
+        "Category Id": F.lit(None).cast("double"),
         "Category Name": F.col("p_type"),
         "Customer City": F.lit(None).cast("string"),
         "Customer Country": F.col("n_name"),
         "Customer Email": F.concat(F.lit("customer"), s(F.col("c_custkey")), F.lit("@mail.test")),
         "Customer Fname": F.col("c_name"),
-        "Customer Id": s(F.col("o_custkey")),
+        "Customer Id": n(F.col("o_custkey")),
         "Customer Lname": F.lit("XXXXXXXXX"),
         "Customer Password": F.lit("XXXXXXXXX"),
         "Customer Segment": F.col("c_mktsegment"),
         "Customer State": F.lit(None).cast("string"),
         "Customer Street": F.lit("XXXXXXXXX"),
-        "Customer Zipcode": F.when(F.col("c_custkey") % 10 == 0, F.lit(" "))
-                             .otherwise(s(10000 + F.col("c_custkey") % 90000)),
-        "Department Id": F.lit(None).cast("string"),
+        "Customer Zipcode": F.when(F.col("c_custkey") % 10 == 0, F.lit(None))
+                             .otherwise(n(10000 + F.col("c_custkey") % 90000)),
+        "Department Id": F.lit(None).cast("double"),
         "Department Name": F.col("p_brand"),
-        "Latitude": F.lit(None).cast("string"),
-        "Longitude": F.lit(None).cast("string"),
+        "Latitude": F.lit(None).cast("double"),
+        "Longitude": F.lit(None).cast("double"),
         "Market": F.col("r_name"),
         "Order City": F.lit(None).cast("string"),
         "Order Country": F.col("n_name"),
-        "Order Customer Id": s(F.col("o_custkey")),
+        "Order Customer Id": n(F.col("o_custkey")),
         "order date (DateOrders)": F.date_format("o_orderdate", "M/d/yyyy H:mm"),
-        "Order Id": s(F.col("l_orderkey")),
-        "Order Item Cardprod Id": s(F.col("l_partkey")),
-        "Order Item Discount": s(F.col("l_extendedprice") * F.col("l_discount")),
-        "Order Item Discount Rate": s(F.col("l_discount")),
-        "Order Item Id": s(F.col("l_orderkey") * 8 + F.col("l_linenumber")),
-        "Order Item Product Price": s(F.col("p_retailprice")),
-        "Order Item Profit Ratio": F.lit(None).cast("string"),
-        "Order Item Quantity": s(F.col("l_quantity")),
-        "Sales": s(F.col("l_extendedprice")),
-        "Order Item Total": s(net),
-        "Order Profit Per Order": s(benefit),
+        "Order Id": n(F.col("l_orderkey")),
+        "Order Item Cardprod Id": n(F.col("l_partkey")),
+        "Order Item Discount": n(F.col("l_extendedprice") * F.col("l_discount")),
+        "Order Item Discount Rate": n(F.col("l_discount")),
+        "Order Item Id": n(F.col("l_orderkey") * 8 + F.col("l_linenumber")),
+        "Order Item Product Price": n(F.col("p_retailprice")),
+        "Order Item Profit Ratio": F.lit(None).cast("double"),
+        "Order Item Quantity": n(F.col("l_quantity")),
+        "Sales": n(F.col("l_extendedprice")),
+        "Order Item Total": n(net),
+        "Order Profit Per Order": n(benefit),
         "Order Region": F.col("n_name"),
         "Order State": F.lit(None).cast("string"),
         "Order Status": F.col("o_orderstatus"),
-        "Order Zipcode": F.when(F.col("l_orderkey") % 5 == 0, F.lit("nan"))
-                          .otherwise(s(10000 + F.col("l_orderkey") % 90000)),
-        "Product Card Id": s(F.col("l_partkey")),
-        "Product Category Id": F.lit(None).cast("string"),
+        "Order Zipcode": F.when(F.col("l_orderkey") % 5 == 0, F.lit(None))
+                          .otherwise(n(10000 + F.col("l_orderkey") % 90000)),
+        "Product Card Id": n(F.col("l_partkey")),
+        "Product Category Id": F.lit(None).cast("double"),
         "Product Description": F.lit(None).cast("string"),
         "Product Image": F.concat(F.lit("http://images.test/"), s(F.col("l_partkey"))),
         "Product Name": F.col("p_name"),
-        "Product Price": s(F.col("p_retailprice")),
-        "Product Status": F.lit("0"),
+        "Product Price": n(F.col("p_retailprice")),
+        "Product Status": F.lit(0.0),
         "shipping date (DateOrders)": F.date_format("l_shipdate", "M/d/yyyy H:mm"),
         "Shipping Mode": shipping_mode(prio),
         "Line Key": line_key(),
@@ -164,7 +166,7 @@ def part_sales(t: Tables) -> DataFrame:
 
 
 def raw_skus(t: Tables) -> DataFrame:
-    """SKU file: one row per part, 24 raw headers, all text.
+    """SKU file: one row per part, 24 raw headers (numbers typed, text as text).
 
     Supplier of a part: s_suppkey = p_partkey % count(supplier).  The count
     is a one-row aggregate, broadcast into the part scan.
@@ -180,38 +182,39 @@ def raw_skus(t: Tables) -> DataFrame:
                .join(sup, F.col("supp_key") == F.col("s_suppkey"), "left"))
     k = F.col("p_partkey")
     s = lambda c: c.cast("string")
+    n = lambda c: c.cast("double")  # noqa: E731  numbers typed as a pandas CSV read infers them
     ship_cost = F.col("p_retailprice") * F.lit(0.01)
     mfg_cost = F.col("p_retailprice") * F.lit(0.6)
     cols = {
         "Product type": F.col("p_type"),
         "SKU": F.concat(F.lit("SKU"), s(k)),
-        "Price": s(F.col("p_retailprice")),
-        "Availability": s((k * 11) % 100),
-        "Number of products sold": s(F.coalesce(F.col("sold"), F.lit(0.0))),
-        "Revenue generated": s(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))),
+        "Price": n(F.col("p_retailprice")),
+        "Availability": n((k * 11) % 100),
+        "Number of products sold": n(F.coalesce(F.col("sold"), F.lit(0.0))),
+        "Revenue generated": n(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))),
         "Customer demographics": F.element_at(
             F.array(*[F.lit(x) for x in ["Male", "Female", "Non-binary", "Unknown"]]),
             (k % 4 + 1).cast("int")),
-        "Stock levels": s(F.col("p_size") * 40),
-        "Lead times": s(1 + (k * 7) % 30),
-        "Order quantities": s(F.coalesce(F.col("lines"), F.lit(0))),
-        "Shipping times": s(1 + k % 10),
+        "Stock levels": n(F.col("p_size") * 40),
+        "Lead times": n(1 + (k * 7) % 30),
+        "Order quantities": n(F.coalesce(F.col("lines"), F.lit(0))),
+        "Shipping times": n(1 + k % 10),
         "Shipping carriers": F.concat(F.lit("Carrier "), s(k % 3 + 1)),
-        "Shipping costs": s(ship_cost),
+        "Shipping costs": n(ship_cost),
         "Supplier name": F.col("s_name"),
         "Location": F.col("s_nation"),
-        "Lead time": s(1 + (k * 3) % 30),
-        "Production volumes": s(F.col("p_size") * 20),
-        "Manufacturing lead time": s(1 + k % 20),
-        "Manufacturing costs": s(mfg_cost),
+        "Lead time": n(1 + (k * 3) % 30),
+        "Production volumes": n(F.col("p_size") * 20),
+        "Manufacturing lead time": n(1 + k % 20),
+        "Manufacturing costs": n(mfg_cost),
         "Inspection results": F.when(k % 3 == 0, "Pass").when(k % 3 == 1, "Fail")
                                .otherwise("Pending"),
-        "Defect rates": s(F.col("return_share") * F.lit(5.0)),
+        "Defect rates": n(F.col("return_share") * F.lit(5.0)),
         "Transportation modes": F.element_at(
             F.array(*[F.lit(x) for x in ["Road", "Rail", "Air", "Sea"]]), (k % 4 + 1).cast("int")),
         "Routes": F.concat(F.lit("Route "), F.element_at(
             F.array(*[F.lit(x) for x in ["A", "B", "C"]]), (k % 3 + 1).cast("int"))),
-        "Costs": s(mfg_cost + ship_cost),
+        "Costs": n(mfg_cost + ship_cost),
     }
     return joined.select(*[v.alias(k2) for k2, v in cols.items()])
 
