@@ -13,7 +13,8 @@ from kestrel.plans.oracle_views import r, with_views
 from kestrel.plans.q_scoring import _with_opt, _with_scores
 from kestrel.plans.registry import register
 
-_N = F.count(F.lit(1))
+def _count():
+    return F.count(F.lit(1))
 
 
 def _sum_r(c, k=4):
@@ -28,14 +29,14 @@ def _ssum(expr: str, k: int = 4) -> str:
 
 @register("scan_table", with_views(["dim_suppliers"], "SELECT region, COUNT(*) AS n FROM dim_suppliers GROUP BY 1"))
 def q_scan_table(ctx):
-    return ctx.wh.dim_suppliers().groupBy("region").agg(_N.alias("n"))
+    return ctx.wh.dim_suppliers().groupBy("region").agg(_count().alias("n"))
 
 
 @register("rename_columns", with_views(["skus_f"], """
 SELECT product_type, COUNT(*) AS n, COUNT(inspection_result) AS inspected FROM skus_f GROUP BY 1"""))
 def q_rename_columns(ctx):
     df = etl.rename_columns(ctx.raw_skus(), S.SKUS_COLUMN_MAP)
-    return df.groupBy("product_type").agg(_N.alias("n"), F.count("inspection_result").alias("inspected"))
+    return df.groupBy("product_type").agg(_count().alias("n"), F.count("inspection_result").alias("inspected"))
 
 
 @register("drop_sensitive", with_views(["orders_f"], """
@@ -43,7 +44,7 @@ SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS pii_columns_left FROM orders_f""
 def q_drop_sensitive(ctx):
     clean = ctx.orders_clean()
     left = len([c for c in S.SENSITIVE_ORDER_COLUMNS if c in clean.columns])
-    return clean.agg(_N.alias("n_rows")).withColumn("pii_columns_left", F.lit(left).cast("long"))
+    return clean.agg(_count().alias("n_rows")).withColumn("pii_columns_left", F.lit(left).cast("long"))
 
 
 @register("project_features_orders", with_views(["orders_f"], f"""
@@ -52,7 +53,7 @@ SELECT shipping_mode, COUNT(*) AS n, CAST(SUM(late_delivery_flag) AS BIGINT) AS
 def q_project_features_orders(ctx):
     f = ctx.orders()
     assert f.columns == S.ORDERS_FEATURES
-    return f.groupBy("shipping_mode").agg(_N.alias("n"), F.sum("late_delivery_flag").alias("late"),
+    return f.groupBy("shipping_mode").agg(_count().alias("n"), F.sum("late_delivery_flag").alias("late"),
                                           _sum_r("sales", 2).alias("sales"), _sum_r("discount_rate_pct").alias(
                                               "discount_pct"))
 
@@ -63,7 +64,7 @@ SELECT inspection_result, COUNT(*) AS n, {_ssum('sell_through_rate', 6)} AS sell
 def q_project_features_skus(ctx):
     f = ctx.skus()
     assert f.columns == S.SKUS_FEATURES
-    return f.groupBy("inspection_result").agg(_N.alias("n"), _sum_r("sell_through_rate", 6).alias("sell_through"),
+    return f.groupBy("inspection_result").agg(_count().alias("n"), _sum_r("sell_through_rate", 6).alias("sell_through"),
                                               _sum_r("manufacturing_cost_per_unit", 6).alias("mfg_unit_cost"))
 
 
@@ -85,7 +86,7 @@ def q_flatten_embedded(ctx):
                                        F.col("unit_cost").cast("double").alias("unit_cost"))
     flat = R.join_embedded(ctx.wh.inventory_recommendations(), dim, "product_id",
                            {"sku": "Unknown SKU", "product_type": "Unknown", "unit_cost": 10.0})
-    return flat.groupBy("product_type").agg(_N.alias("n"), _sum_r("unit_cost", 2).alias("unit_cost_sum"))
+    return flat.groupBy("product_type").agg(_count().alias("n"), _sum_r("unit_cost", 2).alias("unit_cost_sum"))
 
 
 @register("project_column_mapping", with_views(["b_rec"], f"""
@@ -107,7 +108,7 @@ SELECT COUNT(*) AS payloads, COUNT(*) AS with_sales, COUNT(*) AS with_defaults F
 def q_payload_build(ctx):
     from kestrel.plans.q_workspace import _records
     rec = _records(ctx, "shipments")
-    return rec.agg(_N.alias("payloads"), F.count_if(F.col("payload").contains('"sales":')).alias("with_sales"),
+    return rec.agg(_count().alias("payloads"), F.count_if(F.col("payload").contains('"sales":')).alias("with_sales"),
                    F.count_if(F.col("payload").contains('"order_item_total":100.0')).alias("with_defaults"))
 
 
@@ -122,7 +123,7 @@ def q_production_catalog(ctx):
                                                                  ctx.wh.fact_inventory_snapshots())]
     out = None
     for name, df in parts:
-        p = df.agg(_N.alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
+        p = df.agg(_count().alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -161,19 +162,19 @@ def q_parse_datetime(ctx):
 SELECT COUNT(*) - COUNT(profit_margin_pct) AS missing, {_ssum('profit_margin_pct', 4)} AS margin_sum FROM orders_f"""))
 def q_safe_ratio(ctx):
     c = ctx.orders_clean()
-    return c.agg((_N - F.count("profit_margin_pct")).alias("missing"), _sum_r("profit_margin_pct").alias("margin_sum"))
+    return c.agg((_count() - F.count("profit_margin_pct")).alias("missing"), _sum_r("profit_margin_pct").alias("margin_sum"))
 
 
 @register("date_part_month", with_views(["orders_f"], """
 SELECT CAST(month(order_day) AS BIGINT) AS order_month, COUNT(*) AS n FROM orders_f GROUP BY 1"""))
 def q_date_part_month(ctx):
-    return ctx.orders_clean().groupBy("order_month").agg(_N.alias("n"))
+    return ctx.orders_clean().groupBy("order_month").agg(_count().alias("n"))
 
 
 @register("date_part_weekday", with_views(["orders_f"], """
 SELECT dayname(shipping_day) AS shipping_weekday, COUNT(*) AS n FROM orders_f GROUP BY 1"""))
 def q_date_part_weekday(ctx):
-    return ctx.orders_clean().groupBy("shipping_weekday").agg(_N.alias("n"))
+    return ctx.orders_clean().groupBy("shipping_weekday").agg(_count().alias("n"))
 
 
 @register("missing_indicator", with_views(["orders_f"], """
@@ -197,7 +198,7 @@ def q_delivery_delay(ctx):
 @register("late_flag", with_views(["orders_f"], """
 SELECT late_delivery_flag, COUNT(*) AS n FROM orders_f GROUP BY 1"""))
 def q_late_flag(ctx):
-    return ctx.orders_clean().groupBy("late_delivery_flag").agg(_N.alias("n"))
+    return ctx.orders_clean().groupBy("late_delivery_flag").agg(_count().alias("n"))
 
 
 @register("profit_margin", with_views(["orders_f"], f"""
@@ -211,7 +212,7 @@ def q_profit_margin(ctx):
 SELECT CAST(COALESCE(benefit_per_order > 0, FALSE) AS BIGINT) AS is_profitable_flag, COUNT(*) AS n
 FROM orders_f GROUP BY 1"""))
 def q_profit_flag(ctx):
-    return ctx.orders_clean().groupBy("is_profitable_flag").agg(_N.alias("n"))
+    return ctx.orders_clean().groupBy("is_profitable_flag").agg(_count().alias("n"))
 
 
 @register("discount_pct", with_views(["orders_f"], f"""
@@ -276,7 +277,7 @@ SELECT CASE WHEN LOWER(SPLIT_PART(TRIM(risk_tier), ' ', 1)) IN ('low','medium','
 FROM tiered GROUP BY 1"""))
 def q_normalize_risk_tier(ctx):
     s = scoring.score_suppliers(ctx.skus())
-    return s.groupBy(C.normalize_risk_tier("risk_tier").alias("risk_level")).agg(_N.alias("n"))
+    return s.groupBy(C.normalize_risk_tier("risk_tier").alias("risk_level")).agg(_count().alias("n"))
 
 
 @register("resolve_model_type", with_views(["skus_f"], """
@@ -321,7 +322,7 @@ SELECT CASE WHEN supplier_name LIKE '%1%' OR supplier_name LIKE '%3%' THEN 'USA'
 def q_country_region_from_name(ctx):
     s = ctx.wh.dim_suppliers()
     return s.groupBy(C.country_from_name("supplier_name").alias("country"),
-                     C.region_from_name("supplier_name").alias("region")).agg(_N.alias("n"))
+                     C.region_from_name("supplier_name").alias("region")).agg(_count().alias("n"))
 
 
 @register("monthly_to_daily", with_views(["b_rec"], f"""
@@ -337,7 +338,7 @@ SELECT CAST(SUM(delay_days) AS BIGINT) AS delay_sum, COUNT(*) - COUNT(delay_days
   MIN(delay_days) AS min_delay FROM b_ship"""))
 def q_date_diff_floor0(ctx):
     s = ctx.wh.fact_shipments()
-    return s.agg(F.sum("delay_days").cast("long").alias("delay_sum"), (_N - F.count("delay_days")).alias(
+    return s.agg(F.sum("delay_days").cast("long").alias("delay_sum"), (_count() - F.count("delay_days")).alias(
         "undelivered"), F.min("delay_days").cast("long").alias("min_delay"))
 
 
@@ -345,7 +346,7 @@ def q_date_diff_floor0(ctx):
 SELECT CAST(is_delayed AS VARCHAR) AS is_delayed, COUNT(*) AS n FROM b_ship GROUP BY 1"""))
 def q_is_delayed(ctx):
     return ctx.wh.fact_shipments().groupBy(F.col("is_delayed").cast("string").alias("is_delayed")).agg(
-        _N.alias("n"))
+        _count().alias("n"))
 
 
 @register("available_qty", with_views(["b_inv"], """
@@ -380,13 +381,13 @@ FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id, locat
 def q_case_below_reorder(ctx):
     inv = L.latest_inventory(ctx.wh.fact_inventory_snapshots())
     return inv.groupBy(C.below_or_at("available_quantity", "reorder_point").alias("below_reorder_point")).agg(
-        _N.alias("n"))
+        _count().alias("n"))
 
 
 @register("cast_enum_text", with_views(["b_ship"], "SELECT CAST(status AS VARCHAR) AS status, COUNT(*) AS n "
                                                   "FROM b_ship GROUP BY 1"))
 def q_cast_enum_text(ctx):
-    return ctx.wh.fact_shipments().groupBy(F.col("status").cast("string").alias("status")).agg(_N.alias("n"))
+    return ctx.wh.fact_shipments().groupBy(F.col("status").cast("string").alias("status")).agg(_count().alias("n"))
 
 
 @register("effect_size_label", with_views(["orders_f"], "\nUNION ALL\n".join(f"""
@@ -411,7 +412,7 @@ def q_effect_size_label(ctx):
 
 @register("risk_tier_cut", _with_scores("SELECT risk_tier, COUNT(*) AS n FROM tiered GROUP BY 1"))
 def q_risk_tier_cut(ctx):
-    return scoring.score_suppliers(ctx.skus()).groupBy("risk_tier").agg(_N.alias("n"))
+    return scoring.score_suppliers(ctx.skus()).groupBy("risk_tier").agg(_count().alias("n"))
 
 
 @register("risk_tier_whatif", _with_scores("""
@@ -419,7 +420,7 @@ SELECT CASE WHEN overall_score >= 70 THEN 'Low Risk' WHEN overall_score < 40 THE
   ELSE 'Medium Risk' END AS tier, COUNT(*) AS n FROM tiered GROUP BY 1"""))
 def q_risk_tier_whatif(ctx):
     s = scoring.score_suppliers(ctx.skus())
-    return s.groupBy(C.risk_tier_whatif("overall_score").alias("tier")).agg(_N.alias("n"))
+    return s.groupBy(C.risk_tier_whatif("overall_score").alias("tier")).agg(_count().alias("n"))
 
 
 @register("round_result", with_views(["orders_f"], f"""
@@ -505,5 +506,5 @@ def q_model_load(ctx):
     path = scratch_path(ctx.spark, "model-load")
     ml.model_save(model, path)
     back = ml.model_load(path)
-    return ml.score_delay_batch(back, test).groupBy("predicted_label").agg(_N.alias("n"))
+    return ml.score_delay_batch(back, test).groupBy("predicted_label").agg(_count().alias("n"))
 

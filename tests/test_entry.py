@@ -32,3 +32,14 @@ def test_against_oracle(spark, name):
     norm = lambda df: sorted(tuple(None if v != v else v for v in r)
                              for r in df[cols].astype(object).itertuples(index=False, name=None))
     assert norm(got) == norm(want)
+
+
+def test_contract_imports_without_spark():
+    """The driver may ask for oracle_sql() before any session exists."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import __spark_entry__ as E; o = E.oracle_sql(); q = E.queries(); "
+            "assert set(o) <= set(q) and len(o) > 150")
+    subprocess.run([sys.executable, "-c", code], cwd=repo, check=True, timeout=300)
