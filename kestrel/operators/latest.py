@@ -69,11 +69,12 @@ def row_number_in_source(df: DataFrame, name: str = "row_number") -> DataFrame:
 
 def rank_leaderboard(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
     """1-based position by ``score`` descending (ties broken by the other
-    columns), without a single-partition window: range partitioning with an
-    explicit partition count (AQE never coalesces those, so partition ids are
-    stable across the plan's two reads of the shared exchange), a sort inside
-    each partition, then contiguous numbering from per-partition offsets."""
+    columns), without a single-partition window: range partitioning, a sort
+    inside each partition, written once (the numbering reads it twice and
+    sampled range bounds must not change between reads), then contiguous
+    numbering from per-partition offsets."""
     order = [F.col(score).desc()] + [F.col(c).asc() for c in df.columns if c != score]
+    from kestrel.session import materialize
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     return row_number_in_source(ranged, name)

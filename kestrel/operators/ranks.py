@@ -16,23 +16,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.session import materialize
+
 
 def value_ranks(df: DataFrame, value: str, groups: list[str] | None = None,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Distinct values with their counts and average (tie) ranks.
 
     Output: groups..., value, cnt, before (rows with a smaller value in the
     group), n (rows in the group), avg_rank = before + (cnt + 1) / 2.
-    Nulls are excluded, as rank-based tests drop them.
+    Nulls are excluded, as rank-based tests drop them.  With ``weight`` the
+    input is already (value, count) rows.
     """
     g = list(groups or [])
+    n_rows = F.sum(weight) if weight else F.count(F.lit(1))  # weight: rows pre-counted upstream
     vc = (df.where(F.col(value).isNotNull())
-          .groupBy(*g, value).agg(F.count(F.lit(1)).alias("cnt")))
+          .groupBy(*g, value).agg(n_rows.cast("long").alias("cnt")))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rp = vc.repartitionByRange(n_parts, *[F.col(c) for c in g], F.col(value)) \
            .withColumn("_pid", F.spark_partition_id())
     local = Window.partitionBy("_pid", *g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rp = rp.withColumn("_local", F.coalesce(F.sum("cnt").over(local), F.lit(0)))
+    # range bounds come from sampling; the two reads below (totals, join)
+    # must see the same partitions, so the frame is written once
+    rp = materialize(rp)
     part_tot = rp.groupBy("_pid", *g).agg(F.sum("cnt").alias("_ptot"))
     prev = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = part_tot.select("_pid", *g, F.coalesce(F.sum("_ptot").over(prev), F.lit(0)).alias("_off"),

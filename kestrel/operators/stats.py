@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def chi_square_independence(df: DataFrame, row: str, col: str, correction: bool
     continuity correction moves each of the four cells half a unit toward
     its expected count, never past it; then the 2 x 2 grid is completed.
     """
-    ct = contingency(df, row, col)
+    # the cell counts feed six small branches: computed once (one pass over
+    # the input), kept in memory/disk; a lost block is recomputed from lineage
+    ct = contingency(df, row, col).persist(StorageLevel.MEMORY_AND_DISK)
     rows = ct.groupBy(row).agg(F.sum("o").alias("r_tot"))
     cols = ct.groupBy(col).agg(F.sum("o").alias("c_tot"))
     tot = ct.agg(F.sum("o").alias("n"))
@@ -81,13 +84,18 @@ def chi_square_independence(df: DataFrame, row: str, col: str, correction: bool
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, levels: list[str]) -> DataFrame:
-    """H statistic with tie correction, p on k - 1 degrees of freedom."""
-    d = df.where(F.col(group).isin(*levels) & F.col(value).isNotNull()).select(group, value)
-    vr = RK.value_ranks(d, value)  # pooled ranks of distinct values
+    """H statistic with tie correction, p on k - 1 degrees of freedom.
+
+    One pass over the input: distinct (group, value) counts (partial
+    aggregation), kept for the two small branches that use them.
+    """
+    dv = (df.where(F.col(group).isin(*levels) & F.col(value).isNotNull())
+          .groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    vr = RK.value_ranks(dv, value, weight="c")  # pooled ranks of distinct values
     ties = vr.agg(F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt")).alias("tie_sum"),
                   F.max("n").alias("N"))
-    per = (d.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-           .join(vr.select(value, "avg_rank"), value)
+    per = (dv.join(vr.select(value, "avg_rank"), value)
            .groupBy(group).agg(F.sum(F.col("c") * F.col("avg_rank")).alias("R"), F.sum("c").alias("n_i")))
     s = per.agg(F.sum(F.col("R") ** 2 / F.col("n_i")).alias("sr"), F.count(F.lit(1)).alias("k"))
     res = s.crossJoin(ties)
@@ -148,13 +156,24 @@ def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
                              F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
                                       F.col(b).cast("double").alias("y")))
                       for i, (a, b) in enumerate(pairs)])
-    long = df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
-    sides = (long.select("pair", F.lit(0).alias("side"), F.col("x").alias("v"))
-             .unionByName(long.select("pair", F.lit(1).alias("side"), F.col("y").alias("v"))))
-    ranks = RK.value_ranks(sides, "v", ["pair", "side"])
-    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("x"), F.col("avg_rank").alias("ra"))
-    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("y"), F.col("avg_rank").alias("rb"))
-    rho = long.join(ra, ["pair", "x"]).join(rb, ["pair", "y"]).groupBy("pair").agg(F.corr("ra", "rb").alias("r"))
+    # one pass over the input: distinct (pair, x, y) with counts, reused below
+    long = (df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
+            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    sides = (long.select("pair", F.lit(0).alias("side"), F.col("x").alias("v"), "w")
+             .unionByName(long.select("pair", F.lit(1).alias("side"), F.col("y").alias("v"), "w")))
+    ranks = RK.value_ranks(sides, "v", ["pair", "side"], weight="w")
+    # average ranks always have mean (n + 1) / 2: centre them exactly, so the
+    # weighted sums below have no cancellation
+    centred = (F.col("avg_rank") - (F.col("n") + 1) / 2.0)
+    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("x"), centred.alias("ra"))
+    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("y"), centred.alias("rb"))
+    j = long.join(ra, ["pair", "x"]).join(rb, ["pair", "y"])
+    # count-weighted Pearson r of the ranks (identical to r over the expanded rows)
+    w, a, b = F.col("w").cast("double"), F.col("ra"), F.col("rb")
+    m = j.groupBy("pair").agg(F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"),
+                              F.sum(w * a * b).alias("sab"))
+    rho = m.select("pair", (F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb"))).alias("r"))
     xs = F.array(*[F.lit(a) for a, _ in pairs])
     ys = F.array(*[F.lit(b) for _, b in pairs])
     named = rho.select(F.element_at(xs, F.col("pair") + 1).alias("x"), F.element_at(ys, F.col("pair") + 1).alias("y"),

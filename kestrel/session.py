@@ -66,3 +66,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root for written tables."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared folder: the result reads fixed
+    files, so several branches of one plan see identical partitions, and a
+    lost executor re-reads files instead of recomputing (and re-sampling)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
