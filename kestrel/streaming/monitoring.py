@@ -38,22 +38,24 @@ def late_rate_windows(orders: DataFrame, width: str = "7 days") -> DataFrame:
 def psi_drift(scores: DataFrame, value: str, period: str, baseline: F.Column, bins: int = 10) -> DataFrame:
     """PSI of each period against the baseline rows' decile buckets.
 
-    Cut points are exact baseline quantiles (distributed ranks, one small
-    row); each value is bucketed by comparison with the cut points; shares
-    per (period, bucket) come from one grouped count.
+    Two passes over the log: exact baseline quantiles (distributed ranks,
+    one small row of cut points), then one grouped count per (period,
+    baseline flag, bucket).  That small count table is kept and feeds the
+    reference shares, the period totals and the shares per period.
     """
-    base = scores.where(baseline)
+    from pyspark import StorageLevel
     qs = [i / bins for i in range(1, bins)]
-    cuts = RK.quantiles(base, value, qs)
-    names = [c for c in cuts.columns]
+    cuts = RK.quantiles(scores.where(baseline), value, qs)
+    names = list(cuts.columns)
     bucket = sum((F.col(value) > F.col(n)).cast("int") for n in names)
-    labelled = scores.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts)) \
-                     .withColumn("bucket", bucket)
-    ref = (labelled.where(baseline).groupBy("bucket").agg(F.count(F.lit(1)).alias("_b"))
-           .crossJoin(labelled.where(baseline).agg(F.count(F.lit(1)).alias("_bt")))
-           .select("bucket", (F.col("_b") / F.col("_bt")).alias("q")))
-    per = labelled.groupBy(period, "bucket").agg(F.count(F.lit(1)).alias("_c"))
-    tot = labelled.groupBy(period).agg(F.count(F.lit(1)).alias("_t"))
+    counts = (scores.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts))
+              .groupBy(period, baseline.alias("_base"), bucket.alias("bucket"))
+              .agg(F.count(F.lit(1)).alias("_c"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    base = counts.where("_base").groupBy("bucket").agg(F.sum("_c").alias("_b"))
+    ref = base.crossJoin(base.agg(F.sum("_b").alias("_bt"))).select("bucket", (F.col("_b") / F.col("_bt")).alias("q"))
+    per = counts.groupBy(period, "bucket").agg(F.sum("_c").alias("_c"))
+    tot = counts.groupBy(period).agg(F.sum("_c").alias("_t"))
     grid = tot.crossJoin(F.broadcast(ref))  # periods x buckets (bins rows each)
     shares = (grid.join(per, [period, "bucket"], "left")
               .select(period, "bucket", F.greatest(F.coalesce(F.col("_c"), F.lit(0)) / F.col("_t"),
