@@ -90,3 +90,13 @@ def _qname(q: float) -> str:
 
 def median(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
     return quantiles(df, value, [0.5], groups)
+
+
+def approx_median(df: DataFrame, value: str, groups: list[str] | None = None,
+                  accuracy: int = 10_000) -> DataFrame:
+    """Approximate median (Greenwald-Khanna sketch, mergeable partial
+    aggregation): relative rank error 1 / accuracy, bounded memory per group.
+    Use when an exact median is not required."""
+    g = list(groups or [])
+    agg = F.percentile_approx(value, 0.5, accuracy).alias("median")
+    return df.groupBy(*g).agg(agg) if g else df.agg(agg)

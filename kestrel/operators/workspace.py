@@ -136,11 +136,18 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
 def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str, dataset_name: str,
                      file_name: str, dataset_type: str | None = None,
-                     dataset_id: str | None = None, now: datetime | None = None) -> dict:
+                     dataset_id: str | None = None, now: datetime | None = None,
+                     fill_defaults: bool = True) -> dict:
     """CSV -> detect -> validate -> defaults -> records, then metadata.
 
     Returns the schema report.  The header (a list of names) is the only
     thing inspected on the driver; rows never leave the executors.
+
+    ``fill_defaults=True`` is the source order: defaults are written into
+    the records at upload, which hides alias columns from the serving
+    normalisers (a filled 50.0 is truthy).  With ``False`` the records keep
+    only the uploaded cells and the normalisers' own defaults apply after
+    alias resolution.
     """
     dataset_id = dataset_id or uuid.uuid4().hex
     now = now or datetime(2001, 6, 1)
@@ -152,8 +159,9 @@ def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str,
     report = validate_schemas(headers).first()  # one row of metadata
     missing = list(report["columns_missing"])
     numbered = number_rows_in_file_order(raw)  # file order, contiguous, no global window
-    adapted = adapt_rows(numbered, missing, report["dataset_type"])
-    all_cols = columns + [c for c in missing if c in S.UPLOAD_SCHEMAS.get(report["dataset_type"], {})]
+    to_fill = missing if fill_defaults else []
+    adapted = adapt_rows(numbered, to_fill, report["dataset_type"])
+    all_cols = columns + [c for c in to_fill if c in S.UPLOAD_SCHEMAS.get(report["dataset_type"], {})]
     records = (adapted.select("row_number", payload_build(all_cols).alias("payload"))
                .select(F.lit(dataset_id).alias("dataset_id"), F.lit(user_email).alias("user_email"),
                        F.col("row_number").cast("long"), "payload"))

@@ -36,13 +36,21 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Context], DataFrame]):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
-        _QUERIES[name] = lambda spark, sf_dir, _fn=fn: for_check(_fn(Context(spark, sf_dir)))
+        _QUERIES[name] = lambda spark, sf_dir, _fn=fn: _run(_fn, spark, sf_dir)
         if sql is not None:
             _ORACLE[name] = sql
         return fn
     return deco
 
 
+def _run(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
+    # small aggregates persisted by earlier queries are no longer needed;
+    # dropping them bounds memory over a long session (a later re-run of an
+    # old DataFrame simply recomputes)
+    spark.catalog.clearCache()
+    return for_check(fn(Context(spark, sf_dir)))
+
+
 def for_check(df: DataFrame) -> DataFrame:
     """Portable output types for the cross-engine compare: dates and
     timestamps as ISO text, decimals as double, integers as bigint."""

@@ -55,3 +55,23 @@ def test_ingest_roundtrip_and_tenancy(spark, tmp_path):
     W.workspace_delete(spark, root, "u@x", "d1")
     assert W.workspace_list(spark, root, "u@x").count() == 0
     assert W.owned_records(spark, root, "u@x", "d1").count() == 0
+
+
+def test_defaults_after_aliases_flag(spark, tmp_path):
+    src = tmp_path / "sup.csv"
+    src.write_text("supplier_name,Quality Score,delivery_score,cost_score,reliability_score,overall_score,risk_tier\n"
+                   "A,91.5,70,60,50,65,Medium Risk\n")
+    root = str(tmp_path / "ws")
+    W.workspace_ingest(spark, root, str(src), "u@x", "src-order", "sup.csv", dataset_id="d1")
+    W.workspace_ingest(spark, root, str(src), "u@x", "alias-first", "sup.csv", dataset_id="d2", fill_defaults=False)
+    q = lambda d: W.alias_coalesce_supplier(W.owned_records(spark, root, "u@x", d)).first()["quality_score"]  # noqa
+    assert q("d1") == 50.0    # source order: the filled default hides the alias
+    assert q("d2") == 91.5    # defaults after alias resolution
+
+
+def test_approx_median_close(spark):
+    from kestrel.operators import ranks as RK
+    df = spark.range(0, 10001).selectExpr("cast(id as double) as v")
+    exact = RK.median(df, "v").first()["median"]
+    approx = RK.approx_median(df, "v").first()["median"]
+    assert exact == 5000.0 and abs(approx - exact) <= 2
