@@ -10,25 +10,40 @@ re-reads files instead of recomputing the joins that built them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.session import scratch_path
 
 _PATHS: dict[tuple, str] = {}
+_LOCKS: dict[tuple, threading.Lock] = {}
+_GUARD = threading.Lock()
 
 
 def stored(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, scope, name)
-    path = _PATHS.get(key)
-    if path is None:
-        path = scratch_path(spark, f"table-{name}")
-        build().write.mode("overwrite").parquet(path)
-        _PATHS[key] = path
+    with _GUARD:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    with lock:  # one builder per table even when jobs run concurrently
+        path = _PATHS.get(key)
+        if path is None:
+            path = scratch_path(spark, f"table-{name}")
+            build().write.mode("overwrite").parquet(path)
+            _PATHS[key] = path
     return spark.read.parquet(path)
 
 
+def build_all(getters: Iterable[Callable[[], DataFrame]], parallel: int = 4) -> None:
+    """Write several stored tables as concurrent Spark jobs (independent
+    tables overlap; a shared dependency is still built once)."""
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for f in [pool.submit(g) for g in getters]:
+            f.result()
+
+
 def forget(spark: SparkSession) -> None:
     """Drop the table registry of this application (tests)."""
     app = spark.sparkContext.applicationId
