@@ -236,7 +236,12 @@ def q_registry_one_active(ctx):
                                                   .alias("violations"))
 
 
-@register("scan_json_registry")
+@register("scan_json_registry", with_views(["skus_f"], """
+SELECT 'supplier_scorer' AS model_name, '1.0' AS model_version, 'WeightedCompositeScore' AS algorithm,
+  'active' AS status, CAST((SELECT COUNT(DISTINCT supplier_name) FROM skus_f) AS DOUBLE) AS scored
+UNION ALL SELECT 'inventory_optimizer', '1.0', 'AnalyticalFormulas', 'active',
+  CAST((SELECT COUNT(*) FROM skus_f) AS DOUBLE)
+UNION ALL SELECT 'delay_rules', '0.1', 'Rules', 'active', CAST(NULL AS DOUBLE)"""))
 def q_scan_json_registry(ctx):
     """Registry written as one JSON array document and read back multi-line."""
     path = scratch_path(ctx.spark, "registry-json")
@@ -244,4 +249,7 @@ def q_scan_json_registry(ctx):
     doc = reg.agg(F.to_json(F.collect_list(F.struct(*reg.columns))).alias("value"))  # 3 rows -> 1 document
     doc.write.mode("overwrite").text(path)
     from kestrel.sources.files import scan_json_array
-    return scan_json_array(ctx.spark, path)
+    back = scan_json_array(ctx.spark, path)
+    m = F.col("metrics")
+    scored = F.coalesce(F.get_json_object(m, "$.suppliers_scored"), F.get_json_object(m, "$.skus_analyzed"))
+    return back.select("model_name", "model_version", "algorithm", "status", scored.cast("double").alias("scored"))
