@@ -110,7 +110,7 @@ SELECT sh.shipment_number, CAST(sh.ship_date AS VARCHAR) AS ship_date,
   CAST(sh.actual_delivery_date AS VARCHAR) AS actual_delivery_date, sh.status,
   CAST(sh.shipped_quantity AS BIGINT) AS shipped_quantity, CAST(sh.delivered_quantity AS BIGINT) AS delivered_quantity,
   CAST(sh.freight_cost AS DOUBLE) AS freight_cost, CAST(sh.distance_km AS DOUBLE) AS distance_km,
-  CAST(sh.delay_days AS DOUBLE) AS delay_days, sh.is_delayed, p.sku, p.product_name,
+  CAST(sh.delay_days AS DOUBLE) AS delay_days, CAST(sh.is_delayed AS VARCHAR) AS is_delayed, p.sku, p.product_name,
   c.carrier_code, c.carrier_name, c.transport_mode,
   src.location_code AS source_location_code, src.location_name AS source_location_name,
   dest.location_code AS destination_location_code, dest.location_name AS destination_location_name,
@@ -127,7 +127,9 @@ JOIN dim_locations dest ON dest.location_id = sh.destination_location_id
 LEFT JOIN dim_suppliers s ON s.supplier_id = sh.supplier_id
 LEFT JOIN {_LATEST_PRED} ldp ON ldp.shipment_id = sh.shipment_id"""))
 def q_bi_logistics_dashboard(ctx):
-    return V.bi_logistics_dashboard(ctx.wh).withColumn("delay_days", F.col("delay_days").cast("double"))
+    # outer-derived nullable columns compared in portable types
+    return V.bi_logistics_dashboard(ctx.wh).withColumns({
+        "delay_days": F.col("delay_days").cast("double"), "is_delayed": F.col("is_delayed").cast("string")})
 
 
 @register("bi_inventory_recommendations", with_views(["b_rec", "dim_products"], """
