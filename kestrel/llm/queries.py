@@ -40,3 +40,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.substring_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file on every machine (a parameter of the operators)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.bpe import encode_decode
+    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op5_token_orc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.token_orc import digest, store_and_read
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(store_and_read(docs, vocabulary("word_bpe_49k.json")))
