@@ -85,3 +85,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.token_orc import digest, store_and_read
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(store_and_read(docs, vocabulary("word_bpe_49k.json")))
+
+
+_OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, u.y FROM r JOIN u ON r.reach = u.x),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op4_near_dedup", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.near_dedup import near_duplicates
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
