@@ -106,3 +106,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.near_dedup import near_duplicates
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op9_langid")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.langid import fit, held_out, identify
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"), 5)).select("text", "lang"))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "rejected")
