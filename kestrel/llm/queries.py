@@ -115,3 +115,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs.where(~held_out(F.col("doc_id"), 5)).select("text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_lattice_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.lattice_lm import score
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
