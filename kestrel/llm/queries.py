@@ -121,3 +121,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.lattice_lm import score
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+_OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, u.y FROM r JOIN u ON r.reach = u.x),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id),
+n AS (SELECT x, count(*) AS n FROM u GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
+
+
+@query("op10_vector_dedup", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.vector_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
