@@ -142,3 +142,9 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.x = v.vec_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.vector_dedup import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.html_extract import extract
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
