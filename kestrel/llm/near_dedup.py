@@ -28,6 +28,7 @@ by their texts; a component's id is the smallest id in it that isn't null.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,8 +219,6 @@ def _verify(tasks: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _hubs(large: DataFrame) -> DataFrame:
     """A few central classes of each large component: those whose sketches agree
     most with the most common values of some of its classes."""
-    import pandas as pd
-
     some = (large.withColumn("_n", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node"))))
             .where("_n <= 256"))
 
