@@ -148,3 +148,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.html_extract import extract
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM d WHERE length(h) >= 400)),
+m AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+w AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM k SEMI JOIN m USING (k)),
+g AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM w),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY doc_id, run),
+l AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb FROM r GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN aa IS NULL THEN h ELSE array_to_string([substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE bb[i - 1] END) + 1,
+         2 * ((CASE WHEN i > len(aa) THEN length(h) // 2 ELSE aa[i] END) - (CASE WHEN i = 1 THEN 0 ELSE bb[i - 1] END))) FOR i IN range(1, len(aa) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op7_suffix_dedup", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.suffix_dedup import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
