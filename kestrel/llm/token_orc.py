@@ -15,6 +15,7 @@ other, ordered by a hash of their text; a null id comes first.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,17 +25,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrel.llm.hashing import text_bytes
 from kestrel.session import scratch_path
 
 CACHE_WORDS = 500_000
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_ALNUM = b"abcdefghijklmnopqrstuvwxyz0123456789"
 STORED = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
 class _Words:
     """Ids of texts by the tokenizers library, called once per distinct word.
 
-    Sound for vocabularies whose splitting drops white space: then no token
-    reaches across it, and a text's ids are those of its words in turn.
+    Sound for vocabularies that lower-case and whose splitting drops white
+    space: then no token reaches across it, and a text's ids are those of its
+    words in turn.  A word of lower-case Latin letters needs no normalizing and
+    is one piece, so the library's merge model alone is asked; a full stop or
+    comma after a letter or digit is a piece of its own; every other word goes
+    through the whole tokenizer, and so does a text that may hold the string of
+    a special token.
     """
 
     def __init__(self, path: str):
@@ -43,11 +52,45 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        # the character that stands for each byte in a byte-level vocabulary
+        self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.now: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _direct(self, word: bytes) -> bytes | None:
+        """Ids of a word that is a single piece in normal form, else None."""
+        if not _LETTERS(word.decode()):
+            return None
+        return np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.chars))], "<i4").tobytes()
+
+    def _learn(self, words) -> None:
+        others = []
+        for w in words:
+            if w[-1] in b".," and len(w) > 1 and w[-2] in _ALNUM:
+                core = self.now.get(w[:-1]) or self._direct(w[:-1])
+                if core is not None:
+                    self.now[w] = core + self._mark(w[-1:])
+                    continue
+            ids = self._direct(w)
+            if ids is None:
+                others.append(w)
+            else:
+                self.now[w] = ids
+        if others:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+            self.now.update((w, np.array(f.ids, "<i4").tobytes()) for w, f in zip(others, found))
+
+    def _mark(self, mark: bytes) -> bytes:
+        if mark not in self.now:
+            self.now[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+        return self.now[mark]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        odd = [b"<|" in t for t in texts]
+        split = [() if o else t.lower().split() for t, o in zip(texts, odd)]
         used = set().union(*split)
         need = used.difference(self.now)
         if need:
@@ -57,17 +100,12 @@ class _Words:
             if known := need & self.older.keys():
                 self.now.update((w, self.older[w]) for w in known)
                 need = need - known
-            fresh = list(need)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            ids = [f.ids for f in found]
-            flat = np.array([t for x in ids for t in x], "<i4").tobytes()
-            at = 0
-            for w, x in zip(fresh, ids):
-                stop = at + 4 * len(x)
-                self.now[w] = flat[at:stop]
-                at = stop
+            self._learn(need)
         look = self.now.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return [self._whole(t) if o else b"".join(map(look, words)) for t, o, words in zip(texts, odd, split)]
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<i4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +125,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids = words.encode([(t or "").encode() for t in piece.column(1).to_pylist()])
+                data, ends = text_bytes(piece.column(1))
+                raw, ends = data.tobytes(), ends.tolist()
+                ids = words.encode([raw[a:b] for a, b in zip([0, *ends], ends)])
                 sizes = np.array([len(i) // 4 + 1 for i in ids], np.int64)
                 stops = np.cumsum(sizes)
                 values = np.frombuffer(b"".join(x for i in ids for x in (i, end)), "<i4")
