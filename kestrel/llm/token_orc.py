@@ -25,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrel.llm.blocks import materialize
 from kestrel.llm.hashing import text_bytes
 from kestrel.session import scratch_path
 
 CACHE_WORDS = 500_000
+#: Files whose offsets (16 bytes each) are broadcast when reading back.
+BROADCAST_FILES = 100_000
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _ALNUM = b"abcdefghijklmnopqrstuvwxyz0123456789"
 STORED = "doc_id long, part int, start long, n_tokens long, ids array<int>"
@@ -148,6 +151,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
                .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    offsets = materialize(offsets, "token-offsets")
+    if offsets.count() <= BROADCAST_FILES:  # else the ids are shuffled to their file's offset
+        offsets = F.broadcast(offsets)
     return (stored.join(offsets, "part")
             .select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids"))
 
