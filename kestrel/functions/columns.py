@@ -29,6 +29,8 @@ MODEL_TYPE_RULES = [
     (["inventory", "optim"], "inventory_optimization"),
 ]
 MODEL_TYPE_DEFAULT = "recommendation"
+# text that is a number: decimal with an optional exponent, or an infinity
+NUMBER_TEXT = r"(?i)^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)$"
 
 
 def col(c) -> Column:
@@ -64,9 +66,19 @@ def clean_string(c) -> Column:
     return F.when(t.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(t)
 
 
+def parse_number(c) -> Column:
+    """Text or number to double as Python's ``float`` reads it, else null.
+
+    The cast alone would take Java suffixes (``12.5d``, ``3f``); not-a-number
+    becomes null, as a missing value is.
+    """
+    t = F.trim(col(c).cast("string"))
+    return F.when(t.rlike(NUMBER_TEXT), F.nanvl(t.try_cast("double"), F.lit(None).cast("double")))
+
+
 def to_number(c) -> Column:
     """``pd.to_numeric(errors='coerce')``: bad text becomes null."""
-    return col(c).try_cast("double")
+    return parse_number(c)
 
 
 def to_int_string(c) -> Column:
@@ -125,19 +137,19 @@ def discount_pct(rate) -> Column:
 
 
 def safe_float(c, default: float = 0.0) -> Column:
-    return F.coalesce(col(c).try_cast("double"), F.lit(float(default)))
+    return F.coalesce(parse_number(c), F.lit(float(default)))
 
 
 def safe_int(c, default: int = 0) -> Column:
     """``int(float(x))``: parse as double, truncate toward zero."""
-    return F.coalesce(col(c).try_cast("double").try_cast("long"), F.lit(int(default)))
+    return F.coalesce(parse_number(c).try_cast("long"), F.lit(int(default)))
 
 
 def truthy(c) -> Column:
     """Python truthiness on a loosely typed value kept as text:
     null, '' and numeric zero are falsy."""
     s = col(c).cast("string")
-    num = s.try_cast("double")
+    num = parse_number(s)
     return s.isNotNull() & (s != F.lit("")) & F.coalesce(num != F.lit(0.0), F.lit(True))
 
 

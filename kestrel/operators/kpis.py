@@ -19,7 +19,8 @@ def dsum(c) -> Column:
 
 
 def _ratio_pct(num: Column, den: Column, scale: int = 2) -> Column:
-    return F.round(F.try_divide(num.cast("decimal(38,9)") * 100, den.cast("decimal(38,9)")), scale)
+    """Python ``round``: ties go to the even digit."""
+    return F.bround(F.try_divide(num.cast("decimal(38,9)") * 100, den.cast("decimal(38,9)")), scale)
 
 
 def find_column_alias(df: DataFrame, aliases: list[str]) -> str | None:
@@ -45,8 +46,8 @@ def agg_shipment_kpis(df: DataFrame, group_by: list[str] | None = None) -> DataF
     profit = C.safe_float(F.col(profit_c)) if profit_c else F.lit(0.0)
     aggs = [F.count(F.lit(1)).alias("total_orders"),
             dsum(late).alias("_late"),
-            F.round(dsum(sales), 2).alias("_sales"),
-            F.round(dsum(profit), 2).alias("_profit")]
+            F.bround(dsum(sales), 2).alias("_sales"),
+            F.bround(dsum(profit), 2).alias("_profit")]
     g = df.groupBy(*group_by).agg(*aggs) if group_by else df.agg(*aggs)
     late_n = F.col("_late").cast("long")
     on_time = F.when(F.col("total_orders") > 0,
@@ -66,7 +67,7 @@ def agg_inventory_kpis(inv: DataFrame) -> DataFrame:
     return inv.agg(
         F.count_if(C.safe_int("stockout_risk") == 1).cast("long").alias("skus_at_stockout_risk"),
         F.count(F.lit(1)).cast("long").alias("total_skus"),
-        F.coalesce(F.round(dsum(C.safe_float("revenue_at_risk")), 2), F.lit(0)).cast("double")
+        F.coalesce(F.bround(dsum(C.safe_float("revenue_at_risk")), 2), F.lit(0)).cast("double")
          .alias("revenue_at_risk"))
 
 

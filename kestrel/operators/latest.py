@@ -51,20 +51,26 @@ def row_number_in_source(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Contiguous 1..n numbering in scan order without a global window.
 
     Per-partition counts (one small row per partition) are turned into
-    offsets by a cumulative sum over partitions, broadcast back, and added to
+    offsets by a cumulative sum over partitions, joined back, and added to
     the in-partition position.  No single task ever holds all rows.
     """
     with_pos = (df.withColumn("_pid", F.spark_partition_id())
                   .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside the partition: the low 33 bits of the generated id
     with_pos = with_pos.withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = with_pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    return _number(with_pos.drop("_mid"), name)
+
+
+def _number(placed: DataFrame, name: str) -> DataFrame:
+    """Number rows that know their partition and their place in it: the
+    partitions before (one row each) give the offset."""
+    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    return (with_pos.join(F.broadcast(offsets), "_pid")
+    return (placed.join(offsets, "_pid")
             .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos") + 1)
-            .drop("_pid", "_mid", "_pos", "_off"))
+            .drop("_pid", "_pos", "_off"))
 
 
 def rank_leaderboard(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
@@ -75,6 +81,7 @@ def rank_leaderboard(df: DataFrame, score: str, name: str = "rank") -> DataFrame
     numbering from per-partition offsets."""
     order = [F.col(score).desc()] + [F.col(c).asc() for c in df.columns if c != score]
     from kestrel.session import materialize
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    return row_number_in_source(ranged, name)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumns({"_pid": F.spark_partition_id(),
+                                             "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    return _number(placed, name)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kestrel import schemas as S
 from kestrel.functions import columns as C
 from kestrel.operators.relational import split_stratified, split_train_test
+from kestrel.session import materialize
 
 # Forest settings of the source models.
 FOREST_TREES = 200
@@ -28,19 +29,24 @@ FOREST_DEPTH = 15
 SEED = 42
 # min_samples_split = 10 has no MLlib twin; 5 rows per child is the closest.
 MIN_INSTANCES_PER_NODE = 5
+# Labelled rows a forest is fitted on at most, taken by a hash of the row key.
+TRAIN_ROWS = 4_000
+# Node statistics one pass may hold: the forest grows in fewer passes.
+TREE_MEMORY_MB = 1024
 
 
 def encode_input(df: DataFrame, categoricals: list[str], numerics: list[str]) -> DataFrame:
     """Categoricals as text with missing -> 'nan'; numerics coerced, missing -> 0."""
     return df.withColumns({
         **{c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in categoricals},
-        **{c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numerics}})
+        **{c: F.coalesce(C.parse_number(c), F.lit(0.0)) for c in numerics}})
 
 
-def encode_categoricals(categoricals: list[str]) -> list[StringIndexer]:
-    """Sorted label codes (alphabetical); unseen values go to an extra index."""
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
-                          handleInvalid="keep") for c in categoricals]
+def encode_categoricals(categoricals: list[str]) -> StringIndexer:
+    """Sorted label codes (alphabetical) of all columns in one pass; unseen
+    values go to an extra index."""
+    return StringIndexer(inputCols=categoricals, outputCols=[f"{c}_idx" for c in categoricals],
+                         stringOrderType="alphabetAsc", handleInvalid="keep")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -57,35 +63,47 @@ def _max_bins(df: DataFrame, categoricals: list[str]) -> int:
     return max(32, *[int(row[c]) + 1 for c in categoricals])
 
 
+def training_rows(train: DataFrame, key: str, columns: list[str], limit: int | None) -> DataFrame:
+    """The prepared rows of a fit, written once: all of them, or the ``limit``
+    with the smallest key hashes (a top-k, not a full sort).  They are dealt
+    evenly over the cores, since a forest reads them many times."""
+    rows = train.select(*columns)
+    if limit is not None:
+        rows = train.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit).select(*columns)
+    return materialize(rows, "train").repartition(train.sparkSession.sparkContext.defaultParallelism)
+
+
 def train_delay_classifier(df: DataFrame, num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
-                           seed: int = SEED, key: str = "row_key") -> tuple[PipelineModel, DataFrame]:
+                           seed: int = SEED, key: str = "row_key", train_rows: int | None = TRAIN_ROWS) -> tuple[PipelineModel, DataFrame]:
     """Forest on the 10 delay features, balanced class weights, stratified
     80/20 split; returns (model, test rows)."""
     cats, nums, target = S.DELAY_CATEGORICALS, S.DELAY_NUMERICS, S.DELAY_TARGET
     d = encode_input(df.where(F.col(target).isNotNull()), cats, nums) \
         .withColumn("label", F.col(target).cast("double"))
     d = split_stratified(d, F.col(key), "label", 0.2, seed)
-    train = balanced_weights(d.where(~F.col("is_test")), "label")
+    train = training_rows(balanced_weights(d.where(~F.col("is_test")), "label"), key,
+                          [*cats, *nums, "label", "weight"], train_rows)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                minInstancesPerNode=MIN_INSTANCES_PER_NODE, maxBins=_max_bins(d, cats))
-    pipe = Pipeline(stages=[*encode_categoricals(cats),
+                                numTrees=num_trees, maxDepth=max_depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
+                                minInstancesPerNode=MIN_INSTANCES_PER_NODE, maxBins=_max_bins(train, cats))
+    pipe = Pipeline(stages=[encode_categoricals(cats),
                             VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + nums, outputCol="features"), rf])
     return pipe.fit(train), d.where(F.col("is_test"))
 
 
 def train_sales_regressor(df: DataFrame, num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
-                          seed: int = SEED, key: str = "row_key") -> tuple[PipelineModel, DataFrame]:
+                          seed: int = SEED, key: str = "row_key", train_rows: int | None = TRAIN_ROWS) -> tuple[PipelineModel, DataFrame]:
     cats, nums, target = S.DELAY_CATEGORICALS, S.DEMAND_NUMERICS, S.DEMAND_TARGET
     d = encode_input(df.where(F.col(target).isNotNull()), cats, nums) \
         .withColumn("label", F.col(target).cast("double"))
     d = split_train_test(d, F.col(key), 0.2, seed)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
+    train = training_rows(d.where(~F.col("is_test")), key, [*cats, *nums, "label"], train_rows)
+    rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees, maxMemoryInMB=TREE_MEMORY_MB,
                                maxDepth=max_depth, seed=seed, minInstancesPerNode=MIN_INSTANCES_PER_NODE,
-                               maxBins=_max_bins(d, cats))
-    pipe = Pipeline(stages=[*encode_categoricals(cats),
+                               maxBins=_max_bins(train, cats))
+    pipe = Pipeline(stages=[encode_categoricals(cats),
                             VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + nums, outputCol="features"), rf])
-    return pipe.fit(d.where(~F.col("is_test"))), d.where(F.col("is_test"))
+    return pipe.fit(train), d.where(F.col("is_test"))
 
 
 def score_delay_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -143,34 +161,33 @@ def eval_classifier(scored: DataFrame, label: str = "label", pred: str = "predic
     prec = F.try_divide(dec("tp"), dec("tp") + dec("fp"))
     rec = F.try_divide(dec("tp"), dec("tp") + dec("fn"))
     out = c.select(
-        F.round((dec("tp") + dec("tn")) / (dec("tp") + dec("tn") + dec("fp") + dec("fn")), 4).cast("double")
+        F.bround((dec("tp") + dec("tn")) / (dec("tp") + dec("tn") + dec("fp") + dec("fn")), 4).cast("double")
         .alias("accuracy"),
-        F.round(F.coalesce(prec, F.lit(0)), 4).cast("double").alias("precision"),
-        F.round(F.coalesce(rec, F.lit(0)), 4).cast("double").alias("recall"),
-        F.round(F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0)), 4).cast("double").alias("f1_score"))
+        F.bround(F.coalesce(prec, F.lit(0)), 4).cast("double").alias("precision"),
+        F.bround(F.coalesce(rec, F.lit(0)), 4).cast("double").alias("recall"),
+        F.bround(F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0)), 4).cast("double").alias("f1_score"))
     if prob:
         auc = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=label, metricName="areaUnderROC") \
             .evaluate(scored.withColumn(label, F.col(label).cast("double")))
-        out = out.withColumn("roc_auc", C.round_half_up(F.lit(auc), 4))
+        out = out.withColumn("roc_auc", C.round_half_even(F.lit(auc), 4))
     return out
 
 
 def eval_class_report(scored: DataFrame, label: str = "label", pred: str = "predicted_label") -> DataFrame:
-    """Per class precision / recall / F1 / support."""
-    y, p = F.col(label).cast("long"), F.col(pred).cast("long")
-    classes = scored.select(y.alias("cls")).distinct().union(scored.select(p.alias("cls")).distinct()).distinct()
-    per = scored.select(y.alias("y"), p.alias("p")).crossJoin(F.broadcast(classes)).groupBy("cls").agg(
-        F.count_if((F.col("y") == F.col("cls")) & (F.col("p") == F.col("cls"))).alias("tp"),
-        F.count_if((F.col("y") != F.col("cls")) & (F.col("p") == F.col("cls"))).alias("fp"),
-        F.count_if((F.col("y") == F.col("cls")) & (F.col("p") != F.col("cls"))).alias("fn"),
-        F.count_if(F.col("y") == F.col("cls")).alias("support"))
+    """Per class precision / recall / F1 / support, from the confusion counts
+    (one small group-by over the scored rows; classes x classes rows after it)."""
+    cells = agg_confusion_matrix(scored, label, pred)
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    actual = cells.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    said = cells.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("said"))
+    per = actual.join(said, "cls", "full").where("cls IS NOT NULL").fillna(0, ["support", "tp", "said"])
     d = lambda x: F.col(x).cast("decimal(38,9)")
-    prec = F.coalesce(F.try_divide(d("tp"), d("tp") + d("fp")), F.lit(0))
-    rec = F.coalesce(F.try_divide(d("tp"), d("tp") + d("fn")), F.lit(0))
+    prec = F.coalesce(F.try_divide(d("tp"), d("said")), F.lit(0))
+    rec = F.coalesce(F.try_divide(d("tp"), d("support")), F.lit(0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0))
-    return per.select("cls", F.round(prec, 4).cast("double").alias("precision"),
-                      F.round(rec, 4).cast("double").alias("recall"), F.round(f1, 4).cast("double").alias("f1"),
-                      "support")
+    return per.select("cls", F.bround(prec, 4).cast("double").alias("precision"),
+                      F.bround(rec, 4).cast("double").alias("recall"), F.bround(f1, 4).cast("double").alias("f1"),
+                      F.col("support").cast("long").alias("support"))
 
 
 def eval_regressor(scored: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -180,9 +197,9 @@ def eval_regressor(scored: DataFrame, label: str = "label", pred: str = "predict
     agg = scored.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                      F.sum(e * e).alias("sse"), F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"),
                      F.avg(F.when(y != 0, F.abs(e / y))).alias("ape"))
-    return agg.select(C.round_half_up(F.sqrt("mse"), 4).alias("rmse"), C.round_half_up("mae", 4).alias("mae"),
-                      C.round_half_up(F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n")), 4).alias("r2"),
-                      C.round_half_up(F.col("ape") * 100, 2).alias("mape"))
+    return agg.select(C.round_half_even(F.sqrt("mse"), 4).alias("rmse"), C.round_half_even("mae", 4).alias("mae"),
+                      C.round_half_even(F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n")), 4).alias("r2"),
+                      C.round_half_even(F.col("ape") * 100, 2).alias("mape"))
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession, features: list[str]) -> DataFrame:

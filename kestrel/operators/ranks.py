@@ -32,8 +32,9 @@ def value_ranks(df: DataFrame, value: str, groups: list[str] | None = None,
     n_rows = F.sum(weight) if weight else F.count(F.lit(1))  # weight: rows pre-counted upstream
     vc = (df.where(F.col(value).isNotNull())
           .groupBy(*g, value).agg(n_rows.cast("long").alias("cnt")))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = vc.repartitionByRange(n_parts, *[F.col(c) for c in g], F.col(value)) \
+    order = [*[F.col(c) for c in g], F.col(value)]
+    ranged = vc.repartitionByRange(partitions, *order) if partitions else vc.repartitionByRange(*order)
+    rp = ranged \
            .withColumn("_pid", F.spark_partition_id())
     local = Window.partitionBy("_pid", *g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rp = rp.withColumn("_local", F.coalesce(F.sum("cnt").over(local), F.lit(0)))
@@ -64,8 +65,12 @@ def quantiles(df: DataFrame, value: str, qs: list[float], groups: list[str] | No
     [before, before + cnt), so each target is found with an equi-join on
     the group and a range test, then one small aggregation per group.
     """
+    return quantiles_of(value_ranks(df, value, list(groups or [])), value, qs, groups)
+
+
+def quantiles_of(vr: DataFrame, value: str, qs: list[float], groups: list[str] | None = None) -> DataFrame:
+    """``quantiles`` from rows of ``value_ranks``."""
     g = list(groups or [])
-    vr = value_ranks(df, value, g)
     aggs = []
     for i, q in enumerate(qs):
         h = (F.col("n") - 1) * F.lit(float(q))

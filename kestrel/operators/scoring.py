@@ -162,18 +162,18 @@ def agg_inventory_metrics(inv: DataFrame) -> DataFrame:
     at = F.sum("stockout_risk")
     return inv.agg(
         n.alias("skus_analyzed"), at.cast("long").alias("at_stockout_risk"),
-        F.round(at.cast("decimal(38,9)") * 100 / n, 1).cast("double").alias("stockout_risk_pct"),
-        F.round(F.sum(F.col("revenue_at_risk").cast("decimal(38,9)")), 2).cast("double")
+        F.bround(at.cast("decimal(38,9)") * 100 / n, 1).cast("double").alias("stockout_risk_pct"),
+        F.bround(F.sum(F.col("revenue_at_risk").cast("decimal(38,9)")), 2).cast("double")
          .alias("total_revenue_at_risk"),
-        F.round(F.avg(F.col("safety_stock").cast("decimal(38,9)")), 1).cast("double").alias("avg_safety_stock"),
-        F.round(F.avg(F.col("reorder_point").cast("decimal(38,9)")), 1).cast("double").alias("avg_reorder_point"),
-        F.round(F.avg(F.col("days_of_inventory").cast("decimal(38,9)")), 1).cast("double")
+        F.bround(F.avg(F.col("safety_stock").cast("decimal(38,9)")), 1).cast("double").alias("avg_safety_stock"),
+        F.bround(F.avg(F.col("reorder_point").cast("decimal(38,9)")), 1).cast("double").alias("avg_reorder_point"),
+        F.bround(F.avg(F.col("days_of_inventory").cast("decimal(38,9)")), 1).cast("double")
          .alias("avg_days_of_inventory"))
 
 
 def agg_risk_by_type(inv: DataFrame) -> DataFrame:
     return inv.groupBy("product_type").agg(
-        F.round(F.sum(F.col("stockout_risk")).cast("decimal(38,9)") * 100 / F.count("stockout_risk"), 4)
+        F.bround(F.sum(F.col("stockout_risk")).cast("decimal(38,9)") * 100 / F.count("stockout_risk"), 4)
          .cast("double").alias("stockout_risk_pct"))
 
 

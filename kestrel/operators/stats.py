@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import columns as C
 from kestrel.functions.special import chi2_pvalue, t_pvalue
 from kestrel.operators import ranks as RK
+from kestrel.session import materialize
 
 
 def welch_t_test(df: DataFrame, value: str, flag: str, a=0, b=1) -> DataFrame:
@@ -49,9 +49,8 @@ def chi_square_independence(df: DataFrame, row: str, col: str, correction: bool
     continuity correction moves each of the four cells half a unit toward
     its expected count, never past it; then the 2 x 2 grid is completed.
     """
-    # the cell counts feed six small branches: computed once (one pass over
-    # the input), kept in memory/disk; a lost block is recomputed from lineage
-    ct = contingency(df, row, col).persist(StorageLevel.MEMORY_AND_DISK)
+    # the cell counts feed six small branches: written once (one pass over the input)
+    ct = materialize(contingency(df, row, col), "contingency")
     rows = ct.groupBy(row).agg(F.sum("o").alias("r_tot"))
     cols = ct.groupBy(col).agg(F.sum("o").alias("c_tot"))
     tot = ct.agg(F.sum("o").alias("n"))
@@ -89,9 +88,8 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, levels: list[str]) ->
     One pass over the input: distinct (group, value) counts (partial
     aggregation), kept for the two small branches that use them.
     """
-    dv = (df.where(F.col(group).isin(*levels) & F.col(value).isNotNull())
-          .groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    dv = materialize(df.where(F.col(group).isin(*levels) & F.col(value).isNotNull())
+                     .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")), "group-values")
     vr = RK.value_ranks(dv, value, weight="c")  # pooled ranks of distinct values
     ties = vr.agg(F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt")).alias("tie_sum"),
                   F.max("n").alias("N"))
@@ -116,16 +114,20 @@ def agg_group_stats(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def agg_boxplot(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Quartiles, whiskers (most extreme points within 1.5 IQR) and outliers."""
-    d = df.where(F.col(value).isNotNull())
-    q = RK.quantiles(d, value, [0.25, 0.5, 0.75], [group])
-    lim = q.withColumns({"_iqr": F.col("p75") - F.col("p25")}).withColumns({
-        "_lo": F.col("p25") - 1.5 * F.col("_iqr"), "_hi": F.col("p75") + 1.5 * F.col("_iqr")})
-    j = d.join(lim.select(group, "_lo", "_hi"), group)
+    """Quartiles, whiskers (most extreme points within 1.5 IQR) and outliers.
+
+    The distinct values with their counts, which the quartiles need anyway,
+    also give whiskers and outliers, so the rows are read once.
+    """
+    vr = materialize(RK.value_ranks(df, value, [group]), "boxplot-values")
+    q = RK.quantiles_of(vr, value, [0.25, 0.5, 0.75], [group])
+    lim = q.select(group, (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("_lo"),
+                   (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("_hi"))
+    j = vr.select(group, value, "cnt").join(lim, group)
     inside = (F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))
     w = j.groupBy(group).agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"),
                              F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-                             F.count_if(~inside).alias("outliers"))
+                             F.sum(F.when(inside, 0).otherwise(F.col("cnt"))).cast("long").alias("outliers"))
     return q.join(w, group)
 
 
@@ -145,42 +147,50 @@ def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Spearman rho per pair: average ranks over the pair's complete rows,
     then Pearson r of the ranks (pandas pairwise-complete semantics).
 
-    All pairs are ranked in one job: complete rows are stacked as
-    (pair, x, y), both sides are ranked together grouped by (pair, side),
-    and ranks are joined back on the values (no row ids needed).
+    A pair's ranks depend on its complete rows only.  The rows are grouped by
+    their null pattern; where no row has a null (or, in general, for a pair
+    whose columns miss together) the ranks of a column are the same in all its
+    pairs.  So every column is ranked once for each distinct set of patterns
+    it is needed with, and the distinct rows of values, with their counts,
+    meet their ranks by a join that the adaptive skew split can cut.
     """
     pairs = list(combinations(cols, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "x string, y string, r double")
-    cells = F.array(*[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
-                             F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
-                                      F.col(b).cast("double").alias("y")))
-                      for i, (a, b) in enumerate(pairs)])
-    # one pass over the input: distinct (pair, x, y) with counts, reused below
-    long = (df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("c.*")
-            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    sides = (long.select("pair", F.lit(0).alias("side"), F.col("x").alias("v"), "w")
-             .unionByName(long.select("pair", F.lit(1).alias("side"), F.col("y").alias("v"), "w")))
-    ranks = RK.value_ranks(sides, "v", ["pair", "side"], weight="w")
-    # average ranks always have mean (n + 1) / 2: centre them exactly, so the
-    # weighted sums below have no cancellation
-    centred = (F.col("avg_rank") - (F.col("n") + 1) / 2.0)
-    ra = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("x"), centred.alias("ra"))
-    rb = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("y"), centred.alias("rb"))
-    j = long.join(ra, ["pair", "x"]).join(rb, ["pair", "y"])
-    # count-weighted Pearson r of the ranks (identical to r over the expanded rows)
-    w, a, b = F.col("w").cast("double"), F.col("ra"), F.col("rb")
-    m = j.groupBy("pair").agg(F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"),
-                              F.sum(w * a * b).alias("sab"))
-    rho = m.select("pair", (F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb"))).alias("r"))
-    xs = F.array(*[F.lit(a) for a, _ in pairs])
-    ys = F.array(*[F.lit(b) for _, b in pairs])
-    named = rho.select(F.element_at(xs, F.col("pair") + 1).alias("x"), F.element_at(ys, F.col("pair") + 1).alias("y"),
-                       "r")
-    both = named.unionByName(named.select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "x string, y string, r double")
-    return both.unionByName(diag)
+    if not pairs:
+        return diag
+    values = [F.col(c).cast("double").alias(c) for c in cols]
+    pattern = sum(F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(cols))
+    rows = materialize(df.select(*values).groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+                       .withColumn("_p", pattern), "value-rows")
+    patterns = [r["_p"] for r in rows.select("_p").distinct().collect()]  # 2 ** columns at most
+    # for each pair the patterns in which both columns are there; one ranking per (column, set of patterns)
+    sets = {(a, b): tuple(sorted(p for p in patterns if p >> cols.index(a) & 1 and p >> cols.index(b) & 1)) for a, b in pairs}
+    needed = sorted({(c, s) for (a, b), s in sets.items() for c in (a, b)})
+    code = {k: i for i, k in enumerate(needed)}
+    stacked = F.array(*[F.when(F.col("_p").isin(*s) if s else F.lit(False),
+                               F.struct(F.lit(code[c, s]).alias("key"), F.col(c).alias("v"))) for c, s in needed])
+    stacked = (rows.select(F.explode(F.filter(stacked, lambda c: c.isNotNull())).alias("c"), "w")
+               .select("c.*", "w").groupBy("key", "v").agg(F.sum("w").alias("w")))
+    ranks = RK.value_ranks(stacked, "v", ["key"], weight="w")
+    # average ranks have mean (n + 1) / 2: centred exactly, so the sums have no cancellation
+    ranks = materialize(ranks.select("key", "v", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("rk")), "value-ranks")
+    j = rows
+    for (c, s), i in code.items():
+        one = ranks.where(F.col("key") == i).select(F.col("v").alias(c), F.col("rk").alias(f"_r{i}"))
+        j = j.join(one, c, "left")
+    w = F.col("w").cast("double")
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        s = sets[a, b]
+        here = F.col("_p").isin(*s) if s else F.lit(False)
+        ra, rb = (F.col(f"_r{code[c, s]}") for c in (a, b))
+        aggs += [F.sum(F.when(here, w * x * y)).alias(f"_{n}{k}") for n, x, y in (("aa", ra, ra), ("bb", rb, rb), ("ab", ra, rb))]
+    m = j.agg(*aggs)
+    cells = []
+    for k, (a, b) in enumerate(pairs):
+        r = F.try_divide(F.col(f"_ab{k}"), F.sqrt(F.col(f"_aa{k}") * F.col(f"_bb{k}")))
+        cells += [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r")) for x, y in ((a, b), (b, a))]
+    return m.select(F.inline(F.array(*cells))).unionByName(diag)
 
 
 def corr_highlights(long: DataFrame, pairs: list[tuple[str, str]], suffix: str = "") -> DataFrame:

@@ -92,7 +92,7 @@ def infer_cell_json(c: Column) -> Column:
     """One CSV cell as a JSON fragment: text with '.' -> float, else int,
     else the text itself (as a JSON string)."""
     v = c.cast("string")
-    as_float = v.try_cast("double")
+    as_float = C.parse_number(v)
     as_int = v.try_cast("long")
     wrapped = F.to_json(F.struct(v.alias("v")))          # {"v":"..."}
     quoted = wrapped.substr(F.lit(6), F.length(wrapped) - F.lit(6))

@@ -77,7 +77,9 @@ def order_lines(t: Tables, lineitem: DataFrame | None = None) -> DataFrame:
                         "o_orderpriority")
     c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # both are facts: always shuffled by the order key, which also spreads a
+    # line table that arrives in few files
+    return (li.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(c, F.col("o_custkey") == F.col("c_custkey"))
               .join(_geo(t), F.col("c_nationkey") == F.col("n_nationkey"))
               .join(p, F.col("l_partkey") == F.col("p_partkey")))

@@ -18,11 +18,6 @@ from kestrel.plans.oracle_views import with_views
 from kestrel.plans.registry import register
 from kestrel.session import scratch_path
 
-# Forest size used by the registered queries; the operators default to the
-# source settings (200 trees, depth 15), which bench.py also runs.
-CHECK_TREES = 40
-CHECK_DEPTH = 10
-
 _P = ("CASE WHEN scheduled_shipping_days <= 2 THEN 0.75 + LEAST(sales / 10000.0, 0.20) "
       "WHEN scheduled_shipping_days >= 5 THEN 0.12 ELSE 0.38 END")
 _FLAG = "CAST((scheduled_shipping_days <= 2 OR sales > 1500) AS BIGINT)"
@@ -69,23 +64,23 @@ _CM = f"""(SELECT COUNT(*) FILTER (WHERE y = 1 AND p = 1) AS tp, COUNT(*) FILTER
 
 
 @register("eval_classifier", with_views(["orders_f"], f"""
-SELECT CAST(ROUND(CAST(tp + tn AS DECIMAL(38,9)) / (tp + tn + fp + fn), 4) AS DOUBLE) AS accuracy,
-  CAST(ROUND(CAST(tp AS DECIMAL(38,9)) / (tp + fp), 4) AS DOUBLE) AS precision,
-  CAST(ROUND(CAST(tp AS DECIMAL(38,9)) / (tp + fn), 4) AS DOUBLE) AS recall,
-  CAST(ROUND(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1_score
+SELECT CAST(ROUND_EVEN(CAST(tp + tn AS DECIMAL(38,9)) / (tp + tn + fp + fn), 4) AS DOUBLE) AS accuracy,
+  CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fp), 4) AS DOUBLE) AS precision,
+  CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fn), 4) AS DOUBLE) AS recall,
+  CAST(ROUND_EVEN(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1_score
 FROM {_CM}"""))
 def q_eval_classifier(ctx):
     return ml.eval_classifier(ml.rule_score_delay(ctx.orders()), "late_delivery_flag")
 
 
 @register("eval_class_report", with_views(["orders_f"], f"""
-SELECT CAST(1 AS BIGINT) AS cls, CAST(ROUND(CAST(tp AS DECIMAL(38,9)) / (tp + fp), 4) AS DOUBLE) AS precision,
-  CAST(ROUND(CAST(tp AS DECIMAL(38,9)) / (tp + fn), 4) AS DOUBLE) AS recall,
-  CAST(ROUND(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1, tp + fn AS support FROM {_CM}
+SELECT CAST(1 AS BIGINT) AS cls, CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fp), 4) AS DOUBLE) AS precision,
+  CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fn), 4) AS DOUBLE) AS recall,
+  CAST(ROUND_EVEN(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1, tp + fn AS support FROM {_CM}
 UNION ALL
-SELECT 0, CAST(ROUND(CAST(tn AS DECIMAL(38,9)) / (tn + fn), 4) AS DOUBLE),
-  CAST(ROUND(CAST(tn AS DECIMAL(38,9)) / (tn + fp), 4) AS DOUBLE),
-  CAST(ROUND(2.0 * tn / (2 * tn + fn + fp), 4) AS DOUBLE), tn + fp FROM {_CM}"""))
+SELECT 0, CAST(ROUND_EVEN(CAST(tn AS DECIMAL(38,9)) / (tn + fn), 4) AS DOUBLE),
+  CAST(ROUND_EVEN(CAST(tn AS DECIMAL(38,9)) / (tn + fp), 4) AS DOUBLE),
+  CAST(ROUND_EVEN(2.0 * tn / (2 * tn + fn + fp), 4) AS DOUBLE), tn + fp FROM {_CM}"""))
 def q_eval_class_report(ctx):
     return ml.eval_class_report(ml.rule_score_delay(ctx.orders()), "late_delivery_flag")
 
@@ -94,11 +89,11 @@ _PRED = "GREATEST(180.0 * (1.1 - discount_rate_pct / 100.0) + benefit_per_order
 
 
 @register("eval_regressor", with_views(["orders_f"], f"""
-SELECT CAST(ROUND(CAST(SQRT(AVG((sales - p) * (sales - p))) AS DECIMAL(38,9)), 4) AS DOUBLE) AS rmse,
-  CAST(ROUND(CAST(AVG(ABS(sales - p)) AS DECIMAL(38,9)), 4) AS DOUBLE) AS mae,
-  CAST(ROUND(CAST(1.0 - SUM((sales - p) * (sales - p)) / (VAR_POP(sales) * COUNT(*)) AS DECIMAL(38,9)), 4)
+SELECT CAST(ROUND_EVEN(CAST(SQRT(AVG((sales - p) * (sales - p))) AS DECIMAL(38,9)), 4) AS DOUBLE) AS rmse,
+  CAST(ROUND_EVEN(CAST(AVG(ABS(sales - p)) AS DECIMAL(38,9)), 4) AS DOUBLE) AS mae,
+  CAST(ROUND_EVEN(CAST(1.0 - SUM((sales - p) * (sales - p)) / (VAR_POP(sales) * COUNT(*)) AS DECIMAL(38,9)), 4)
     AS DOUBLE) AS r2,
-  CAST(ROUND(CAST(AVG(CASE WHEN sales <> 0 THEN ABS((sales - p) / sales) END) * 100 AS DECIMAL(38,9)), 2)
+  CAST(ROUND_EVEN(CAST(AVG(CASE WHEN sales <> 0 THEN ABS((sales - p) / sales) END) * 100 AS DECIMAL(38,9)), 2)
     AS DOUBLE) AS mape
 FROM (SELECT sales, {_re(_PRED, 2)} AS p FROM orders_f)"""))
 def q_eval_regressor(ctx):
@@ -111,9 +106,8 @@ def q_eval_regressor(ctx):
     for c in S.DELAY_CATEGORICALS)))
 def q_encode_categoricals(ctx):
     df = ml.encode_input(ctx.orders(), S.DELAY_CATEGORICALS, S.DELAY_NUMERICS)
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=ml.encode_categoricals(S.DELAY_CATEGORICALS)).fit(df)
-    rows = [(c, len(st.labels)) for c, st in zip(S.DELAY_CATEGORICALS, model.stages)]
+    model = ml.encode_categoricals(S.DELAY_CATEGORICALS).fit(df)
+    rows = [(c, len(labels)) for c, labels in zip(S.DELAY_CATEGORICALS, model.labelsArray)]
     labels = ctx.spark.createDataFrame(rows, "column_name string, labels long")
     # label sets come from one distinct-values job per column inside fit()
     return labels
@@ -132,16 +126,16 @@ _MODELS: dict = {}
 
 def _delay_model(ctx):
     """Trained once per (session, data folder) and shared by the scoring queries."""
-    key = ("delay", id(ctx.spark), ctx.t.sf_dir)
+    key = ("delay", ctx.spark.sparkContext.applicationId, ctx.t.sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = ml.train_delay_classifier(_model_input(ctx), CHECK_TREES, CHECK_DEPTH)
+        _MODELS[key] = ml.train_delay_classifier(_model_input(ctx))
     return _MODELS[key]
 
 
 def _sales_model(ctx):
-    key = ("sales", id(ctx.spark), ctx.t.sf_dir)
+    key = ("sales", ctx.spark.sparkContext.applicationId, ctx.t.sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = ml.train_sales_regressor(_model_input(ctx), CHECK_TREES, CHECK_DEPTH)
+        _MODELS[key] = ml.train_sales_regressor(_model_input(ctx))
     return _MODELS[key]
 
 

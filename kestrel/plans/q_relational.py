@@ -108,7 +108,7 @@ FROM {_LATEST_INV} inv JOIN dim_products p ON p.product_id = inv.product_id
 JOIN dim_locations l ON l.location_id = inv.location_id GROUP BY l.region, p.category"""))
 def q_join_inner_dims(ctx):
     inv = L.latest_inventory(ctx.wh.fact_inventory_snapshots())
-    j = inv.join(ctx.wh.dim_products(), "product_id").join(F.broadcast(ctx.wh.dim_locations()), "location_id")
+    j = inv.join(ctx.wh.dim_products(), "product_id").join(ctx.wh.dim_locations(), "location_id")
     return j.groupBy("region", "category").agg(F.count(F.lit(1)).alias("positions"),
                                                F.sum("inventory_value").alias("value"))
 
@@ -143,10 +143,10 @@ FROM b_ship sh LEFT JOIN dim_locations src ON src.location_id = sh.source_locati
 JOIN dim_locations dst ON dst.location_id = sh.destination_location_id GROUP BY 1, 2"""))
 def q_join_role_playing(ctx):
     locs = ctx.wh.dim_locations()
-    src = F.broadcast(locs.select(F.col("location_id").alias("source_location_id"),
-                                  F.col("region").alias("source_region")))
-    dst = F.broadcast(locs.select(F.col("location_id").alias("destination_location_id"),
-                                  F.col("region").alias("destination_region")))
+    src = locs.select(F.col("location_id").alias("source_location_id"),
+                                  F.col("region").alias("source_region"))
+    dst = locs.select(F.col("location_id").alias("destination_location_id"),
+                                  F.col("region").alias("destination_region"))
     j = ctx.wh.fact_shipments().join(src, "source_location_id", "left").join(dst, "destination_location_id")
     return j.groupBy("source_region", "destination_region").agg(F.count(F.lit(1)).alias("shipments"))
 

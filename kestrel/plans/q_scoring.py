@@ -176,11 +176,11 @@ def q_optimize_inventory(ctx):
 
 @register("agg_inventory_metrics", _with_opt("""
 SELECT COUNT(*) AS skus_analyzed, CAST(SUM(stockout_risk) AS BIGINT) AS at_stockout_risk,
-  CAST(ROUND(CAST(SUM(stockout_risk) AS DECIMAL(38,9)) * 100 / COUNT(*), 1) AS DOUBLE) AS stockout_risk_pct,
-  CAST(ROUND(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2) AS DOUBLE) AS total_revenue_at_risk,
-  CAST(ROUND(SUM(CAST(safety_stock AS DECIMAL(38,9))) / COUNT(safety_stock), 1) AS DOUBLE) AS avg_safety_stock,
-  CAST(ROUND(SUM(CAST(reorder_point AS DECIMAL(38,9))) / COUNT(reorder_point), 1) AS DOUBLE) AS avg_reorder_point,
-  CAST(ROUND(SUM(CAST(days_of_inventory AS DECIMAL(38,9))) / COUNT(days_of_inventory), 1) AS DOUBLE)
+  CAST(ROUND_EVEN(CAST(SUM(stockout_risk) AS DECIMAL(38,9)) * 100 / COUNT(*), 1) AS DOUBLE) AS stockout_risk_pct,
+  CAST(ROUND_EVEN(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2) AS DOUBLE) AS total_revenue_at_risk,
+  CAST(ROUND_EVEN(SUM(CAST(safety_stock AS DECIMAL(38,9))) / COUNT(safety_stock), 1) AS DOUBLE) AS avg_safety_stock,
+  CAST(ROUND_EVEN(SUM(CAST(reorder_point AS DECIMAL(38,9))) / COUNT(reorder_point), 1) AS DOUBLE) AS avg_reorder_point,
+  CAST(ROUND_EVEN(SUM(CAST(days_of_inventory AS DECIMAL(38,9))) / COUNT(days_of_inventory), 1) AS DOUBLE)
     AS avg_days_of_inventory
 FROM opt"""))
 def q_agg_inventory_metrics(ctx):
@@ -188,7 +188,7 @@ def q_agg_inventory_metrics(ctx):
 
 
 @register("agg_risk_by_type", _with_opt("""
-SELECT product_type, CAST(ROUND(CAST(SUM(stockout_risk) AS DECIMAL(38,9)) * 100 / COUNT(stockout_risk), 4)
+SELECT product_type, CAST(ROUND_EVEN(CAST(SUM(stockout_risk) AS DECIMAL(38,9)) * 100 / COUNT(stockout_risk), 4)
   AS DOUBLE) AS stockout_risk_pct FROM opt GROUP BY product_type"""))
 def q_agg_risk_by_type(ctx):
     return scoring.agg_risk_by_type(_opt(ctx))
@@ -236,7 +236,7 @@ def q_stockout_risk_recompute(ctx):
 
 @register("agg_inventory_kpis", _with_opt("""
 SELECT COUNT(*) FILTER (WHERE stockout_risk = 1) AS skus_at_stockout_risk, COUNT(*) AS total_skus,
-  CAST(COALESCE(ROUND(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2), 0) AS DOUBLE) AS revenue_at_risk FROM opt"""))
+  CAST(COALESCE(ROUND_EVEN(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2), 0) AS DOUBLE) AS revenue_at_risk FROM opt"""))
 def q_agg_inventory_kpis(ctx):
     return kpis.agg_inventory_kpis(_opt(ctx))
 
@@ -302,18 +302,18 @@ def q_seed_products(ctx):
 {_INV},
 k1 AS (SELECT COUNT(*) AS total_orders,
     CAST(SUM(CAST(late_delivery_flag AS DECIMAL(38,9))) AS BIGINT) AS late_shipments,
-    ROUND(SUM(CAST(sales AS DECIMAL(38,9))), 2) AS s, ROUND(SUM(CAST(benefit_per_order AS DECIMAL(38,9))), 2) AS p
+    ROUND_EVEN(SUM(CAST(sales AS DECIMAL(38,9))), 2) AS s, ROUND_EVEN(SUM(CAST(benefit_per_order AS DECIMAL(38,9))), 2) AS p
   FROM orders_f),
 k2 AS (SELECT COUNT(*) FILTER (WHERE stockout_risk = 1) AS skus_at_stockout_risk, COUNT(*) AS total_skus,
-    CAST(COALESCE(ROUND(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2), 0) AS DOUBLE) AS revenue_at_risk
+    CAST(COALESCE(ROUND_EVEN(SUM(CAST(revenue_at_risk AS DECIMAL(38,9))), 2), 0) AS DOUBLE) AS revenue_at_risk
   FROM opt),
 k3 AS (SELECT COUNT(*) FILTER (WHERE LOWER(COALESCE(risk_tier, '')) IN ('high', 'high risk', 'critical'))
     AS high_risk_suppliers, COUNT(*) AS total_suppliers FROM tiered)
 SELECT total_orders,
-  CAST(ROUND(CAST(total_orders - late_shipments AS DECIMAL(38,9)) * 100 / CAST(total_orders AS DECIMAL(38,9)), 2)
+  CAST(ROUND_EVEN(CAST(total_orders - late_shipments AS DECIMAL(38,9)) * 100 / CAST(total_orders AS DECIMAL(38,9)), 2)
        AS DOUBLE) AS on_time_delivery_rate_pct, late_shipments,
   CAST(s AS DOUBLE) AS total_sales, CAST(p AS DOUBLE) AS total_profit,
-  CAST(COALESCE(ROUND(CAST(p AS DECIMAL(38,9)) * 100 / NULLIF(CAST(s AS DECIMAL(38,9)), 0), 2), 0) AS DOUBLE)
+  CAST(COALESCE(ROUND_EVEN(CAST(p AS DECIMAL(38,9)) * 100 / NULLIF(CAST(s AS DECIMAL(38,9)), 0), 2), 0) AS DOUBLE)
     AS avg_profit_margin_pct,
   skus_at_stockout_risk, total_skus, revenue_at_risk, high_risk_suppliers, total_suppliers
 FROM k1 CROSS JOIN k2 CROSS JOIN k3""")

@@ -62,7 +62,7 @@ def bi_inventory_dashboard(wh: Warehouse, as_of: date | None = None) -> DataFram
         F.col("priority").alias("recommendation_priority"),
         F.col("status").alias("recommendation_status"))
     p = wh.dim_products().select("product_id", "sku", "product_name", "category")
-    loc = F.broadcast(wh.dim_locations().select("location_id", "location_code", "location_name", "region"))
+    loc = wh.dim_locations().select("location_id", "location_code", "location_name", "region")
     key = ["product_id", "location_id"]
     return (inv.join(p, "product_id").join(loc, "location_id")
             .join(fc, key, "left").join(rec, key, "left")
@@ -114,12 +114,12 @@ def bi_logistics_dashboard(wh: Warehouse) -> DataFrame:
     p = wh.dim_products().select("product_id", "sku", "product_name")
     car = F.broadcast(wh.dim_carriers().select("carrier_id", "carrier_code", "carrier_name", "transport_mode"))
     locs = wh.dim_locations()
-    src = F.broadcast(locs.select(F.col("location_id").alias("source_location_id"),
+    src = locs.select(F.col("location_id").alias("source_location_id"),
                                   F.col("location_code").alias("source_location_code"),
-                                  F.col("location_name").alias("source_location_name")))
-    dst = F.broadcast(locs.select(F.col("location_id").alias("destination_location_id"),
+                                  F.col("location_name").alias("source_location_name"))
+    dst = locs.select(F.col("location_id").alias("destination_location_id"),
                                   F.col("location_code").alias("destination_location_code"),
-                                  F.col("location_name").alias("destination_location_name")))
+                                  F.col("location_name").alias("destination_location_name"))
     sup = wh.dim_suppliers().select("supplier_id", "supplier_code", "supplier_name")
     return (sh.join(p, "product_id")
             .join(car, "carrier_id", "left")

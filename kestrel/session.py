@@ -14,19 +14,28 @@ from pyspark.sql import SparkSession
 DEFAULT_AS_OF = date(2001, 6, 1)
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "kestrel") -> SparkSession:
     """Session with AQE (coalescing + skew-join splitting) and UTC clock.
 
+    The number of shuffle partitions and the driver's memory stay as the
+    cluster configures them unless the caller asks (``shuffle_partitions``,
+    ``KESTREL_DRIVER_MEMORY``); a local master, where the driver does all the
+    work, gets 16 GB.
+
     ANSI mode stays on (Spark 4 default), so operators use try_* casts
     and try_divide wherever the reference tolerated bad values.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    memory = os.environ.get("KESTREL_DRIVER_MEMORY", "16g" if master and master.startswith("local") else None)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     spark = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -34,7 +43,6 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("KESTREL_DRIVER_MEMORY", "16g"))
         # wide ETL projections generate methods above the JVM's 8 KB JIT limit;
         # without this flag they run interpreted (several times slower)
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
@@ -48,18 +56,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session has none (local tests) do we create one under the
-    system temp dir; on a cluster the configured shared folder is used.
+    A folder set through ``SparkContext.setCheckpointDir`` counts as well.
+    Only when there is neither (local tests) do we create one under the
+    system temp dir.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="kestrel-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
@@ -68,9 +75,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Reliable checkpoint into the shared folder: the result reads fixed
-    files, so several branches of one plan see identical partitions, and a
-    lost executor re-reads files instead of recomputing (and re-sampling)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "frame"):
+    """Parquet in the shared folder, read back: several branches of one plan
+    see the same rows, columns are pruned, and a lost executor re-reads files
+    instead of recomputing (and re-sampling)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

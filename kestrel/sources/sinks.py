@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +28,24 @@ def sink_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing was written yet.
+
+    Only a missing path counts as empty; damaged files and any other storage
+    error surface.
+    """
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _stored_rows(spark: SparkSession, path: str) -> int:
     """Row count of a Parquet table from file footers (no data is read)."""
-    try:
-        return spark.read.parquet(path).count()
-    except Exception:  # nothing written yet
-        return 0
+    df = _stored(spark, path)
+    return 0 if df is None else df.count()
 
 
 def sink_append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
@@ -49,10 +62,8 @@ def sink_append(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # first write: nothing stored yet
-        return spark.createDataFrame([], like.schema)
+    df = _stored(spark, path)
+    return spark.createDataFrame([], like.schema) if df is None else df
 
 
 def sink_insert_if_absent(df: DataFrame, path: str, keys: list[str],

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators import ranks as RK
+from kestrel.session import materialize
 
 PSI_WARNING = 0.2  # fixed value: drift warning threshold
 PSI_EPS = 1e-4     # share used for an empty bucket (avoids log(0))
@@ -40,20 +41,22 @@ def psi_drift(scores: DataFrame, value: str, period: str, baseline: F.Column, bi
 
     Two passes over the log: exact baseline quantiles (distributed ranks,
     one small row of cut points), then one grouped count per (period,
-    baseline flag, bucket).  That small count table is kept and feeds the
-    reference shares, the period totals and the shares per period.
+    baseline flag, bucket).  That small count table is written once and feeds
+    the reference shares, the period totals and the shares per period.  All
+    ``bins`` buckets count in every period, also those empty in the baseline
+    or in the period (their share is ``PSI_EPS``).
     """
-    from pyspark import StorageLevel
     qs = [i / bins for i in range(1, bins)]
     cuts = RK.quantiles(scores.where(baseline), value, qs)
     names = list(cuts.columns)
     bucket = sum((F.col(value) > F.col(n)).cast("int") for n in names)
-    counts = (scores.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts))
-              .groupBy(period, baseline.alias("_base"), bucket.alias("bucket"))
-              .agg(F.count(F.lit(1)).alias("_c"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = materialize(scores.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts))
+                         .groupBy(period, baseline.alias("_base"), bucket.alias("bucket"))
+                         .agg(F.count(F.lit(1)).alias("_c")), "psi-counts")
     base = counts.where("_base").groupBy("bucket").agg(F.sum("_c").alias("_b"))
-    ref = base.crossJoin(base.agg(F.sum("_b").alias("_bt"))).select("bucket", (F.col("_b") / F.col("_bt")).alias("q"))
+    every = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bucket"))
+    ref = (every.join(base, "bucket", "left").crossJoin(base.agg(F.sum("_b").alias("_bt")))
+           .select("bucket", (F.coalesce("_b", F.lit(0)) / F.col("_bt")).alias("q")))
     per = counts.groupBy(period, "bucket").agg(F.sum("_c").alias("_c"))
     tot = counts.groupBy(period).agg(F.sum("_c").alias("_t"))
     grid = tot.crossJoin(F.broadcast(ref))  # periods x buckets (bins rows each)
