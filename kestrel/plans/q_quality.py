@@ -13,208 +13,122 @@ from kestrel.operators import quality as Q
 from kestrel.plans.oracle_views import with_views
 from kestrel.plans.registry import register
 
-# SQL text of each rule, in the same order as the Python rule sets.
-_SQL_RULES = {
-    "b_po": ("fact_purchase_orders", [
-        ("ordered_quantity_positive", "ordered_quantity > 0", "error"),
-        ("received_quantity_non_negative", "received_quantity >= 0", "error"),
-        ("defect_quantity_non_negative", "defect_quantity >= 0", "error"),
-        ("unit_cost_non_negative", "unit_cost >= 0", "error"),
-        ("dates_valid", "expected_delivery_date >= order_date AND (actual_delivery_date IS NULL OR "
-                        "actual_delivery_date >= order_date)", "error"),
-        ("received_le_ordered", "received_quantity <= ordered_quantity", "error"),
-        ("defects_le_received", "defect_quantity <= received_quantity", "error")]),
-    "b_inv": ("fact_inventory_snapshots", [
-        ("on_hand_non_negative", "on_hand_quantity >= 0", "error"),
-        ("reserved_non_negative", "reserved_quantity >= 0", "error"),
-        ("reorder_point_non_negative", "reorder_point >= 0", "error"),
-        ("safety_stock_non_negative", "safety_stock >= 0", "error"),
-        ("reserved_le_on_hand", "reserved_quantity <= on_hand_quantity", "error"),
-        ("below_reorder_point", "available_quantity > reorder_point", "warning")]),
-    "b_dem": ("fact_sales_demand", [
-        ("demanded_non_negative", "quantity_demanded >= 0", "error"),
-        ("sold_non_negative", "quantity_sold >= 0", "error"),
-        ("lost_non_negative", "lost_sales_quantity >= 0", "error"),
-        ("revenue_non_negative", "revenue >= 0", "error"),
-        ("sold_plus_lost_le_demanded", "quantity_sold + lost_sales_quantity <= quantity_demanded", "error")]),
-    "b_ship": ("fact_shipments", [
-        ("shipped_positive", "shipped_quantity > 0", "error"),
-        ("delivered_non_negative", "delivered_quantity >= 0", "error"),
-        ("freight_non_negative", "freight_cost >= 0", "error"),
-        ("distance_non_negative", "distance_km >= 0", "error"),
-        ("delivered_le_shipped", "delivered_quantity <= shipped_quantity", "error"),
-        ("expected_after_ship", "expected_delivery_date >= ship_date", "error"),
-        ("actual_after_ship", "actual_delivery_date >= ship_date", "error")]),
-    "b_score": ("supplier_performance_scores", [
-        (f"{s}_between_0_100", f"{s} BETWEEN 0 AND 100", "error")
-        for s in ["delivery_score", "quality_score", "cost_score", "reliability_score", "overall_score"]]),
-    "b_fc": ("demand_forecasts", [
-        ("horizon_positive", "forecast_horizon_days > 0", "error"),
-        ("predicted_non_negative", "predicted_quantity >= 0", "error")]),
-    "b_pred": ("shipment_delay_predictions", [
-        ("probability_between_0_1", "predicted_delay_probability BETWEEN 0 AND 1", "error")]),
-}
-
-
-def _tables(wh):
-    return {
-        "b_po": (wh.fact_purchase_orders(), Q.po_rules()),
-        "b_inv": (wh.fact_inventory_snapshots(), Q.inventory_rules()),
-        "b_dem": (wh.fact_sales_demand(), Q.demand_rules()),
-        "b_ship": (wh.fact_shipments(), Q.shipment_rules()),
-        "b_score": (wh.supplier_performance_scores(), Q.score_rules()),
-        "b_fc": (wh.demand_forecasts(), Q.forecast_rules()),
-        "b_pred": (wh.shipment_delay_predictions(), Q.prediction_rules()),
-    }
-
-
-def _counts_sql(views: list[str]) -> str:
-    parts = []
-    for v in views:
-        table, rules = _SQL_RULES[v]
-        for name, pred, sev in rules:
-            parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule_name, '{sev}' AS severity, "
-                         f"COUNT(*) FILTER (WHERE NOT COALESCE({pred}, TRUE)) AS violations FROM {v}")
-    return with_views(views, "\nUNION ALL\n".join(parts))
+# the oracle's view of each stored table
+_VIEW = {"fact_purchase_orders": "b_po", "fact_inventory_snapshots": "b_inv", "fact_sales_demand": "b_dem",
+         "fact_shipments": "b_ship", "supplier_performance_scores": "b_score", "demand_forecasts": "b_fc",
+         "shipment_delay_predictions": "b_pred", "inventory_recommendations": "b_rec", "business_recommendations": "b_br",
+         "dim_products": "dim_products", "dim_suppliers": "dim_suppliers", "dim_locations": "dim_locations",
+         "dim_carriers": "dim_carriers"}
+
+
+def _df(ctx, table: str) -> DataFrame:
+    return getattr(ctx.wh, table)()
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-_ALL = list(_SQL_RULES)
+def _views(tables) -> list[str]:
+    return list(dict.fromkeys(_VIEW[t] for t in tables))
 
 
-@register("dq_range_checks", _counts_sql(_ALL))
-def q_dq_range_checks(ctx):
-    t = _tables(ctx.wh)
-    names = {v: _SQL_RULES[v][0] for v in _ALL}
-    return _union([Q.violation_counts(df, names[v], rules) for v, (df, rules) in t.items()])
+def _counts_sql(checks: dict) -> str:
+    parts = [f"SELECT '{table}' AS table_name, '{name}' AS rule_name, "
+             f"'{'warning' if name == 'below_reorder_point' else 'error'}' AS severity, "
+             f"COUNT(*) - COUNT(*) FILTER (WHERE ({pred}) IS NOT FALSE) AS violations FROM {_VIEW[table]}"
+             for table, rules in checks.items() for name, pred in rules.items()]
+    return with_views(_views(checks), "\nUNION ALL\n".join(parts))
 
 
-_CROSS = ["b_po", "b_inv", "b_dem", "b_ship"]
+@register("dq_range_checks", _counts_sql(Q.RANGE_CHECKS))
+def q_dq_range_checks(ctx):
+    return _union([Q.violation_counts(_df(ctx, t), t, Q.sql_rules(c)) for t, c in Q.RANGE_CHECKS.items()])
 
 
-@register("dq_cross_column", _counts_sql(_CROSS))
+@register("dq_cross_column", _counts_sql(Q.CROSS_CHECKS))
 def q_dq_cross_column(ctx):
-    t = _tables(ctx.wh)
-    names = {v: _SQL_RULES[v][0] for v in _CROSS}
-    return _union([Q.violation_counts(t[v][0], names[v], t[v][1]) for v in _CROSS])
+    return _union([Q.violation_counts(_df(ctx, t), t, Q.sql_rules(c)) for t, c in Q.CROSS_CHECKS.items()])
 
 
 @register("dq_issue_rows", with_views(["b_inv"], """
-SELECT 'fact_inventory_snapshots' AS table_name, snapshot_id AS record_key, 'below_reorder_point' AS rule_name,
-  'warning' AS severity FROM b_inv WHERE NOT COALESCE(available_quantity > reorder_point, TRUE)"""))
+SELECT 'fact_inventory_snapshots' AS table_name, snapshot_id AS row_identifier, 'below_reorder_point' AS issue_type,
+  'warning' AS severity, 'batch-1' AS batch_id,
+  'fact_inventory_snapshots row ' || snapshot_id || ' violates below_reorder_point' AS issue_description,
+  '2001-06-01 00:00:00' AS created_at, CAST(on_hand_quantity AS BIGINT) AS payload_on_hand
+FROM b_inv WHERE NOT COALESCE(available_quantity > reorder_point, TRUE)"""))
 def q_dq_issue_rows(ctx):
-    inv = ctx.wh.fact_inventory_snapshots()
-    return Q.violations(inv, "fact_inventory_snapshots", F.col("snapshot_id"), Q.inventory_rules())
-
-
-@register("dq_unique", with_views(["b_po", "b_inv", "b_dem", "b_ship", "dim_suppliers"], """
-SELECT 'fact_purchase_orders' AS table_name, COUNT(*) AS duplicated_keys FROM
-  (SELECT po_number FROM b_po GROUP BY 1 HAVING COUNT(*) > 1)
-UNION ALL SELECT 'fact_inventory_snapshots', COUNT(*) FROM
-  (SELECT 1 FROM b_inv GROUP BY snapshot_date, product_id, location_id HAVING COUNT(*) > 1)
-UNION ALL SELECT 'fact_sales_demand', COUNT(*) FROM
-  (SELECT 1 FROM b_dem GROUP BY demand_date, product_id, location_id HAVING COUNT(*) > 1)
-UNION ALL SELECT 'fact_shipments', COUNT(*) FROM (SELECT 1 FROM b_ship GROUP BY shipment_number HAVING COUNT(*) > 1)
-UNION ALL SELECT 'dim_suppliers', COUNT(*) FROM (SELECT 1 FROM dim_suppliers GROUP BY supplier_code
-  HAVING COUNT(*) > 1)"""))
+    """Issues of one table, appended to the issue table and read back."""
+    from kestrel.session import scratch_path
+    from kestrel.sources.sinks import sink_insert_if_absent
+    table = "fact_inventory_snapshots"
+    path = scratch_path(ctx.spark, "data_quality_issues")
+    issues = Q.quality_issues(_df(ctx, table), table, F.col("snapshot_id"), Q.table_rules(table), "batch-1", ctx.as_of)
+    sink_insert_if_absent(issues, path, ["issue_id"])
+    return ctx.spark.read.parquet(path).select(
+        "table_name", "row_identifier", "issue_type", "severity", "batch_id", "issue_description", "created_at",
+        F.get_json_object("raw_payload", "$.on_hand_quantity").cast("double").cast("long").alias("payload_on_hand"))
+
+
+@register("dq_unique", with_views(_views(Q.UNIQUE_KEYS), "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS duplicated_keys FROM "
+    f"(SELECT 1 FROM {_VIEW[t]} GROUP BY {', '.join(k)} HAVING COUNT(*) > 1)" for t, k in Q.UNIQUE_KEYS.items())))
 def q_dq_unique(ctx):
-    wh = ctx.wh
-    checks = [
-        (wh.fact_purchase_orders(), "fact_purchase_orders", ["po_number"]),
-        (wh.fact_inventory_snapshots(), "fact_inventory_snapshots", ["snapshot_date", "product_id", "location_id"]),
-        (wh.fact_sales_demand(), "fact_sales_demand", ["demand_date", "product_id", "location_id"]),
-        (wh.fact_shipments(), "fact_shipments", ["shipment_number"]),
-        (wh.dim_suppliers(), "dim_suppliers", ["supplier_code"]),
-    ]
-    return _union([Q.unique_violations(df, name, keys, "unique").groupBy().agg(
-        F.count(F.lit(1)).alias("duplicated_keys")).select(F.lit(name).alias("table_name"), "duplicated_keys")
-        for df, name, keys in checks])
-
-
-@register("dq_enum", with_views(["b_po", "b_ship", "b_rec", "b_br", "dim_carriers"], """
-SELECT 'status_in_purchase_order_status' AS rule_name, COUNT(*) FILTER (WHERE NOT COALESCE(status IN
-  ('planned','placed','in_transit','received','cancelled','closed'), TRUE)) AS violations FROM b_po
-UNION ALL SELECT 'status_in_shipment_status', COUNT(*) FILTER (WHERE NOT COALESCE(status IN
-  ('planned','in_transit','delivered','delayed','cancelled'), TRUE)) FROM b_ship
-UNION ALL SELECT 'priority_in_risk_level', COUNT(*) FILTER (WHERE NOT COALESCE(priority IN
-  ('low','medium','high','critical'), TRUE)) FROM b_rec
-UNION ALL SELECT 'status_in_recommendation_status', COUNT(*) FILTER (WHERE NOT COALESCE(status IN
-  ('open','accepted','rejected','completed','expired'), TRUE)) FROM b_rec
-UNION ALL SELECT 'recommendation_type_in_recommendation_type', COUNT(*) FILTER (WHERE NOT COALESCE(
-  recommendation_type IN ('reorder','supplier_risk','logistics_intervention','demand_planning',
-  'inventory_rebalance'), TRUE)) FROM b_br
-UNION ALL SELECT 'severity_in_risk_level', COUNT(*) FILTER (WHERE NOT COALESCE(severity IN
-  ('low','medium','high','critical'), TRUE)) FROM b_br
-UNION ALL SELECT 'transport_mode_in_transport_mode', COUNT(*) FILTER (WHERE NOT COALESCE(transport_mode IN
-  ('road','rail','ocean','air','multimodal'), TRUE)) FROM dim_carriers"""))
+    return _union([Q.unique_violations(_df(ctx, t), t, keys, "unique").groupBy().agg(
+        F.count(F.lit(1)).alias("duplicated_keys")).select(F.lit(t).alias("table_name"), "duplicated_keys")
+        for t, keys in Q.UNIQUE_KEYS.items()])
+
+
+def _enum_sql() -> str:
+    parts = []
+    for t, cols in Q.ENUM_COLUMNS.items():
+        for c, e in cols.items():
+            values = ", ".join(f"'{v}'" for v in S.ENUMS[e])
+            parts.append(f"SELECT '{t}' AS table_name, '{c}_in_{e}' AS rule_name, "
+                         f"COUNT(*) FILTER (WHERE {c} NOT IN ({values})) AS violations FROM {_VIEW[t]}")
+    return with_views(_views(Q.ENUM_COLUMNS), "\nUNION ALL\n".join(parts))
+
+
+@register("dq_enum", _enum_sql())
 def q_dq_enum(ctx):
-    wh = ctx.wh
-    sets = [(wh.fact_purchase_orders(), {"status": "purchase_order_status"}),
-            (wh.fact_shipments(), {"status": "shipment_status"}),
-            (wh.inventory_recommendations(), {"priority": "risk_level", "status": "recommendation_status"}),
-            (wh.business_recommendations(), {"recommendation_type": "recommendation_type",
-                                             "severity": "risk_level"}),
-            (wh.dim_carriers(), {"transport_mode": "transport_mode"})]
-    return _union([Q.violation_counts(df, "t", Q.enum_rules(cols)).select("rule_name", "violations")
-                   for df, cols in sets])
-
-
-@register("dq_not_null", with_views(["b_po", "dim_products", "b_ship"], """
-SELECT 'po_number_not_null' AS rule_name, COUNT(*) FILTER (WHERE po_number IS NULL) AS violations FROM b_po
-UNION ALL SELECT 'expected_delivery_date_not_null', COUNT(*) FILTER (WHERE expected_delivery_date IS NULL) FROM b_po
-UNION ALL SELECT 'sku_not_null', COUNT(*) FILTER (WHERE sku IS NULL) FROM dim_products
-UNION ALL SELECT 'product_name_not_null', COUNT(*) FILTER (WHERE product_name IS NULL) FROM dim_products
-UNION ALL SELECT 'actual_delivery_date_not_null', COUNT(*) FILTER (WHERE actual_delivery_date IS NULL) FROM b_ship"""))
+    return _union([Q.violation_counts(_df(ctx, t), t, Q.enum_rules(cols)).select("table_name", "rule_name", "violations")
+                   for t, cols in Q.ENUM_COLUMNS.items()])
+
+
+@register("dq_not_null", with_views(_views(Q.REQUIRED), "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}_not_null' AS rule_name, COUNT(*) - COUNT({c}) AS violations FROM {_VIEW[t]}"
+    for t, cols in Q.REQUIRED.items() for c in cols)))
 def q_dq_not_null(ctx):
-    wh = ctx.wh
-    sets = [(wh.fact_purchase_orders(), ["po_number", "expected_delivery_date"]),
-            (wh.dim_products(), ["sku", "product_name"]),
-            (wh.fact_shipments(), ["actual_delivery_date"])]
-    return _union([Q.violation_counts(df, "t", Q.not_null_rules(cols)).select("rule_name", "violations")
-                   for df, cols in sets])
-
-
-_FK_SQL = with_views(["b_po", "b_ship", "b_inv", "dim_suppliers", "dim_products", "dim_carriers",
-                      "dim_locations"], """
-SELECT 'fact_purchase_orders' AS table_name, 'supplier_id_references_supplier_id' AS rule_name,
-  COUNT(*) AS orphans FROM b_po WHERE supplier_id NOT IN (SELECT supplier_id FROM dim_suppliers)
-UNION ALL SELECT 'fact_purchase_orders', 'product_id_references_product_id', COUNT(*) FROM b_po
-  WHERE product_id NOT IN (SELECT product_id FROM dim_products)
-UNION ALL SELECT 'fact_shipments', 'carrier_id_references_carrier_id', COUNT(*) FROM b_ship
-  WHERE carrier_id NOT IN (SELECT carrier_id FROM dim_carriers)
-UNION ALL SELECT 'fact_inventory_snapshots', 'location_id_references_location_id', COUNT(*) FROM b_inv
-  WHERE location_id NOT IN (SELECT location_id FROM dim_locations)""")
-
-
-def _fk(ctx):
-    wh = ctx.wh
-    checks = [(wh.fact_purchase_orders(), "fact_purchase_orders", "supplier_id", wh.dim_suppliers(),
-               "supplier_id", "po_number"),
-              (wh.fact_purchase_orders(), "fact_purchase_orders", "product_id", wh.dim_products(),
-               "product_id", "po_number"),
-              (wh.fact_shipments(), "fact_shipments", "carrier_id", wh.dim_carriers(), "carrier_id",
-               "shipment_number"),
-              (wh.fact_inventory_snapshots(), "fact_inventory_snapshots", "location_id", wh.dim_locations(),
-               "location_id", "snapshot_id")]
-    out = []
-    for child, table, fk, parent, pk, key in checks:
-        v = Q.fk_violations(child, table, fk, parent, pk, key)
-        out.append(v.groupBy().agg(F.count(F.lit(1)).alias("orphans")).select(
-            F.lit(table).alias("table_name"), F.lit(f"{fk}_references_{pk}").alias("rule_name"), "orphans"))
-    return _union(out)
+    return _union([Q.violation_counts(_df(ctx, t), t, Q.not_null_rules(cols)).select("table_name", "rule_name", "violations")
+                   for t, cols in Q.REQUIRED.items()])
 
 
-@register("dq_foreign_keys", _FK_SQL)
+def _fk_tables(keys: dict) -> list[str]:
+    return [*keys, *(p for fks in keys.values() for _, p, _ in fks)]
+
+
+@register("dq_foreign_keys", with_views(_views(_fk_tables(Q.FOREIGN_KEYS)), "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{fk}_references_{pk}' AS rule_name, COUNT(*) AS orphans FROM {_VIEW[t]} c "
+    f"WHERE {fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_VIEW[parent]} p WHERE p.{pk} = c.{fk})"
+    for t, fks in Q.FOREIGN_KEYS.items() for fk, parent, pk in fks)))
 def q_dq_foreign_keys(ctx):
-    return _fk(ctx)
+    out = []
+    for t, fks in Q.FOREIGN_KEYS.items():
+        for fk, parent, pk in fks:
+            v = Q.fk_violations(_df(ctx, t), t, fk, _df(ctx, parent), pk, fk)
+            out.append(v.groupBy().agg(F.count(F.lit(1)).alias("orphans")).select(
+                F.lit(t).alias("table_name"), F.lit(f"{fk}_references_{pk}").alias("rule_name"), "orphans"))
+    return _union(out)
 
 
-@register("join_fk_check", _FK_SQL)
+@register("join_fk_check", with_views(["b_po", "dim_suppliers"], """
+SELECT s.supplier_code, COUNT(*) AS orders, CAST(SUM(ordered_quantity) AS BIGINT) AS ordered
+FROM b_po LEFT JOIN dim_suppliers s ON s.supplier_id = b_po.supplier_id GROUP BY 1"""))
 def q_join_fk_check(ctx):
-    return _fk(ctx)
+    """Orders joined to their supplier; orphans would stand under a null code."""
+    po = _df(ctx, "fact_purchase_orders").join(_df(ctx, "dim_suppliers").select("supplier_id", "supplier_code"), "supplier_id", "left")
+    return po.groupBy("supplier_code").agg(F.count(F.lit(1)).alias("orders"),
+                                           F.sum("ordered_quantity").cast("long").alias("ordered"))
 
 
 @register("dq_report_orders", with_views(["orders_f"], """
