@@ -143,7 +143,7 @@ def hash_unit(key: Column, seed: int = 42) -> Column:
 
 def sample_rows(df: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows without replacement, deterministic (hash order)."""
-    return df.withColumn("_u", F.xxhash64(key, F.lit(seed))).orderBy("_u").limit(n).drop("_u")
+    return df.withColumn("_u", F.xxhash64(key, F.lit(seed))).orderBy("_u", key).limit(n).drop("_u")
 
 
 def split_train_test(df: DataFrame, key: Column, test_share: float = 0.2, seed: int = 42) -> DataFrame:

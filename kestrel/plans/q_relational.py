@@ -311,9 +311,11 @@ def q_agg_shipping_mode_delay(ctx):
 
 @register("agg_duplicate_rows", with_views(["skus_f"], """
 SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (
-  SELECT product_type, inspection_result, route, COUNT(*) AS n FROM skus_f GROUP BY ALL)"""))
+  SELECT *, COUNT(*) AS n FROM (SELECT * FROM skus_f UNION ALL SELECT * FROM skus_f WHERE stock_levels > 50) GROUP BY ALL)"""))
 def q_agg_duplicate_rows(ctx):
-    return R.agg_duplicate_rows(ctx.skus().select("product_type", "inspection_result", "route"))
+    """Whole rows; well stocked SKUs are there twice, so there is something to find."""
+    skus = ctx.skus()
+    return R.agg_duplicate_rows(skus.unionByName(skus.where("stock_levels > 50")))
 
 
 @register("agg_null_counts", with_views(["skus_f"], """
@@ -369,8 +371,8 @@ def q_dedupe_in_batch(ctx):
 
 @register("sample_scatter")
 def q_sample_scatter(ctx):
-    o = ctx.orders().select("sales", "benefit_per_order", "order_item_id", "order_id")
-    return R.sample_rows(o, F.concat_ws("|", "order_id", "order_item_id"), 2000)
+    o = ctx.orders_clean().select("sales", "benefit_per_order", "Line Key")
+    return R.sample_rows(o, F.col("`Line Key`"), 2000).select("sales", "benefit_per_order", F.col("Line Key").alias("line_key"))
 
 
 @register("split_train_test")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions import columns as C
-from kestrel.operators import kpis, scoring
+from kestrel.operators import kpis, scoring, seeding
 from kestrel.plans.oracle_views import r, with_views
 from kestrel.plans.registry import register
+from kestrel.session import scratch_path
 
 
 def _re(expr: str, scale: int) -> str:
@@ -284,10 +285,27 @@ SELECT LOWER(REPLACE(supplier_name, ' ', '_')) AS supplier_code, supplier_name,
        THEN LOWER(SPLIT_PART(TRIM(risk_tier), ' ', 1)) ELSE 'medium' END AS risk_level
 FROM tiered"""))
 def q_seed_suppliers_scores(ctx):
-    sc = scoring.score_suppliers(ctx.skus())
-    return sc.select(C.slug_code("supplier_name").alias("supplier_code"), "supplier_name",
-                     C.country_from_name("supplier_name").alias("country"),
-                     C.normalize_risk_tier("risk_tier").alias("risk_level"))
+    """The stored rows after the seed job ran twice."""
+    root = scratch_path(ctx.spark, "seed-suppliers")
+    scores = scoring.score_suppliers(ctx.skus())
+    for _ in range(2):
+        seeding.seed_suppliers_and_scores(scores, root, ctx.as_of, "supplier_scorer-1.0")
+    cards = ctx.spark.read.parquet(f"{root}/supplier_performance_scores").select("supplier_id", F.col("risk_tier").alias("risk_level"))
+    return (ctx.spark.read.parquet(f"{root}/dim_suppliers").join(cards, "supplier_id")
+            .select("supplier_code", "supplier_name", "country", "risk_level"))
+
+
+@register("seed_products_recommendations", _with_opt("""
+SELECT sku, product_type || ' (SKU: ' || sku || ')' AS product_name, CAST(TRUNC(stock_levels) AS BIGINT) AS current_stock,
+  CASE WHEN stockout_risk = 1 THEN 'high' ELSE 'low' END AS priority FROM opt"""))
+def q_seed_products_recommendations(ctx):
+    """The stored rows after the seed job ran twice."""
+    root = scratch_path(ctx.spark, "seed-products")
+    for _ in range(2):
+        seeding.seed_products_and_recommendations(ctx.skus(), _opt(ctx), root, "central", ctx.as_of, "inventory_optimizer-1.0")
+    recs = ctx.spark.read.parquet(f"{root}/inventory_recommendations").select("product_id", "current_stock", "priority")
+    return (ctx.spark.read.parquet(f"{root}/dim_products").join(recs, "product_id")
+            .select("sku", "product_name", "current_stock", "priority"))
 
 
 @register("seed_products", with_views(["skus_f"], """

@@ -35,7 +35,7 @@ SELECT d.total_demand_units, d.total_sold_units, d.total_lost_sales_units,
   {_pct('s.delayed_shipments', 's.total_shipments')} AS shipment_delay_rate_pct,
   CAST(ROUND(COALESCE(s.avg_delay, 0), 2) AS DOUBLE) AS average_delay_days,
   i.inventory_positions, CAST(i.inventory_value AS DOUBLE) AS inventory_value, i.reorder_risk_positions,
-  r.open_recommendations, r.high_priority_recommendations
+  r.open_recommendations, r.high_priority_recommendations, '2001-06-01 00:00:00' AS refreshed_at
 FROM (SELECT COUNT(*) AS total_shipments,
              COUNT(*) FILTER (WHERE is_delayed IS TRUE) AS delayed_shipments,
              CAST(SUM(delay_days) AS DECIMAL(38,9)) / COUNT(delay_days) AS avg_delay FROM b_ship) s
@@ -186,11 +186,8 @@ def q_latest_delay_prediction(ctx):
 
 
 @register("row_number_in_source", """
-SELECT COUNT(*) AS n_rows, CAST(MIN(rn) AS BIGINT) AS min_row, CAST(MAX(rn) AS BIGINT) AS max_row,
-  CAST(COUNT(DISTINCT rn) AS BIGINT) AS distinct_rows
-FROM (SELECT row_number() OVER () AS rn FROM lineitem)""")
+SELECT CAST(row_number() OVER () AS BIGINT) AS rn, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem""")
 def q_row_number_in_source(ctx):
-    numbered = L.row_number_in_source(ctx.t.lineitem.select("l_orderkey"), "rn")
-    return numbered.agg(F.count(F.lit(1)).alias("n_rows"), F.min("rn").alias("min_row"),
-                        F.max("rn").alias("max_row"),
-                        F.count_distinct("rn").alias("distinct_rows"))
+    """Every row with its number in file order."""
+    from kestrel.sources.files import number_rows_in_file_order
+    return number_rows_in_file_order(ctx.t.lineitem, "rn").select("rn", "l_orderkey", "l_linenumber")

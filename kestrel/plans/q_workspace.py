@@ -394,15 +394,20 @@ def q_scan_csv_encoding_fallback(ctx):
 
 
 @register("raw_landing", with_views(["skus_f"], """
-SELECT CAST(1 AS BIGINT) AS files, COUNT(*) AS rows, COUNT(*) AS distinct_file_rows, CAST(64 AS BIGINT) AS hash_length FROM skus_f"""))
+SELECT COUNT(*) AS read, COUNT(*) AS first_inserted, CAST(0 AS BIGINT) AS first_rejected, CAST(0 AS BIGINT) AS second_inserted,
+  COUNT(*) AS second_rejected, COUNT(*) AS stored_rows, COUNT(DISTINCT sku) AS stored_skus FROM skus_f"""))
 def q_raw_landing(ctx):
-    path = scratch_path(ctx.spark, "landing")
-    SK.sink_csv(ctx.raw_skus().coalesce(1), path)  # one landed file
-    reg, recs = FS.raw_landing(ctx.spark, f"{path}/*.csv", "skus")
-    a = reg.agg(F.count(F.lit(1)).alias("files"), F.sum("row_count").alias("rows"),
-                F.max(F.length("file_hash")).alias("hash_length"))
-    b = recs.agg(F.count_distinct("file_path", "row_number").alias("distinct_file_rows"))
-    return a.crossJoin(b).select("files", "rows", "distinct_file_rows", "hash_length")
+    """Land the files twice: the second time every row is rejected."""
+    path, root = scratch_path(ctx.spark, "landing"), scratch_path(ctx.spark, "landed")
+    SK.sink_csv(ctx.raw_skus(), path)
+    a = FS.land_files(ctx.spark, f"{path}/*.csv", "skus", root)
+    b = FS.land_files(ctx.spark, f"{path}/*.csv", "skus", root)
+    stored = ctx.spark.read.parquet(f"{root}/raw_source_records")
+    return stored.agg(F.count_distinct("file_id", "row_number").alias("stored_rows"),
+                      F.count_distinct(F.get_json_object("payload", "$.SKU")).alias("stored_skus")).select(
+        *[F.lit(int(v)).cast("long").alias(k) for k, v in (("read", a["read"]), ("first_inserted", a["inserted"]),
+          ("first_rejected", a["rejected"]), ("second_inserted", b["inserted"]), ("second_rejected", b["rejected"]))],
+        "stored_rows", "stored_skus")
 
 
 @register("sink_insert_if_absent", with_views(["skus_f"], """

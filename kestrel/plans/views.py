@@ -19,7 +19,8 @@ from kestrel.operators import latest as L
 from kestrel.plans.bridge import Warehouse
 
 
-def bi_executive_kpis(wh: Warehouse) -> DataFrame:
+def bi_executive_kpis(wh: Warehouse, as_of: date | None = None) -> DataFrame:
+    """One row; ``refreshed_at`` is the explicit report time."""
     sh = wh.fact_shipments().agg(
         F.count(F.lit(1)).alias("total_shipments"),
         F.count_if(F.col("is_delayed") == F.lit(True)).alias("delayed_shipments"),
@@ -49,7 +50,8 @@ def bi_executive_kpis(wh: Warehouse) -> DataFrame:
         F.col("inventory_value").cast("double").alias("inventory_value"),
         F.col("reorder_risk_positions").cast("long").alias("reorder_risk_positions"),
         F.col("open_recommendations").cast("long").alias("open_recommendations"),
-        F.col("high_priority_recommendations").cast("long").alias("high_priority_recommendations"))
+        F.col("high_priority_recommendations").cast("long").alias("high_priority_recommendations"),
+        F.lit(as_of or wh.as_of).cast("timestamp").alias("refreshed_at"))
 
 
 def bi_inventory_dashboard(wh: Warehouse, as_of: date | None = None) -> DataFrame:
