@@ -476,20 +476,74 @@ def q_sort_columns(ctx):
         "columns_missing"))
 
 
-@register("stats_report")
+def _report_sql() -> str:
+    """Long form of the checked single queries; p-values have no SQL form."""
+    from kestrel.plans.registry import _ORACLE
+    long = []
+
+    def part(section: str, query: str, name: str, measures: list[str]) -> None:
+        for m in measures:
+            long.append(f"SELECT '{section}' AS section, {name} AS item, '{m}' AS measure, CAST({m} AS DOUBLE) AS value "
+                        f"FROM ({_ORACLE[query]}) q")
+    part("welch_t_test", "welch_t_test", "''", ["on_time_n", "late_n", "on_time_mean", "late_mean", "on_time_std", "late_std",
+                                              "t_statistic", "df"])
+    part("chi_square", "chi_square_independence", "''", ["chi2_statistic", "degrees_of_freedom", "n", "cramers_v"])
+    part("group_stats", "agg_group_stats", "inspection_result", ["n", "mean", "median", "std"])
+    part("pearson_orders", "pearson_matrix", "x || '|' || y", ["r"])
+    part("pearson_skus", "corr_matrix_long", "x || '|' || y", ["r"])
+    part("spearman_skus", "spearman_matrix", "x || '|' || y", ["r"])
+    part("highlights_orders", "corr_highlights", "pair", ["r"])
+    long.append("SELECT 'contingency', shipping_mode || '|' || CAST(late_delivery_flag AS VARCHAR), 'n', CAST(n AS DOUBLE) FROM ("
+                + with_views(["orders_f"], "SELECT shipping_mode, late_delivery_flag, COUNT(*) AS n FROM orders_f GROUP BY 1, 2") + ") q")
+    long.append("SELECT 'rows', name, 'n', CAST(n AS DOUBLE) FROM (" + with_views(["orders_f", "skus_f"], """
+SELECT 'orders' AS name, COUNT(*) AS n FROM orders_f UNION ALL SELECT 'skus', COUNT(*) FROM skus_f""") + ") q")
+    return "\nUNION ALL\n".join(long)
+
+
+@register("stats_report", _report_sql())
 def q_stats_report(ctx):
-    """All test results as one long table (test, statistic, dof, p-value)."""
+    """The whole analysis as one JSON report (tests with p-values, group
+    statistics, contingency, correlation matrices, highlights, row counts),
+    written and read back; the p-values stay in the file."""
     from kestrel.operators import stats as ST
-    w = ST.welch_t_test(ctx.orders(), "profit_margin_pct", "late_delivery_flag").select(
-        F.lit("welch_t_test").alias("test"), F.col("t_statistic").alias("statistic"),
-        F.col("df").alias("dof"), "p_value")
-    c = ST.chi_square_independence(ctx.orders(), "shipping_mode", "late_delivery_flag").select(
-        F.lit("chi_square").alias("test"), F.col("chi2_statistic").alias("statistic"),
-        F.col("degrees_of_freedom").cast("double").alias("dof"), "p_value")
-    k = ST.kruskal_wallis(ctx.skus(), "defect_rate_raw", "inspection_result", ["Pass", "Fail", "Pending"]).select(
-        F.lit("kruskal_wallis").alias("test"), F.col("h_statistic").alias("statistic"),
-        F.col("dof").cast("double").alias("dof"), "p_value")
-    return w.unionByName(c).unionByName(k)
+    from kestrel.plans import q_stats as Q
+    from kestrel.session import scratch_path
+    from kestrel.sources.sinks import sink_json_report
+
+    def rows(section: str, df, item, measures: list[str]):
+        cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return df.select(F.lit(section).alias("section"), item.alias("item"), F.inline(cells))
+
+    pair = F.concat_ws("|", "x", "y")
+    none = F.lit("")
+    welch = Q.q_welch_t_test(ctx)
+    chi = ST.chi_square_independence(ctx.orders(), "shipping_mode", "late_delivery_flag")
+    kruskal = ST.kruskal_wallis(ctx.skus(), "defect_rate_raw", "inspection_result", Q.INSPECTION_LEVELS)
+    r4 = lambda df, cols: df.withColumns({c: C.round_half_up(c, 4) for c in cols})
+    parts = [
+        rows("welch_t_test", welch, none, ["on_time_n", "late_n", "on_time_mean", "late_mean", "on_time_std", "late_std",
+                                          "t_statistic", "df"]),
+        rows("welch_t_test", Q.q_welch_t_test_report(ctx), none, ["p_value"]),
+        rows("chi_square", r4(chi, ["chi2_statistic", "cramers_v"]), none, ["chi2_statistic", "degrees_of_freedom", "n", "cramers_v",
+                                                                           "p_value"]),
+        rows("kruskal_wallis", kruskal, none, ["p_value"]),
+        rows("group_stats", Q.q_agg_group_stats(ctx), F.col("inspection_result"), ["n", "mean", "median", "std"]),
+        rows("pearson_orders", Q.q_pearson_matrix(ctx), pair, ["r"]),
+        rows("pearson_skus", Q.q_corr_matrix_long(ctx), pair, ["r"]),
+        rows("spearman_skus", Q.q_spearman_matrix(ctx), pair, ["r"]),
+        rows("highlights_orders", Q.q_corr_highlights(ctx), F.col("pair"), ["r"]),
+        rows("contingency", ctx.orders().groupBy("shipping_mode", "late_delivery_flag").agg(_count().alias("n")),
+             F.concat_ws("|", "shipping_mode", F.col("late_delivery_flag").cast("string")), ["n"]),
+        rows("rows", ctx.orders().agg(_count().alias("n")), F.lit("orders"), ["n"]),
+        rows("rows", ctx.skus().agg(_count().alias("n")), F.lit("skus"), ["n"]),
+    ]
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    path = scratch_path(ctx.spark, "stats-report")
+    sink_json_report(report, path)
+    back = ctx.spark.read.schema("section string, item string, measure string, value double").json(path)
+    return back.where("measure <> 'p_value'")
 
 
 @register("model_save")
