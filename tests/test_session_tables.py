@@ -1,14 +1,11 @@
 import pytest
 
-from kestrel.sources.tables import spread
 
-
-def test_spread_only_small_scans(spark):
-    one = spark.range(0, 100, numPartitions=1)
-    many = spark.range(0, 100, numPartitions=64)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(many).rdd.getNumPartitions() == 64          # large input: unchanged, no shuffle
-    assert sorted(r[0] for r in spread(one).collect()) == list(range(100))
+def test_scans_keep_their_partitions(spark):
+    """A table is opened as it lies: no shuffle is put over the scan."""
+    from kestrel.sources.tables import Tables
+    plan = Tables(spark, "/root/testdata/sf0.001").lineitem._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_checkpoint_root_uses_session_setting(spark):
@@ -38,6 +35,9 @@ def test_cluster_requires_shared_folder(monkeypatch, spark):
     class FakeSC:
         master = "spark://cluster:7077"
 
+        def getCheckpointDir(self):
+            return None
+
     class FakeSpark:
         conf = FakeConf()
         sparkContext = FakeSC()

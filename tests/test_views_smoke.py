@@ -48,6 +48,7 @@ class SmokeWarehouse(Warehouse):
 
 def test_executive_kpis_smoke(spark):
     r = V.bi_executive_kpis(SmokeWarehouse(spark)).first().asDict()
+    assert r.pop("refreshed_at").isoformat() == "2026-06-11T00:00:00"
     assert r == {"total_demand_units": 30, "total_sold_units": 25, "total_lost_sales_units": 5,
                  "total_revenue": 375.0, "total_shipments": 1, "delayed_shipments": 1,
                  "shipment_delay_rate_pct": 100.0, "average_delay_days": 1.0, "inventory_positions": 1,
