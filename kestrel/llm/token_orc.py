@@ -60,55 +60,51 @@ class _Words:
         others = [b for b in range(256) if b not in plain]
         # the character that stands for each byte in a byte-level vocabulary
         self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.now: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.pack = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.cache = _Cache(self)
 
     def _direct(self, word: bytes) -> bytes | None:
         """Ids of a word that is a single piece in normal form, else None."""
-        if not _LETTERS(word.decode()):
+        if word.isalpha():  # ASCII letters only
+            text = word.decode()
+        elif _LETTERS(word.decode()):
+            text = word.decode("latin-1").translate(self.chars)
+        else:
             return None
-        return np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.chars))], "<i4").tobytes()
-
-    def _learn(self, words) -> None:
-        others = []
-        for w in words:
-            if w[-1] in b".," and len(w) > 1 and w[-2] in _ALNUM:
-                core = self.now.get(w[:-1]) or self._direct(w[:-1])
-                if core is not None:
-                    self.now[w] = core + self._mark(w[-1:])
-                    continue
-            ids = self._direct(w)
-            if ids is None:
-                others.append(w)
-            else:
-                self.now[w] = ids
-        if others:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
-            self.now.update((w, np.array(f.ids, "<i4").tobytes()) for w, f in zip(others, found))
-
-    def _mark(self, mark: bytes) -> bytes:
-        if mark not in self.now:
-            self.now[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<i4").tobytes()
-        return self.now[mark]
+        pack = self.pack
+        return b"".join([pack[t.id] for t in self.model.tokenize(text)])
+
+    def learn(self, word: bytes) -> bytes:
+        ids = self._direct(word)
+        if ids is None and word[-1] in b".," and len(word) > 1 and word[-2] in _ALNUM:
+            core = self._direct(word[:-1])
+            if core is not None:
+                ids = core + self.cache[word[-1:]]
+        return self.whole(word) if ids is None else ids
+
+    def whole(self, text: bytes) -> bytes:
+        return b"".join([self.pack[i] for i in self.tokenizer.encode(text.decode(), add_special_tokens=False).ids])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        odd = [b"<|" in t for t in texts]
-        split = [() if o else t.lower().split() for t, o in zip(texts, odd)]
-        used = set().union(*split)
-        need = used.difference(self.now)
-        if need:
-            if len(self.now) + len(need) > CACHE_WORDS:
-                self.older, self.now = self.now, {}
-                need = used
-            if known := need & self.older.keys():
-                self.now.update((w, self.older[w]) for w in known)
-                need = need - known
-            self._learn(need)
-        look = self.now.__getitem__
-        return [self._whole(t) if o else b"".join(map(look, words)) for t, o, words in zip(texts, odd, split)]
-
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = _Cache(self, self.cache)
+        look = self.cache.__getitem__
+        return [self.whole(t) if b"<|" in t else b"".join(map(look, t.lower().split())) for t in texts]
+
+
+class _Cache(dict):
+    """Ids by word, learnt when first asked for; takes over what is used of the cache before."""
+
+    def __init__(self, words: _Words, older: dict | None = None):
+        super().__init__()
+        self.words, self.older = words, dict(older or ())
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.words.learn(word)
+        self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
