@@ -272,6 +272,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows["p"], rows["lmin"], rows["lmax"] = p[use], p[use] - last[use], p[use] - first[use]
         at = p[use][:, None] + np.arange(-LEFT, SIZE)
         rows["bytes"] = data[np.maximum(at, 0)]
+        # bytes outside all of an anchor's windows say nothing; zeros pack well
+        place = np.arange(-LEFT, SIZE)
+        rows["bytes"][(place < -rows["lmax"].astype(np.int64)[:, None]) | (place >= SIZE - rows["lmin"].astype(np.int64)[:, None])] = 0
         out += [(b, k, squeeze.compress(x)) for b, k, x in zip(*B.by_bucket(
             block.block, (keys[use] >> U64(32)).astype(np.int64), rows).to_pydict().values())]
         hot = np.flatnonzero(hot)
