@@ -279,9 +279,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             block.block, (keys[use] >> U64(32)).astype(np.int64), rows).to_pydict().values())]
         hot = np.flatnonzero(hot)
         if len(hot):
-            count = last[hot] - first[hot] + 1
-            s = np.repeat(first[hot], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            k, seen = np.unique(_string_hash(data, s, SIZE, 2), return_counts=True)
+            # an anchor's windows are consecutive
+            k = np.concatenate([_window_keys(data, a, b + 1) for a, b in zip(first[hot].tolist(), last[hot].tolist())])
+            k, seen = np.unique(k, return_counts=True)
             rows = np.empty(len(k), _WINDOW)
             rows["key"], rows["here"] = k, seen > 1
             out += zip(*B.by_bucket(block.block, buckets + (mix(k) % U64(buckets)).astype(np.int64), rows).to_pydict().values())
@@ -327,11 +327,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         starts, ends = block.starts, block.ends
         if windows:
             known = np.sort(np.concatenate(windows))
-            data = np.concatenate([block.data, np.zeros(SIZE, np.uint8)])
+            data = np.concatenate([block.data, np.zeros(SIZE + 8, np.uint8)])
             for a, b in zip(starts.tolist(), (ends - SIZE + 1).tolist()):
                 for lo in range(a, b, _SEGMENT):
-                    s = np.arange(lo, min(b, lo + _SEGMENT))
-                    s = s[B.contains(known, _rolling(data, s))]
+                    s = lo + np.flatnonzero(B.contains(known, _window_keys(data, lo, min(b, lo + _SEGMENT))))
                     np.add.at(step, s, 1)
                     np.add.at(step, s + SIZE, -1)
         gone = np.cumsum(step)[:n] > 0
@@ -351,10 +350,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return B.answer(packed, repeats, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans binary")
 
 
-def _rolling(data: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """As _string_hash(data, s, SIZE, 2) for consecutive positions, without gathering their bytes."""
-    w = _words_at_all(data[s[0]: s[-1] + SIZE])
-    total = np.zeros(len(s), np.uint64)
-    for k, o in enumerate(range(0, SIZE - 7, 8)):
-        total += w[o: o + len(s)] * _COEF[(2 * 50 + k) % 500]
-    return mix(total + U64(2))
+def _window_keys(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Keys of the SIZE bytes from each position in [lo, hi): stretches of 64 bytes are
+    hashed once for all positions, then combined."""
+    w = _words_at_all(data[lo: hi + SIZE])
+    part = np.zeros(len(w) - 56, np.uint64)
+    for k in range(8):
+        part += w[8 * k: 8 * k + len(part)] * _COEF[100 + k]
+    part = mix(part)
+    n = hi - lo
+    total = w[SIZE - 8: SIZE - 8 + n] * _COEF[110]
+    for j in range(3):
+        total += part[64 * j: 64 * j + n] * _COEF[111 + j]
+    return mix(total)
