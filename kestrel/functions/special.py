@@ -1,89 +1,79 @@
 """Distribution tails for test statistics, as Arrow-batched pandas UDFs.
 
 They run on the one aggregated row of a test (never on data rows), so the
-Python cost is constant in the data size.  The regularised incomplete
-beta and gamma functions use the standard continued-fraction / series
-expansions (Numerical-Recipes style, written from the formulas).
+Python cost is constant in the data size.  The continued fractions are those
+of the Digital Library of Mathematical Functions (8.17.22 for the incomplete
+beta function, 8.9.2 for the upper incomplete gamma function), evaluated from
+the tail; the lower gamma function is its power series (8.7.1).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-15
-_FPMIN = 1e-300
-_MAXIT = 10_000
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-    h = d
-    for m in range(1, _MAXIT):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > _FPMIN else _FPMIN
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > _FPMIN else _FPMIN
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return h
+
+def _settled(evaluate: Callable[[int], float]) -> float:
+    """A continued fraction cut after ever more terms, until it stands still."""
+    terms, before = 32, math.nan
+    while terms <= 1 << 20:
+        now = evaluate(terms)
+        if abs(now - before) <= 1e-15 * abs(now):
+            return now
+        terms, before = 2 * terms, now
+    return before
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    def partial(n: int) -> float:
+        """The n-th numerator."""
+        m, odd = divmod(n, 2)
+        if odd:
+            return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+    def evaluate(terms: int) -> float:
+        value = 1.0
+        for n in range(terms, 0, -1):
+            value = 1.0 + partial(n) / value
+        return 1.0 / value
+    return _settled(evaluate)
 
 
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    front = math.exp(ln)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    if not 0.0 < x < 1.0:
+        return float(x >= 1.0)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x * (a + b + 2.0) < a + 1.0:  # where the fraction converges fast; else by symmetry
+        return scale * _beta_fraction(a, b, x) / a
+    return 1.0 - scale * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x <= 0.0:
         return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:  # series for P, then Q = 1 - P
-        ap, s, delta = a, 1.0 / a, 1.0 / a
-        for _ in range(_MAXIT):
-            ap += 1.0
-            delta *= x / ap
-            s += delta
-            if abs(delta) < abs(s) * _EPS:
-                break
-        return 1.0 - s * math.exp(-x + a * math.log(x) - gln)
-    b = x + 1.0 - a  # continued fraction for Q
-    c, d = 1.0 / _FPMIN, 1.0 / b
-    h = d
-    for i in range(1, _MAXIT):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = b + an / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        k = 1
+        while term > 1e-17 * total:
+            term *= x / (a + k)
+            total += term
+            k += 1
+        return 1.0 - scale * total
+
+    def evaluate(terms: int) -> float:
+        value = x
+        for n in range(terms, 0, -1):
+            value = x + (n - a) / (1.0 + n / value)
+        return 1.0 / value
+    return scale * _settled(evaluate)
 
 
 def t_two_sided_p(t: float, df: float) -> float:
