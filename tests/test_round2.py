@@ -141,3 +141,27 @@ def test_llm_package_is_optional(tmp_path):
     shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(k.startswith('op') and k[2].isdigit() for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_splits_are_disjoint_shares(spark):
+    from kestrel.operators.relational import sample_rows, split_stratified, split_train_test
+    df = spark.range(20_000).selectExpr("cast(id as string) as k", "id % 4 as label")
+    once = {r.k: r.is_test for r in split_train_test(df, F.col("k")).collect()}
+    again = {r.k: r.is_test for r in split_train_test(df.repartition(7), F.col("k")).collect()}
+    assert once == again and abs(sum(once.values()) / len(once) - 0.2) < 0.01
+    for r in split_stratified(df, F.col("k"), "label").groupBy("label").agg(F.avg(F.col("is_test").cast("int")).alias("s")).collect():
+        assert abs(r.s - 0.2) < 0.02
+    a = {r.k for r in sample_rows(df, F.col("k"), 500).collect()}
+    assert len(a) == 500 and a == {r.k for r in sample_rows(df.repartition(5), F.col("k"), 500).collect()}
+
+
+def test_scored_rows_are_all_rows(spark, ctx, monkeypatch):
+    from kestrel.plans import q_ml
+    monkeypatch.setattr(ml, "FOREST_TREES", 3)
+    df = q_ml._model_input(ctx)
+    model, test = ml.train_delay_classifier(df, num_trees=3, max_depth=4)
+    scored = ml.score_delay_batch(model, df)
+    assert scored.count() == df.count()
+    one = scored.select((F.col("late_probability") + F.col("on_time_probability")).alias("p")).agg(F.min("p"), F.max("p")).first()
+    assert abs(one[0] - 1) < 2e-4 and abs(one[1] - 1) < 2e-4
+    assert 0.1 < test.count() / df.count() < 0.3
