@@ -129,9 +129,18 @@ def adapt_rows(df: DataFrame, missing: list[str], dataset_type: str) -> DataFram
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, every cell as text; UTF-8 unless the file is not valid
     UTF-8, then Latin-1 (decided per file from its bytes, on the executors)."""
-    from kestrel.sources.files import detect_encoding
-    enc = detect_encoding(spark, path)
-    return spark.read.option("header", True).option("encoding", enc).option("inferSchema", False).csv(path)
+    from kestrel.sources.files import detect_encoding_per_file
+    found = {r["file_path"]: r["encoding"] for r in detect_encoding_per_file(spark, path).collect()}  # a row per uploaded file
+    kinds = set(found.values()) or {"UTF-8"}
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    if len(kinds) == 1:
+        return reader.option("encoding", kinds.pop()).csv(path)
+    # mixed: Latin-1 keeps every byte, so the cells of UTF-8 files are decoded from it
+    raw = reader.option("encoding", "ISO-8859-1").csv(path)
+    utf8 = F.col("_metadata.file_path").isin([f for f, e in found.items() if e == "UTF-8"])
+    cell = lambda c: F.col(f"`{c}`")
+    return raw.select(*[F.when(utf8, F.decode(F.encode(cell(c), "ISO-8859-1"), "UTF-8")).otherwise(cell(c)).alias(c)
+                        for c in raw.columns])
 
 
 def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str, dataset_name: str,

@@ -165,3 +165,12 @@ def test_scored_rows_are_all_rows(spark, ctx, monkeypatch):
     one = scored.select((F.col("late_probability") + F.col("on_time_probability")).alias("p")).agg(F.min("p"), F.max("p")).first()
     assert abs(one[0] - 1) < 2e-4 and abs(one[1] - 1) < 2e-4
     assert 0.1 < test.count() / df.count() < 0.3
+
+
+def test_upload_of_files_in_two_encodings(spark, tmp_path):
+    from kestrel.operators.workspace import read_upload
+    from kestrel.sources.files import number_rows_in_file_order
+    (tmp_path / "a.csv").write_bytes("id,name\n1,Zoë\n2,x\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("id,name\n3,Zoë\n".encode("latin-1"))
+    rows = number_rows_in_file_order(read_upload(spark, str(tmp_path)), "n").orderBy("n").collect()
+    assert [(r.n, r.id, r.name) for r in rows] == [(1, "1", "Zoë"), (2, "2", "x"), (3, "3", "Zoë")]
