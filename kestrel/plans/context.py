@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,10 @@ _WAREHOUSE_TABLES = ["dim_products", "dim_locations", "dim_suppliers", "dim_carr
                      "shipment_delay_predictions"]
 
 
+# what the stored tables are built from
+_SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+
+
 class StoredWarehouse(Warehouse):
     """Warehouse whose tables are built once and then read from Parquet."""
 
@@ -44,9 +49,21 @@ class Context:
         self.t = Tables(spark, sf_dir)
         self.as_of = as_of
         self.materialize = materialize
-        self._scope = f"{self.t.sf_dir}|{as_of.isoformat()}"
+        self._scope = f"{self.t.sf_dir}|{as_of.isoformat()}|{self._files() if materialize else ''}"
         self.wh = StoredWarehouse(self.t, as_of, self._scope) if materialize else Warehouse(self.t, as_of)
 
+    def _files(self) -> str:
+        """Digest of the source tables' files (name, length, time): new or changed
+        files make new stored tables.  A listing through Hadoop, no Spark job."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        found = []
+        for table in _SOURCES:
+            path = hadoop.Path(f"{self.t.sf_dir}/{table}.parquet")
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
+        return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
     def _stored(self, name: str, build) -> DataFrame:
         return stored(self.spark, self._scope, name, build) if self.materialize else build()
 

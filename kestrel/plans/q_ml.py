@@ -126,14 +126,14 @@ _MODELS: dict = {}
 
 def _delay_model(ctx):
     """Trained once per (session, data folder) and shared by the scoring queries."""
-    key = ("delay", ctx.spark.sparkContext.applicationId, ctx.t.sf_dir)
+    key = ("delay", ctx.spark.sparkContext.applicationId, ctx._scope)
     if key not in _MODELS:
         _MODELS[key] = ml.train_delay_classifier(_model_input(ctx))
     return _MODELS[key]
 
 
 def _sales_model(ctx):
-    key = ("sales", ctx.spark.sparkContext.applicationId, ctx.t.sf_dir)
+    key = ("sales", ctx.spark.sparkContext.applicationId, ctx._scope)
     if key not in _MODELS:
         _MODELS[key] = ml.train_sales_regressor(_model_input(ctx))
     return _MODELS[key]

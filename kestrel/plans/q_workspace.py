@@ -9,6 +9,8 @@ queries; mutating queries build their own copy.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from kestrel.functions import columns as C
@@ -52,7 +54,7 @@ def _uploads(ctx, base: str) -> dict[str, str]:
 
 
 def workspace(ctx, fresh: bool = False) -> tuple[str, dict]:
-    key = (id(ctx.spark), ctx.t.sf_dir)
+    key = (ctx.spark.sparkContext.applicationId, ctx._scope)
     if not fresh and key in _CACHE:
         return _CACHE[key]
     base = scratch_path(ctx.spark, "workspace")
@@ -492,11 +494,29 @@ def q_sink_json_report(ctx):
     return back.select(F.col("skus_analyzed").cast("long"), F.col("at_stockout_risk").cast("long"))
 
 
-@register("etl_batch_run", with_views(["orders_f"], """
-SELECT 'etl' AS pipeline_name, 'success' AS status, COUNT(*) AS rows_read, COUNT(*) AS rows_inserted FROM orders_f"""))
+@register("etl_batch_run", with_views(["skus_f"], """
+SELECT CAST(1 AS BIGINT) AS run, 'success' AS status, n AS rows_read, n AS rows_inserted, CAST(0 AS BIGINT) AS rows_rejected, TRUE AS finished_after_start
+FROM (SELECT COUNT(*) FILTER (WHERE CAST(SUBSTR(sku, 4) AS BIGINT) % 2 = 0) AS n FROM skus_f)
+UNION ALL SELECT 2, 'partial', COUNT(*), COUNT(*) FILTER (WHERE CAST(SUBSTR(sku, 4) AS BIGINT) % 2 <> 0),
+  COUNT(*) FILTER (WHERE CAST(SUBSTR(sku, 4) AS BIGINT) % 2 = 0), TRUE FROM skus_f"""))
 def q_etl_batch_run(ctx):
-    from datetime import datetime
-    path = scratch_path(ctx.spark, "batch")
-    n = SK.sink_append(ctx.orders().select("order_id", "sales"), path)
-    run = SK.etl_batch_run(ctx.spark, "etl", "orders", datetime(2001, 6, 1), datetime(2001, 6, 1, 0, 5), n, n, 0)
-    return run.select("pipeline_name", "status", "rows_read", "rows_inserted")
+    """Two landing runs, of half of the SKUs and then of all their files:
+    the second rejects what the first has landed."""
+    return batch_runs(ctx)[0]
+
+
+def batch_runs(ctx):
+    """(batch run rows, folder of the landed tables)."""
+    src, root = scratch_path(ctx.spark, "landing"), scratch_path(ctx.spark, "landed")
+    even = F.substring("SKU", 4, 18).cast("long") % 2 == 0
+    SK.sink_csv(ctx.raw_skus().where(even), f"{src}/a")
+    SK.sink_csv(ctx.raw_skus().where(~even), f"{src}/b")
+    out = None
+    for i, path in enumerate([f"{src}/a/*.csv", f"{src}/*/*.csv"]):
+        n = FS.land_files(ctx.spark, path, "skus", root)
+        run = SK.etl_batch_run(ctx.spark, "landing", "skus", datetime(2001, 6, 1), datetime(2001, 6, 1, 0, 5), n["read"],
+                               n["inserted"], n["rejected"])
+        run = run.select(F.lit(i + 1).alias("run"), "status", "rows_read", "rows_inserted", "rows_rejected",
+                         (F.col("finished_at") >= F.col("started_at")).alias("finished_after_start"))
+        out = run if out is None else out.unionByName(run)
+    return out, root

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kestrel.plans import bridge
 from kestrel.plans import views as V
 
 
 def publish(ctx) -> list[str]:
+    from kestrel.operators import quality as Q
+    from kestrel.plans.q_ml import _registry
+    from kestrel.plans.q_workspace import batch_runs
     wh = ctx.wh
+    runs, landed = batch_runs(ctx)
+    inv = "fact_inventory_snapshots"
     tables = {
+        "etl_batch_runs": runs,
+        "raw_source_files": ctx.spark.read.parquet(f"{landed}/raw_source_files"),
+        "raw_source_records": ctx.spark.read.parquet(f"{landed}/raw_source_records"),
+        "data_quality_issues": Q.quality_issues(wh.fact_inventory_snapshots(), inv, F.col("snapshot_id"), Q.table_rules(inv),
+                                                "batch-1", ctx.as_of),
+        "model_registry": _registry(ctx),
         "dim_locations": wh.dim_locations(), "dim_products": wh.dim_products(),
         "dim_suppliers": wh.dim_suppliers(), "dim_carriers": wh.dim_carriers(),
         "supplier_products": bridge.supplier_products(ctx.t),
