@@ -38,6 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables of one operator call in a folder of their own, dropped together
+    once its result is written."""
+
+    def __init__(self, spark, name: str):
+        self.spark, self.root, self.number = spark, scratch_path(spark, f"llm-{name}"), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.root}/{self.number}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -49,11 +67,12 @@ def un_ipc(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+         level: int = 3) -> DataFrame:
     """Blocks of whole documents with all their columns, written once.
 
     A null text is packed as empty; a null id as :data:`NO_ID`; the original
-    columns, apart from the text, travel unchanged.
+    columns, apart from the text, travel unchanged.  ``level``: of compression.
     """
     rest = [c for c in docs.columns if c != text_col]
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"),
@@ -61,7 +80,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=level)
         for batch in batches:
             data, ends = text_bytes(batch.column(1))
             ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)

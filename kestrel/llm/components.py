@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.blocks import materialize
+from kestrel.llm.blocks import Scratch
 
 
 class Forest:
@@ -40,19 +40,20 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, y) for x, y in zip(a.tolist(), b.tolist()) if f.join(x, y)]
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b, longs): root is the
     smallest node reachable.
 
     Alternates large-star and small-star steps: each node's neighbours are
     re-hung on its smallest neighbour until nothing changes, about log(n)
     rounds.  A node's neighbours are only aggregated and joined, never
-    collected; a hub's rows can be split by the adaptive skew join.
+    collected; a hub's rows can be split by the adaptive skew join.  The rounds
+    are written to ``scratch``, which must outlive the result.
     """
     def tidy(df):
         return df.where("u <> v").distinct()
 
-    now = materialize(tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), name)
+    now = scratch.keep(tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
@@ -62,11 +63,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = materialize(large, name)
+        large = scratch.keep(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
             F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(tidy(small), name)
+        now = scratch.keep(tidy(small), "small-star")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

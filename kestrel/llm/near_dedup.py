@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.blocks import materialize
+from kestrel.llm.blocks import Scratch, materialize
 from kestrel.llm.components import Forest, components, spanning
 from kestrel.llm.hashing import LOWER, gram_hashes, groups, mix, text_bytes, word_bounds, word_hashes
 
@@ -87,7 +87,7 @@ def _signatures(sets: np.ndarray, counts: np.ndarray):
     return keys, minima
 
 
-def _sets_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _sets_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, scratch: Scratch) -> DataFrame:
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *_row_key(id_col, text_col),
                          F.col(f"`{text_col}`").alias("t"))
 
@@ -103,7 +103,7 @@ def _sets_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
                     [part.column(0), part.column(1), part.column(2), pa.array(counts), pa.array(keys, pa.binary()),
                      pa.array(minima, pa.binary())], names=["doc_id", "k", "h", "n_shingles", "cls", "minima"])
 
-    return materialize(source.mapInArrow(
+    return scratch.keep(source.mapInArrow(
         run, "doc_id long, k string, h long, n_shingles long, cls binary, minima binary"), "sets")
 
 
@@ -241,22 +241,28 @@ def _hubs(large: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per document row."""
-    spark = docs.sparkSession
-    sets = _sets_table(docs, id_col, text_col, shingle)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    result = materialize(_near_duplicates(docs, shingle, percent, id_col, text_col, scratch), "near-duplicates")
+    scratch.drop()
+    return result
+
+
+def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch) -> DataFrame:
+    sets = _sets_table(docs, id_col, text_col, shingle, scratch)
     classes = (sets.where("n_shingles > 0").groupBy("cls")
                .agg(F.first("minima").alias("minima"), F.min(F.struct("k", "h")).alias("row"), F.min("doc_id").alias("least_id")))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "cls", "minima",
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "cls", "minima",
                                          "row.k", "row.h", "least_id"), "classes")
 
     rows = classes.select("node", "minima").mapInArrow(_tree_rows, "key binary, node long, sketch binary")
     rows = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    near = components(rows.mapInArrow(_neighbour_edges, "a long, b long"), "candidates")
+    near = components(rows.mapInArrow(_neighbour_edges, "a long, b long"), scratch)
     near = near.select("node", F.col("root").alias("comp"))
     sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     texts = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     found = (sized.join(classes.select("node", "k", "h", "minima"), "node").join(texts, ["k", "h"])
              .select("comp", "size", "node", "minima", "text").dropDuplicates(["node"]))
-    found = materialize(found, "candidate-texts")
+    found = scratch.keep(found, "candidate-texts")
 
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
     name = lambda *parts: F.concat_ws("-", *parts)
@@ -264,16 +270,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
                          F.lit(0).alias("side"), "text")
     large = found.where(F.col("size") > GROUP)
     if large.isEmpty():
-        edges = materialize(_verify(plain, shingle, percent), "links")
+        edges = scratch.keep(_verify(plain, shingle, percent), "links")
     else:
         sketch = F.udf(lambda m: _sketch(m).tobytes(), "binary")
-        hubs = materialize(_hubs(large.select("comp", "node", sketch("minima").alias("sketch"))), "hubs")
+        hubs = scratch.keep(_hubs(large.select("comp", "node", sketch("minima").alias("sketch"))), "hubs")
         spread = (large.join(hubs.select("node"), "node", "left_semi")
                   .select("node", "text", "comp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP) - 1)).alias("c"))
                   .select(name("comp", "c").alias("task"), "node", F.lit(0).alias("side"), "text"))
-        edges = materialize(_verify(plain.unionByName(spread), shingle, percent), "links")
+        edges = scratch.keep(_verify(plain.unionByName(spread), shingle, percent), "links")
         # what is outside the largest verified component of its candidate component, against everyone in it
-        part = components(edges, "part")
+        part = components(edges, scratch)
         inside = (large.select("comp", "size", "node", "text").join(part, "node", "left")
                   .withColumn("root", F.coalesce("root", "node")))
         most = (inside.groupBy("comp", "root").count().groupBy("comp")
@@ -288,9 +294,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
         right = (large.join(counts, "comp").select("comp", chunk.alias("j"), "node", "text",
                                                    F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
                  .select(name("comp", "i", "j").alias("task"), "node", F.lit(1).alias("side"), "text"))
-        edges = edges.unionByName(materialize(_verify(left.unionByName(right), shingle, percent), "links"))
+        edges = edges.unionByName(scratch.keep(_verify(left.unionByName(right), shingle, percent), "links"))
 
-    linked = components(edges, "linked")
+    linked = components(edges, scratch)
     labels = classes.select("node", "cls", "least_id").join(linked, "node", "left")
     labels = labels.select("cls", F.coalesce("root", "node").alias("root"), "least_id")
     ids = labels.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.blocks import materialize
+from kestrel.llm.blocks import Scratch, materialize
 from kestrel.llm.components import components, spanning
 
 TREES = 10
@@ -150,6 +150,13 @@ def _compare(code: int, rows: list[tuple], threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, id_col: str = "vec_id",
                  vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``."""
+    scratch = Scratch(vectors.sparkSession, "near-vectors")
+    result = materialize(_near_vectors(vectors, threshold, trees, id_col, vector_col, scratch), "near-vectors")
+    scratch.drop()
+    return result
+
+
+def _near_vectors(vectors, threshold, trees, id_col, vector_col, scratch: Scratch) -> DataFrame:
     spark = vectors.sparkSession
     values = F.col(f"`{vector_col}`").cast("array<double>")
     source = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), values.alias("x"))
@@ -162,11 +169,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
                 out.append(v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
-    rows = materialize(source.mapInArrow(valid, f"vec_id {source.schema['vec_id'].dataType.simpleString()}, v binary"), "vectors")
+    rows = scratch.keep(source.mapInArrow(valid, f"vec_id {source.schema['vec_id'].dataType.simpleString()}, v binary"), "vectors")
     classes = (rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
                .select(F.monotonically_increasing_id().alias("node"), "v", (F.length("v") / 8).cast("int").alias("dim"),
                        "copies", "least_id"))
-    classes = materialize(classes, "vector-classes")
+    classes = scratch.keep(classes, "vector-classes")
     forest = spark.sparkContext.broadcast(_forest(classes, trees))  # bounded by the fitted sample
 
     def route(batches):
@@ -184,7 +191,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
                                               pa.array(lists, pa.list_(pa.int64()))], names=["node", "v", "copies", "leaves"])
 
-    routed = materialize(classes.select("node", "v", "copies").mapInArrow(
+    routed = scratch.keep(classes.select("node", "v", "copies").mapInArrow(
         route, "node long, v binary, copies long, leaves array<long>"), "routed")
     placed = routed.withColumn("dim", F.length("v")).withColumn("leaf", F.explode("leaves"))
     sized = routed.select(F.length("v").alias("dim"), F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").count()
@@ -214,10 +221,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _compare(code, held, threshold)],
                                              names=["a", "b", "links"])
 
-    found = materialize(tasks.repartition("task").sortWithinPartitions("task")
+    found = scratch.keep(tasks.repartition("task").sortWithinPartitions("task")
                         .mapInArrow(compare, "a long, b long, links long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    linked = components(found.where("b IS NOT NULL").select("a", "b"), "vector-components")
+    linked = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
     labels = (classes.select("node", "v", "copies", "least_id").join(links, "node", "left").join(linked, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     ids = labels.groupBy("root").agg(F.min("least_id").alias("component_id"))
