@@ -91,14 +91,16 @@ def _window_keys(words, at, window, buckets):
     return gram_hashes(words, window, at, salt=2), (gram_hashes(words, window, at, salt=3) % U64(buckets)).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
+                   keep_untouched: bool = False) -> DataFrame:
     """The documents with ``text`` cut to the kept words, joined by one space, and
     the counts ``n_words`` and ``n_removed`` added.
 
     A text from which nothing is removed has its words joined likewise, so that
-    the text column has one form.  ``n_words``/``n_removed`` of the input are replaced.
+    the text column has one form, or with ``keep_untouched`` stays as it is (a
+    null text becomes empty).  ``n_words``/``n_removed`` of the input are replaced.
     """
-    packed = B.pack(docs, id_col, text_col)
+    packed = B.pack(docs, id_col, text_col, level=6)
     buckets = B.n_buckets(packed)
 
     def send_anchors(block):
@@ -162,6 +164,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         removed[counts == 0] = 0
         texts, raw, begin = [], block.data.tobytes(), block.starts
         for k in range(len(counts)):
+            if keep_untouched and not removed[k]:
+                texts.append(raw[begin[k]:block.ends[k]])
+                continue
             words_k = raw[begin[k]:block.ends[k]].split()
             if removed[k]:
                 words_k = compress(words_k, (~gone[last[k] - counts[k]: last[k]]).tolist())
