@@ -40,9 +40,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others have their kept words joined by one space, which leaves an empty text
     where every word goes.  ``n_chars`` follows the text.
     """
-    marked = remove_repeats(docs.withColumn("_whole", F.col("text")))
-    text = F.when(F.col("n_removed") == 0, F.col("_whole")).otherwise(F.col("text"))
-    return marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(
+    marked = remove_repeats(docs, keep_untouched=True)
+    return marked.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(
         F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
