@@ -192,8 +192,20 @@ def unique_by(key: np.ndarray, value: np.ndarray):
 
 
 def contains(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Membership of each wanted value in a sorted array."""
-    if not len(sorted_keys):
+    """Membership of each wanted value in a sorted array of hashes.  For many
+    values a table over their low bits sorts out most before the exact search."""
+    if not len(sorted_keys) or not len(wanted):
         return np.zeros(len(wanted), bool)
+    if len(wanted) > 50_000 and wanted.dtype.itemsize == 8 and len(sorted_keys) < 1 << 20:
+        low = np.uint64((1 << 22) - 1)
+        table = np.zeros(1 << 22, bool)
+        table[sorted_keys & low] = True
+        out = table[wanted & low]
+        out[out] = _search(sorted_keys, wanted[out])
+        return out
+    return _search(sorted_keys, wanted)
+
+
+def _search(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
     return sorted_keys[at] == wanted

@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (binary: pairs of
     little-endian 64-bit start and stop of the removed runs), one row per row."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    packed = B.pack(source, block_bytes=BLOCK_BYTES)
+    packed = B.pack(source, block_bytes=BLOCK_BYTES, level=4)
     size = packed.agg(F.sum("text_bytes")).first()[0] or 0
     buckets = int(max(48, -(-size // BUCKET_TEXT_BYTES)))
     plain = ["block", "ids", "ends", "texts"]
