@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -71,6 +71,11 @@ class Bpe:
         self.flat = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(self.n)), np.uint8)
         self.stats = {"words": 0, "failed": 0}
 
+    def forget(self) -> None:
+        """Drop what was learnt, so that an idle worker holds the vocabulary alone."""
+        self.cache, self.older, self.whole = {}, {}, {}
+        self.good = self.bad = np.zeros(0, np.int64)
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of lowest rank, the leftmost first."""
         ids = [self.single[b] for b in word]
@@ -232,6 +237,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()),
                      pa.array(decoded, pa.string())], names=["r", "token_ids", "n_tokens", "decoded"])
+        bpe.forget()
 
     out = source.mapInArrow(run, f"r {inner}, token_ids binary, n_tokens long, decoded string")
     return out.select("r.*", "token_ids", "n_tokens", "decoded")
