@@ -1,13 +1,23 @@
-"""Near-duplicate vectors by a forest of random-projection trees.
-
-Every tree splits the vectors by random directions: at each node a vector goes
+"""Near-duplicate vectors by pivots of large groups and random-projection trees.
+
+Trees would cut a group that is larger than a leaf again and again, so large
+groups are taken out first.  Around the members of a bounded sample that have
+many close ones, unit *pivots* are placed until none is left.  A vector with a
+cosine of ``threshold`` or more to a pivot is *at home* there; by the triangle
+inequality of angles all that it links with lies within twice that angle, and
+those vectors are the pivot's *guests*.  Home vectors are compared with all home
+vectors and guests of their pivot, which finds every link they have, so they
+don't enter the trees.
+
+Every tree splits the others by random directions: at each node a vector goes
 left or right of the median projection, and to both sides if it lies in the
 middle tenth (``SPILL``), so close vectors are rarely parted.  Split points are
 fitted on a bounded sample (``FIT_ROWS`` vectors, by a hash); every vector is
 routed through every tree.  Within a leaf all cosines are computed in double
-precision, in blocks, and pairs of ``threshold`` or more are linked; a leaf of
-more than ``CHUNK`` vectors is compared chunk by chunk in tasks of its own, so
-nothing is capped.  A pair that meets in several leaves counts in the first.
+precision, in blocks, and pairs of ``threshold`` or more are linked; a leaf or
+pivot of more than ``CHUNK`` vectors is compared chunk by chunk in tasks of its
+own, so nothing is capped.  A pair that meets in several leaves counts in the
+first, one of two home vectors at the first of their pivots.
 
 Equal vectors form one class and are compared once.  Null and zero vectors and
 those with null or non-finite components link with nothing; vectors of
@@ -34,6 +44,10 @@ FIT_BYTES = 32 << 20
 CHUNK = 4096
 #: leaf codes: tree * _TREE + number of the node in the tree
 _TREE = 1 << 24
+#: codes of pivots are _PIVOT + number
+_PIVOT = 1 << 40
+#: sampled vectors tried as members of a large group, and the least members seen
+PROBES, SEEN = 16_384, 16
 
 
 @lru_cache(maxsize=4096)
@@ -47,6 +61,59 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _pivots(sample: np.ndarray, scale: float, threshold: float) -> np.ndarray:
+    """Centres of groups of LEAF / 2 or more (estimated on the sample), largest first seen."""
+    need = max(SEEN, LEAF / 2 / scale)
+    x = sample.astype(np.float32)
+    probes = np.arange(min(PROBES, len(x)))
+    near = max(threshold, 0) ** 2  # of two vectors at the threshold from a centre, on average
+    degree = np.concatenate([(x[probes[at: at + 256]] @ x.T >= near).sum(1) for at in range(0, len(probes), 256)]
+                            or [np.zeros(0, np.int64)])
+    free, out = np.ones(len(x), bool), []
+    while len(degree) and degree.max() >= need:
+        at = int(np.argmax(degree))
+        own = x[probes[at]]
+        best = centre = own
+        most = int((x[free] @ own >= threshold).sum())
+        for bound in (near, threshold, threshold, threshold):
+            centre = x[free & (x @ centre >= bound)].mean(0, dtype=np.float64).astype(np.float32)
+            centre /= max(np.linalg.norm(centre), 1e-12)
+            n = int((x[free] @ centre >= threshold).sum())
+            if n <= most:
+                break
+            best, most = centre, n
+        degree[at] = 0
+        if most < need:
+            continue
+        out.append(best.astype(np.float64) / np.linalg.norm(best.astype(np.float64)))
+        home = np.flatnonzero(free & (x @ best >= threshold))
+        free[home] = False
+        live = np.flatnonzero(free[probes] & (degree >= need))
+        left = np.zeros_like(degree)
+        for lo in range(0, len(live), 256):
+            part = live[lo: lo + 256]
+            left[part] = degree[part] - (x[probes[part]] @ x[home].T >= near).sum(1)
+        degree = left
+    return np.stack(out) if out else np.zeros((0, sample.shape[1]))
+
+
+def _reach(threshold: float) -> float:
+    """Least cosine to a pivot of what links with a vector at home there."""
+    return float(np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold, -1, 1))))) - 1e-9
+
+
+def _homes(x: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's home (number of a pivot or -1), and the (row, pivot) of guests."""
+    if not len(pivots):
+        return np.full(len(x), -1), np.zeros(0, int), np.zeros(0, int)
+    cos = x @ pivots.T
+    at_home = cos >= threshold
+    home = np.where(at_home.any(1), at_home.argmax(1), -1)
+    guest = cos >= _reach(threshold)
+    guest[np.flatnonzero(home >= 0), home[home >= 0]] = False
+    return home, *np.nonzero(guest)
+
+
 def _grow(sample: np.ndarray, tree: int, scale: float) -> dict[int, tuple[float, float]]:
     """Split points (low, high) by node number; children of n are 2n and 2n + 1."""
     splits, todo = {}, [(1, np.arange(len(sample)))]
@@ -82,8 +149,8 @@ def _route(x: np.ndarray, tree: int, splits: dict) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows_out), np.concatenate(codes)
 
 
-def _forest(classes: DataFrame, trees: int) -> dict[int, list[dict]]:
-    """Trees for every vector length, from a bounded sample of each."""
+def _forest(classes: DataFrame, trees: int, threshold: float) -> dict[int, tuple[np.ndarray, list[dict]]]:
+    """Pivots and trees for every vector length, from a bounded sample of each."""
     fitted = {}
     sizes = classes.groupBy("dim").count().collect()  # one row per vector length
     for row in sizes:
@@ -92,7 +159,10 @@ def _forest(classes: DataFrame, trees: int) -> dict[int, list[dict]]:
         sample = (classes.where(F.col("dim") == dim).orderBy(F.xxhash64("v")).limit(take).select("v").collect()
                   if n > LEAF else [])
         x = _unit([bytes(r["v"]) for r in sample]) if sample else np.zeros((0, dim))
-        fitted[dim] = [_grow(x, t, n / max(1, len(x))) for t in range(trees)] if n > LEAF else [{}]
+        scale = n / max(1, len(x))
+        pivots = _pivots(x, scale, threshold)
+        x = x[_homes(x, pivots, threshold)[0] < 0]
+        fitted[dim] = pivots, [_grow(x, t, scale) for t in range(trees)] if len(x) * scale > LEAF else [{}]
     return fitted
 
 
@@ -126,17 +196,25 @@ def _elsewhere(i, j, leaves: list[np.ndarray], code: int) -> np.ndarray:
 
 
 def _compare(code: int, rows: list[tuple], threshold: float):
-    """One task's vectors (node, v, copies, leaves, side): spanning edges and link counts."""
-    rows.sort(key=lambda r: r[4])
-    left = sum(r[4] == 0 for r in rows)
+    """One task's vectors (node, v, copies, home, leaves, side): spanning edges and link counts.
+
+    Sides 0 and 1 are compared with each other; side 2 with itself.
+    """
+    rows.sort(key=lambda r: r[5])
+    left = sum(r[5] == 0 for r in rows)
     x = _unit([r[1] for r in rows])
-    if 0 < left < len(rows):
+    if rows[0][5] == 2:
+        i, j = _pairs(x, None, threshold)
+    elif 0 < left < len(rows):
         i, j = _pairs(x[:left], x[left:], threshold)
         j = j + left
     else:
-        i, j = _pairs(x, None, threshold)
-    leaves = [np.array(r[3], np.int64) for r in rows]
-    fresh = ~_elsewhere(i, j, leaves, code)
+        return [], [], []
+    if code >= _PIVOT:  # two home vectors of different pivots are guests of each other's
+        home = np.array([np.iinfo(np.int64).max if r[3] is None else r[3] for r in rows], np.int64)
+        fresh = home[j] >= code
+    else:
+        fresh = ~_elsewhere(i, j, [np.array(r[4], np.int64) for r in rows], code)
     i, j = i[fresh], j[fresh]
     nodes = np.array([r[0] for r in rows], np.int64)
     copies = np.array([r[2] for r in rows], np.float64)
@@ -174,35 +252,55 @@ def _near_vectors(vectors, threshold, trees, id_col, vector_col, scratch: Scratc
                .select(F.monotonically_increasing_id().alias("node"), "v", (F.length("v") / 8).cast("int").alias("dim"),
                        "copies", "least_id"))
     classes = scratch.keep(classes, "vector-classes")
-    forest = spark.sparkContext.broadcast(_forest(classes, trees))  # bounded by the fitted sample
+    forest = spark.sparkContext.broadcast(_forest(classes, trees, threshold))  # bounded by the fitted sample
 
     def route(batches):
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            lists = [[] for _ in raw]
+            lists, homes, guests = [[] for _ in raw], [None] * len(raw), [[] for _ in raw]
             size = np.array([len(r) for r in raw])
             for width in np.unique(size).tolist():
                 at = np.flatnonzero(size == width)
                 x = _unit([raw[k] for k in at.tolist()])
-                for t, splits in enumerate(forest.value[width // 8]):
+                pivots, grown = forest.value[width // 8]
+                home, row, pivot = _homes(x, pivots, threshold)
+                for r, h in zip(at.tolist(), home.tolist()):
+                    homes[r] = _PIVOT + h if h >= 0 else None
+                for r, g in zip(at[row].tolist(), pivot.tolist()):
+                    guests[r].append(_PIVOT + g)
+                at, x = at[home < 0], x[home < 0]
+                for t, splits in enumerate(grown if len(x) else []):
                     row, code = _route(x, t, splits)
                     for r, c in zip(at[row].tolist(), code.tolist()):
                         lists[r].append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
-                                              pa.array(lists, pa.list_(pa.int64()))], names=["node", "v", "copies", "leaves"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(homes, pa.int64()),
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(guests, pa.list_(pa.int64()))],
+                names=["node", "v", "copies", "home", "leaves", "guests"])
 
     routed = scratch.keep(classes.select("node", "v", "copies").mapInArrow(
-        route, "node long, v binary, copies long, leaves array<long>"), "routed")
-    placed = routed.withColumn("dim", F.length("v")).withColumn("leaf", F.explode("leaves"))
-    sized = routed.select(F.length("v").alias("dim"), F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").count()
-    chunks = F.ceil(F.col("count") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        route, "node long, v binary, copies long, home long, leaves array<long>, guests array<long>"), "routed")
+    # every leaf and pivot that a row reaches, and whether as a guest
+    reached = F.explode(F.concat(
+        F.transform(F.when(F.col("home").isNull(), F.col("leaves")).otherwise(F.array("home")),
+                    lambda c: F.struct(c.alias("leaf"), F.lit(0).alias("guest"))),
+        F.transform("guests", lambda c: F.struct(c.alias("leaf"), F.lit(1).alias("guest"))))).alias("r")
+    placed = routed.withColumn("dim", F.length("v")).select("*", reached).select(
+        "dim", "r.*", "node", "v", "copies", "home", "leaves")
+    sized = (routed.select(F.length("v").alias("dim"), reached).groupBy("dim", "r.leaf")
+             .agg(F.sum(1 - F.col("r.guest")).alias("own_rows"), F.sum("r.guest").alias("guest_rows")))
+    chunks = [F.ceil(F.col(c) / CHUNK).cast("int").alias(c.replace("rows", "chunks")) for c in ("own_rows", "guest_rows")]
+    sized = sized.where("own_rows > 0 AND own_rows + guest_rows > 1").select("dim", "leaf", *chunks)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("guest") == 1, F.col("guest_chunks")).otherwise(F.col("own_chunks"))).cast("int")
     pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    places = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.when(
-        c >= F.col("own"), pair(F.col("own"), c, 0)).otherwise(pair(c, F.col("own"), 1)))
-    tasks = (placed.join(sized.where("count > 1"), ["dim", "leaf"]).withColumn("chunks", chunks).withColumn("own", own)
-             .withColumn("at", F.explode(places))
-             .select(F.concat_ws("-", "dim", "leaf", "at.i", "at.j").alias("task"), "leaf", "node", "v", "copies", "leaves", "at.side"))
+    # own chunks meet each other and every guest chunk (numbered after them); guests don't meet
+    places = F.when(F.col("guest") == 1, F.transform(
+        F.sequence(F.lit(0), F.col("own_chunks") - 1), lambda c: pair(c, F.col("own_chunks") + F.col("own"), 1))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("own_chunks") + F.col("guest_chunks") - 1), lambda c: F.when(
+            c > F.col("own"), pair(F.col("own"), c, 0)).when(c == F.col("own"), pair(c, c, 2)).otherwise(pair(c, F.col("own"), 1))))
+    tasks = (placed.join(sized, ["dim", "leaf"]).withColumn("own", own).withColumn("at", F.explode(places))
+             .select(F.concat_ws("-", "dim", "leaf", "at.i", "at.j").alias("task"), "leaf", "node", "v", "copies", "home", "leaves",
+                     "at.side"))
 
     def compare(batches):
         name, code, held = None, 0, []

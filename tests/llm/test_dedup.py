@@ -141,6 +141,23 @@ def test_vector_dedup_recall_in_deep_trees(spark, monkeypatch):
     assert 0.9 * exact <= found <= exact
 
 
+@pytest.mark.parametrize("chunk", [150, 4096])
+def test_vector_dedup_large_groups(spark, monkeypatch, chunk):
+    """A group of a third of the vectors, many times larger than a leaf, a smaller and a loose one: every link is found."""
+    from kestrel.llm import vector_dedup
+    monkeypatch.setattr(vector_dedup, "LEAF", 64)
+    monkeypatch.setattr(vector_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2100, 32))
+    for at, n, s in ((0, 700, 0.27), (700, 200, 0.2), (900, 200, 0.38)):
+        x[at: at + n] = x[at] + rng.normal(size=(n, 32)) * s
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(df).collect()}
+    assert [found[i] for i in range(len(x))] == links.tolist()
+
+
 def test_empty_tables(spark, none):
     from kestrel.llm import near_dedup, substring_dedup, suffix_dedup, vector_dedup
     from kestrel.llm.decontaminate import contamination
