@@ -5,9 +5,13 @@ lower-cased words, edges included.  A bounded sample of labelled documents per
 language (``SAMPLE``, taken by a hash) gives the document frequencies and, by
 spherical k-means, ``CENTROIDS`` centroids of each language.  A text gets the
 language of its nearest centroid; the score is that cosine (0 to 1).  A text
-whose nearest centroid is farther than ``1 - LEAST_COSINE`` is *rejected*; its
-nearest language stays in ``lang_pred``.  The bound is low, since even a clean
-text of one word has few n-grams in common with any centroid.
+whose nearest centroid is too far is *rejected*; its nearest language stays in
+``lang_pred``.  What is too far is learnt: each fold of a language's sample is
+scored, whole and in windows of all lengths, by centroids of the other folds.
+By number of distinct n-grams, since a clean text of one word has few n-grams in
+common with any centroid, the bound is ``MARGIN`` times a low quantile
+(``CLEAN``) of those cosines.  It is never below ``LEAST_COSINE``, which alone
+holds for languages of fewer than ``CALIBRATED`` texts.
 
 A null text, or one without any letter, is ``und`` with score 0 and rejected.
 With nothing to learn from, every text is ``und``.  Only the text is used to predict.
@@ -29,6 +33,8 @@ DIM = 4096
 SAMPLE = 300
 CENTROIDS = 4
 LEAST_COSINE = 0.03
+CALIBRATED, FOLDS = 20, 4
+CLEAN, MARGIN = 0.01, 0.8
 U64 = np.uint64
 
 
@@ -79,11 +85,50 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _windows(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The texts and one part of each of every length 4, 8, 16, ... below its own; and whose each is."""
+    rng = np.random.default_rng(17)
+    out, of = list(texts), list(range(len(texts)))
+    for i, t in enumerate(texts):
+        size = 4
+        while size < min(len(t), 1 << 14):
+            at = int(rng.integers(len(t) - size + 1))
+            out.append(t[at: at + size])
+            of.append(i)
+            size *= 2
+    return out, np.array(of, int)
+
+
+def _bin(grams: np.ndarray) -> np.ndarray:
+    """Half powers of two of the number of distinct n-grams."""
+    return np.floor(2 * np.log2(np.maximum(grams, 1))).astype(int)
+
+
+def _bounds(texts: list[str], x: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
+    """Least cosine by bin of the number of n-grams, from texts not learnt from (``x``: vectors of all)."""
+    bounds = np.full(_bin(np.array([DIM]))[0] + 1, least)
+    if len(texts) < CALIBRATED:
+        return bounds
+    parts, of = _windows(texts)
+    centres = [_cluster(x[np.arange(len(x)) % FOLDS != f], CENTROIDS) for f in range(FOLDS)]
+    cos, grams = [], []
+    for at, counts in zip(range(0, len(parts), 128), _counted(parts)):
+        y, fold = _unit(counts, idf), of[at: at + 128] % FOLDS
+        cos.append(np.stack([(y @ c.T).max(1) for c in centres])[fold, np.arange(len(y))])
+        grams.append((counts > 0).sum(1))
+    cos, grams = np.concatenate(cos), np.concatenate(grams)
+    bins = _bin(grams)
+    for b in range(len(bounds)):
+        own = cos[(bins == b) & (grams > 0)]
+        bounds[b] = max(least, MARGIN * np.quantile(own, CLEAN)) if len(own) >= CALIBRATED else bounds[max(b - 1, 0)]
+    return bounds
+
+
 class Model:
-    """langs[i]: language of centroid i."""
+    """langs[i], bounds[i]: language of centroid i and its least cosines by ``_bin``."""
 
-    def __init__(self, langs, centroids, idf, least_cosine):
-        self.langs, self.centroids, self.idf, self.least_cosine = langs, centroids, idf, least_cosine
+    def __init__(self, langs, centroids, idf, bounds):
+        self.langs, self.centroids, self.idf, self.bounds = langs, centroids, idf, bounds
 
     def predict(self, texts: list[str | None]):
         counts, some = _features(["" if t is None else t for t in texts])
@@ -93,7 +138,7 @@ class Model:
         best = np.argmax(cos, 1)
         score = np.where(some, np.clip(cos[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
         return ([self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], score,
-                ~some | (score < self.least_cosine))
+                ~some | (score < self.bounds[best, _bin((counts > 0).sum(1))]))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
@@ -117,25 +162,28 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
     found = some.groupBy("lang").applyInArrow(frequencies, "n long, df binary").collect()  # a row per language
     if not found:
-        return Model([], None, None, least_cosine)
+        return Model([], None, None, None)
     total = sum(r["n"] for r in found)
     idf = np.log((1 + total) / (1 + sum(np.frombuffer(r["df"], np.int64) for r in found))).astype(np.float32) + 1
 
     def centroids(table: pa.Table) -> pa.Table:
-        x = np.concatenate([_unit(c, idf) for c in _counted(table.column("text").to_pylist())])
-        x = x[np.linalg.norm(x, axis=1) > 0]
+        texts = table.column("text").to_pylist()
+        x = np.concatenate([_unit(c, idf) for c in _counted(texts)])
+        some = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
+        x, texts = x[some], [texts[i] for i in some.tolist()]
         lang = table.column("lang")[0].as_py()
         c = _cluster(x, CENTROIDS) if len(x) else np.zeros((0, DIM), np.float32)
         return pa.table({"lang": pa.array([lang] * len(c), pa.string()),
-                         "centroid": pa.array([r.tobytes() for r in c], pa.binary())})
+                         "centroid": pa.array([r.tobytes() for r in c], pa.binary()),
+                         "bounds": pa.array([_bounds(texts, x, idf, least_cosine).tobytes()] * len(c), pa.binary())})
 
     # bounded: CENTROIDS rows of 16 KB for each language
-    found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect(),
+    found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, bounds binary").collect(),
                    key=lambda r: (r["lang"], r["centroid"]))
     if not found:
-        return Model([], None, None, least_cosine)
+        return Model([], None, None, None)
     return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]),
-                 idf, least_cosine)
+                 idf, np.stack([np.frombuffer(r["bounds"]) for r in found]))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

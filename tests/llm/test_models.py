@@ -172,6 +172,29 @@ def test_langid_odd_texts(spark):
     assert got[6][1] and got[6][0] in ("en", "de")
 
 
+def test_langid_rejects_what_it_has_not_learnt(spark):
+    import random
+    from kestrel.llm.langid import fit, held_out, identify
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    model = fit(docs.where(~held_out(F.col("doc_id"), 5)))
+    clean = [r.rejected for r in identify(docs.where(held_out(F.col("doc_id"), 5)), model).collect()]
+    assert sum(clean) <= 0.02 * len(clean)
+    short = docs.where(held_out(F.col("doc_id"), 5)).withColumn("text", F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')"))
+    short = [r.rejected for r in identify(short, model).collect()]
+    assert sum(short) <= 0.05 * len(short)
+    rng = random.Random(2)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x9000))),
+               "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    noise = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9) if a is not letters[2] else 60)) for _ in range(n))
+             for a in letters for n in (10, 30, 100, 1000) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string")
+    assert all(r.rejected for r in identify(df, model).collect())
+    for lang in ("de", "en"):
+        less = fit(docs.where(F.col("lang") != lang))
+        other = [r.rejected for r in identify(docs.where((F.col("lang") == lang) & (F.length("text") > 600)), less).collect()]
+        assert sum(other) >= 0.9 * len(other)
+
+
 def test_blocks_of_markup():
     from kestrel.llm.html_extract import blocks
     page = ('<!DOCTYPE html><head><title>no</title></head><body class="a"><p>one &amp; t&#119;o<br>three<p><b>four  <a href="x">five</a></b>'
