@@ -143,14 +143,15 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
         least_cosine: float = LEAST_COSINE) -> Model:
-    """Learn from at most ``sample`` rows of each language (null texts and languages are left out)."""
+    """Learn from at most ``sample`` distinct texts of each language (null texts and languages are left out)."""
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("o", F.xxhash64("text"))
-    # the rows of smallest hash; a cut at the hash under which several times as many lie
-    # keeps the rest of a frequent language out of the shuffle
-    sizes = rows.groupBy("lang").count().withColumn("cut", F.lit(2.0**64) * F.least(
+    # the distinct texts of smallest hash; a cut at the hash under which several times as many
+    # distinct ones lie keeps the rest of a frequent language, and copies, out of the shuffle
+    sizes = rows.select("lang", "o").distinct().groupBy("lang").count().withColumn("cut", F.lit(2.0**64) * F.least(
         F.lit(1.0), F.lit(4.0 * sample + 64) / F.col("count")) - F.lit(2.0**63))  # a row per language
     rows = rows.join(F.broadcast(sizes.select("lang", "cut")), "lang").where(F.col("o").cast("double") <= F.col("cut"))
+    rows = rows.groupBy("lang", "o").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy("o")
     some = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
     some = materialize(some.select("lang", "text"), "langid-sample")

@@ -195,6 +195,19 @@ def test_langid_rejects_what_it_has_not_learnt(spark):
         assert sum(other) >= 0.9 * len(other)
 
 
+def test_langid_copies_count_once(spark):
+    """Languages whose many rows are copies of few texts are learnt, and one frequent text doesn't fill a sample."""
+    from kestrel.llm import langid
+    few = [f"{a} und {b} gehen heute nach hause" for a, b in (("hund", "katze"), ("mann", "frau"), ("haus", "hof"))]
+    rows = [(t, lang) for lang in ("de", "nl", "at", "ch") for t in (f"{x} {lang}" for x in few) for _ in range(3000)]
+    many = ["the quick fox " + chr(97 + i % 26) + chr(97 + i // 26) + " runs" for i in range(500)]
+    rows += [(t, "en") for t in many] + [(t, "en") for t in sorted(many)[:5] for _ in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert set(model.langs) == {"de", "nl", "at", "ch", "en"}
+    once = langid.fit(spark.createDataFrame(sorted(set(rows)), "text string, lang string"))
+    assert once.langs == model.langs and np.allclose(once.centroids, model.centroids)
+
+
 def test_blocks_of_markup():
     from kestrel.llm.html_extract import blocks
     page = ('<!DOCTYPE html><head><title>no</title></head><body class="a"><p>one &amp; t&#119;o<br>three<p><b>four  <a href="x">five</a></b>'
