@@ -3,14 +3,15 @@
 A document's set is its distinct word 4-shingles.  Documents with one set
 form a class; everything below works on classes, so copies are never paired.
 
-Forest: each of ``trees`` trees orders the classes by its own ``depth`` minima
-(a range-partitioned sort).  In a tree, classes that agree on the first 3
-minima form a region.  A class's candidates are its neighbours in the sorted
-order within the region, up to ``NEIGHBOURS`` places on: in a small region
-that is everyone; in a large one the order itself goes deeper (fourth minimum,
-then id), so the neighbours are those with the longest common prefix.  A
-candidate is kept if the byte sketches agree in ``SKETCH_SHARE`` of all
-minima, far below what a link can show.
+Forest: in each of ``trees`` trees, classes that agree on the tree's first 3
+minima form a region.  All classes of a region are compared by byte sketches: a
+pair is a candidate if the sketches agree in ``SKETCH_SHARE`` of all minima, far
+below what a link can show.  Regions of up to ``REGION`` classes are compared in
+one task.  A larger one is dealt over chunks of that size, by hash and anew in
+every tree; then the classes outside the region's most common candidate
+component so far are compared with all of the region, ``CROSS`` by ``CROSS``.
+So nothing is capped, a large group of near copies costs one pass, and a large
+region of unlike classes costs a square of sketch comparisons.
 
 Verification: candidates only have to land linked classes in one *candidate
 component*; inside it everything is compared on full sets.  Components of up to
@@ -39,8 +40,8 @@ from kestrel.llm.hashing import LOWER, gram_hashes, groups, mix, text_bytes, wor
 
 U64 = np.uint64
 TREES, DEPTH, PREFIX = 20, 4, 3
-NEIGHBOURS = 32
-SKETCH_SHARE = 0.6
+REGION, CROSS = 512, 4096
+SKETCH_SHARE = 0.55
 GROUP = 64
 HUBS = 4
 _MULTIPLIERS = np.random.default_rng(71).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
@@ -116,47 +117,135 @@ def _sketch(minima: bytes) -> np.ndarray:
     return np.frombuffer(minima, np.uint8)[3::4]
 
 
+def _region_keys(minima: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of a tree's first minima."""
+    part = np.ascontiguousarray(minima[:, tree * DEPTH * 4:(tree * DEPTH + PREFIX) * 4]).view(">u4").astype(np.uint64)
+    key = np.full(len(minima), tree + 1, np.uint64)
+    for j in range(PREFIX):
+        key = mix(key * U64(0x9E3779B97F4A7C15) + part[:, j])
+    return key.view(np.int64)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _region_names(batches):
+    for batch in batches:
+        if batch.num_rows:
+            minima = _matrix(batch.column(0))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(_region_keys(minima, t))], names=["region"])
+
+
 def _tree_rows(batches):
     for batch in batches:
-        node = batch.column(0).to_numpy()
-        minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1)
-        sketch = np.ascontiguousarray(minima[:, 3::4])
-        sketches = pa.array([r.tobytes() for r in sketch], pa.binary())
+        if batch.num_rows == 0:
+            continue
+        minima = _matrix(batch.column(1))
+        sketches = pa.array([r.tobytes() for r in np.ascontiguousarray(minima[:, 3::4])], pa.binary())
         for t in range(TREES):
-            part = minima[:, t * DEPTH * 4:(t + 1) * DEPTH * 4]
-            keys = np.concatenate([np.full((len(node), 1), t, np.uint8), part], 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in keys], pa.binary()), batch.column(0), sketches], names=["key", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(_region_keys(minima, t)), batch.column(0), sketches],
+                                             names=["region", "node", "sketch"])
 
 
-def _neighbour_edges(batches):
-    """Over classes in sorted order: edges between neighbours of one region."""
+def _region_edges(batches):
+    """Over rows (region, chunk, node, sketch) gathered by region and chunk: edges among all of each."""
     forest = Forest()
+
+    def edges(key, node, sketch):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        group = np.cumsum(new)
+        at, step, out = np.arange(len(node)), 0, []
+        while len(at):
+            step += 1
+            at = at[at + step < len(node)]
+            at = at[group[at + step] == group[at]]
+            alike = at[(sketch[at] == sketch[at + step]).mean(1) >= SKETCH_SHARE] if len(at) else at
+            out += [(a, b) for a, b in zip(node[alike].tolist(), node[alike + step].tolist()) if forest.join(a, b)]
+        if len(forest.up) > 2_000_000:
+            forest.up.clear()
+        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])] if out else []
+
     held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        key = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, :1 + 4 * PREFIX]
-        node = batch.column(1).to_numpy()
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        if held is not None:  # the last places of the batch before
-            key, node, sketch = (np.concatenate([a, b]) for a, b in zip(held, (key, node, sketch)))
-        held = key[-NEIGHBOURS:], node[-NEIGHBOURS:], sketch[-NEIGHBOURS:]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]).any(1)
-        region = np.cumsum(new)
-        out = []
-        for step in range(1, min(NEIGHBOURS + 1, len(node))):
-            at = np.flatnonzero(region[step:] == region[:-step])
-            if not len(at):
-                break
-            alike = (sketch[at] == sketch[at + step]).mean(1) >= SKETCH_SHARE
-            at = at[alike]
-            out += [(a, b) for a, b in zip(node[at].tolist(), node[at + step].tolist()) if forest.join(a, b)]
-        if len(forest.up) > 2_000_000:
-            forest = Forest()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        now = (np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1), batch.column(2).to_numpy(),
+               _matrix(batch.column(3)))
+        if held is not None:  # the group that the batch before ended in
+            now = tuple(np.concatenate([a, b]) for a, b in zip(held, now))
+        key = now[0]
+        last = np.flatnonzero((key != key[-1]).any(1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        held = tuple(c[cut:] for c in now)
+        yield from edges(*(c[:cut] for c in now))
+    if held is not None:
+        yield from edges(*held)
+
+
+def _cross_edges(batches):
+    """Over rows (task, node, root, sketch, side) gathered by task: edges from side 0 to side 1
+    between different roots."""
+    def edges(rows):
+        sides = [[r for r in rows if r[3] == s] for s in (0, 1)]
+        if not all(sides):
+            return []
+        (n, r, s), (m, q, z) = ((np.array([x[0] for x in part]), np.array([x[1] for x in part]),
+                                 np.frombuffer(b"".join(x[2] for x in part), np.uint8).reshape(len(part), -1)) for part in sides)
+        found = []
+        for at in range(0, len(n), 64):
+            alike = (s[at: at + 64, None] == z[None]).mean(2) >= SKETCH_SHARE
+            i, j = np.nonzero(alike & (r[at: at + 64, None] != q[None]))
+            found += spanning(n[i + at], m[j])
+        return found
+
+    name, rows = None, []
+    for batch in batches:
+        found = []
+        for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if t != name:
+                found += edges(rows)
+                name, rows = t, []
+            rows.append(row)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+    if found := edges(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
+def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): candidate components of classes (node, minima)."""
+    names = classes.select("minima").mapInArrow(_region_names, "region long")
+    large = scratch.keep(names.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > REGION), "large-regions")
+    rows = classes.select("node", "minima").mapInArrow(_tree_rows, "region long, node long, sketch binary")
+    chunk = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("size") / REGION))
+    dealt = (rows.join(large, "region", "left").select("region", F.coalesce(chunk, F.lit(0)).cast("long").alias("chunk"), "node", "sketch")
+             .repartition("region", "chunk").sortWithinPartitions("region", "chunk"))
+    edges = scratch.keep(dealt.mapInArrow(_region_edges, "a long, b long"), "candidates")
+    near = components(edges, scratch)
+    if large.isEmpty():
+        return near
+    inside = (rows.join(large, "region").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+              .select("region", "size", "node", "root", "sketch"))
+    inside = scratch.keep(inside, "large-region-rows")
+    most = (inside.groupBy("region", "root").count().groupBy("region")
+            .agg(F.max(F.struct("count", "root")).getField("root").alias("main"), F.sum("count").alias("all"),
+                 F.max("count").alias("inner")).where(F.col("all") > F.col("inner"))
+            .select("region", "main", F.ceil((F.col("all") - F.col("inner")) / CROSS).alias("n"),
+                    F.ceil(F.col("all") / CROSS).alias("m")))
+    most = scratch.keep(most, "region-rest")
+    if most.isEmpty():
+        return near
+    inside = inside.join(most, "region")
+    name = F.concat_ws("-", "region", "i", "j").alias("task")
+    left = (inside.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(name, "node", "root", "sketch", F.lit(0).alias("side")))
+    right = (inside.withColumn("j", F.pmod(F.xxhash64("node"), F.col("m")))
+             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(name, "node", "root", "sketch", F.lit(1).alias("side")))
+    cross = left.unionByName(right).repartition("task").sortWithinPartitions("task").mapInArrow(_cross_edges, "a long, b long")
+    return components(edges.unionByName(scratch.keep(cross, "cross-candidates")), scratch)
 
 
 def _linked(nodes, sides, texts, shingle: int, percent: int):
@@ -254,9 +343,7 @@ def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch)
     classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "cls", "minima",
                                          "row.k", "row.h", "least_id"), "classes")
 
-    rows = classes.select("node", "minima").mapInArrow(_tree_rows, "key binary, node long, sketch binary")
-    rows = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    near = components(rows.mapInArrow(_neighbour_edges, "a long, b long"), scratch)
+    near = _candidates(classes, scratch)
     near = near.select("node", F.col("root").alias("comp"))
     sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     texts = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))

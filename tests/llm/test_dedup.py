@@ -63,6 +63,27 @@ def test_near_dedup_large_loose_group(spark, monkeypatch, group):
     same(out.select("doc_id", "n_shingles", "component_id", "kept").collect(), brute.near(data))
 
 
+@pytest.mark.parametrize("cross", [100, 4096])
+def test_near_dedup_pairs_far_apart_in_a_large_region(spark, monkeypatch, cross):
+    """Pairs that only share a region of 3,000 unlike classes become candidates, at any distance in its order."""
+    from kestrel.llm import near_dedup
+    from kestrel.llm.blocks import Scratch
+    monkeypatch.setattr(near_dedup, "CROSS", cross)
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 2**32, (3000, near_dedup.TREES * near_dedup.DEPTH), dtype=np.uint32)
+    for a in range(20):  # alike in 59 of 80 minima, with one different among the first 3 of every tree but the first
+        m[2999 - a] = m[a]
+        m[2999 - a, 4::4] ^= 0xFFFFFFFF
+        m[2999 - a, 3] ^= 0xFFFFFFFF
+    m[:, :3] = 7
+    data = [(i, r.astype(">u4").tobytes()) for i, r in enumerate(m)]
+    scratch = Scratch(spark, "near-test")
+    out = near_dedup._candidates(spark.createDataFrame(data, "node long, minima binary").repartition(4), scratch)
+    got = {r.node: r.root for r in out.collect()}
+    scratch.drop()
+    assert got == {n: a for a in range(20) for n in (a, 2999 - a)}
+
+
 def test_decontamination(spark, docs, rows):
     from kestrel.llm.decontaminate import contamination, decontaminate
     texts = [r[1] for r in rows]
