@@ -28,9 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id.
 
-    Word 5-shingles, similarity 0.8 or more.
+    Word 5-shingles, similarity 0.8 or more.  Of rows that share that id, or of
+    a group without any id, one stays.
     """
-    return deduplicate(docs, shingle=5, percent=80)
+    return deduplicate(docs, shingle=5, percent=80, single=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,7 +329,7 @@ def _hubs(large: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, kept: one row per document row."""
+    """doc_id, text_key, n_shingles, component_id, kept, root (its component's number): one row per document row."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     result = materialize(_near_duplicates(docs, shingle, percent, id_col, text_col, scratch), "near-duplicates")
     scratch.drop()
@@ -387,16 +387,34 @@ def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch)
     labels = classes.select("node", "cls", "least_id").join(linked, "node", "left")
     labels = labels.select("cls", F.coalesce("root", "node").alias("root"), "least_id")
     ids = labels.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = labels.select("cls", "root").join(ids, "root").select("cls", "component_id")
+    labels = labels.select("cls", "root").join(ids, "root").select("cls", "root", "component_id")
     out = sets.select("doc_id", "h", "n_shingles", "cls").join(labels, "cls", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("h").alias("text_key"), "n_shingles", own.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(own).alias("kept"))
+                      F.col("doc_id").eqNullSafe(own).alias("kept"), "root")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    gone = (near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept")
-            .select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct())
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_key"))
-    return docs.join(gone, same, "left_anti")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", single: bool = False, **options) -> DataFrame:
+    """The documents whose id is the smallest of their component, with all their columns.
+
+    Rows of a component that share that id, or all have none, all stay; with
+    ``single`` one of them does: that of the smallest text hash, then of the
+    smallest row hash.  Documents without a word have no component and stay.
+    """
+    rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "root", "kept")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key"))
+    gone = rows.where("NOT kept").select("_id", "_key")
+    if not single:
+        return docs.join(gone.distinct(), same, "left_anti")
+    # a kept row's id is that of its component, so a component's kept rows are one group
+    kept = rows.where("kept AND root IS NOT NULL")
+    best = kept.groupBy("root").agg(F.min("_key").alias("_best"))
+    gone = gone.unionByName(kept.join(best, "root").where("_key <> _best").select("_id", "_key"))
+    left = docs.join(gone.distinct(), same, "left_anti")
+    repeated = kept.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key")
+    if repeated.isEmpty():
+        return left
+    first = Window.partitionBy(docs[id_col], docs[text_col]).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    once = left.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return left.join(repeated, same, "left_anti").unionByName(once)

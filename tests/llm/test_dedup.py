@@ -84,6 +84,19 @@ def test_near_dedup_pairs_far_apart_in_a_large_region(spark, monkeypatch, cross)
     assert got == {n: a for a in range(20) for n in (a, 2999 - a)}
 
 
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+    rng = random.Random(12)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    data = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, b + " end"), (3, c), (3, c + " end"), (None, c), (4, ""), (4, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "s%d" % n) for n, (i, t) in enumerate(data)], "doc_id long, text string, source string")
+    out = corpus_pipeline.near_dedup(spark, df.repartition(3), None)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(str(i) for i, _ in got) == ["1", "3", "4", "4", "5", "None"]
+    assert {t[:40] for _, t in got if t} == {a[:40], b[:40], c[:40]}
+
+
 def test_decontamination(spark, docs, rows):
     from kestrel.llm.decontaminate import contamination, decontaminate
     texts = [r[1] for r in rows]
