@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those SQL can express."""
+"""The registered queries of the operators, and SQL for those SQL can express."""
 
 from __future__ import annotations
 
@@ -170,3 +170,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.suffix_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_align")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.token_align import cross_align
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = cross_align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_OP12_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+t AS (SELECT page_id, h, n, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                        FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""
+
+
+@query("op12_warc", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.warc import store_and_read
+    out = store_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.periodic_runs import periodic_runs
+    return periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True, outputs=False)
