@@ -44,7 +44,7 @@ from kestrel.llm.bpe import PATTERN, _alphabet
 #: Bytes of text aligned at once.
 PIECE_BYTES = 2 << 20
 #: Segments (words with what sticks to them) whose ids a task remembers.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 200_000
 #: Rows of the pair table that are broadcast, about 24 bytes each.
 HOT_PAIRS = 500_000
 #: Links of one group that are expanded token by token; larger ones by distinct ids.
