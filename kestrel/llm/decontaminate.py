@@ -43,7 +43,10 @@ def _width(length: int) -> int:
 def _rolling(df: DataFrame, source: str, length: int, join, out: str) -> DataFrame:
     """``out``[i] = join of ``source``[i .. i + length - 1], by doubling.
 
-    Every step is a column of its own, so Catalyst evaluates it once.
+    Every step is a column of its own, so Catalyst evaluates it once, as long as no
+    filter on the result can be pushed below these columns: that would spell out
+    all steps in the filter.  So the result is written before a join, or exploded
+    with ``explode_outer``, which infers no filter.
     """
     def pair(frame, left, by, right, name):
         n = F.greatest(F.size(right) - by, F.lit(0))
@@ -104,7 +107,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = None
     for n in lengths:
         distinct = _hashed(windows.where(F.col("len") == n).select("win", "words").distinct(), F.col("words"))
-        distinct = _minima(distinct, n, "_m").select("win", F.col("words").alias("_words"), F.col("_m")[0].alias("_fp"))
+        # dealt over tasks by window, and written: a join key must not be a column of hashing steps
+        distinct = _minima(distinct.repartition("win"), n, "_m").select("win", F.col("words").alias("_words"), F.col("_m")[0].alias("_fp"))
+        distinct = materialize(distinct, "bench-prints")
         prints = distinct.select("_fp").distinct()
         shared = (prepared.select("k", "h", F.explode(f"_m{n}").alias("_fp")).join(prints, "_fp", "left_semi")
                   .groupBy("k", "h").agg(F.collect_set("_fp").alias("_fps")))
@@ -113,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         # extend: the windows at places whose fingerprint the benchmark has, word by word
         at = F.filter(F.transform("_m", lambda m, p: F.struct(p.alias("p"), m.alias("m"))),
                       lambda x: F.array_contains("_fps", x["m"]))
-        places = near.select("k", "h", F.explode(F.transform(at, lambda x: F.struct(
+        places = near.select("k", "h", F.explode_outer(F.transform(at, lambda x: F.struct(
             x["p"].alias("p"), x["m"].alias("fp"), F.slice("w", x["p"] + 1, F.lit(n)).alias("words")))).alias("x"))
         hits = places.join(distinct, (F.col("x.fp") == F.col("_fp")) & (F.col("x.words") == F.col("_words")))
         hits = hits.select("k", "h", F.col("x.p").alias("p"), F.lit(n).alias("len"), "win").distinct()
