@@ -148,5 +148,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     bad = contamination(docs, benchmark, **options).where("contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_key"))
-    return docs.join(bad, same, "left_anti")
+    columns = docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(columns))])  # names of the input can't clash with those here
+    doc_id, text = docs[f"c{columns.index(id_col)}"], docs[f"c{columns.index(text_col)}"]
+    same = doc_id.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_key"))
+    return docs.join(bad, same, "left_anti").toDF(*columns)

@@ -403,10 +403,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "root", "kept")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key"))
+    columns = docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(columns))])  # names of the input can't clash with those below
+    doc_id, text = docs[f"c{columns.index(id_col)}"], docs[f"c{columns.index(text_col)}"]
+    same = doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key"))
     gone = rows.where("NOT kept").select("_id", "_key")
     if not single:
-        return docs.join(gone.distinct(), same, "left_anti")
+        return docs.join(gone.distinct(), same, "left_anti").toDF(*columns)
     # a kept row's id is that of its component, so a component's kept rows are one group
     kept = rows.where("kept AND root IS NOT NULL")
     best = kept.groupBy("root").agg(F.min("_key").alias("_best"))
@@ -414,7 +417,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = docs.join(gone.distinct(), same, "left_anti")
     repeated = kept.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key")
     if repeated.isEmpty():
-        return left
-    first = Window.partitionBy(docs[id_col], docs[text_col]).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+        return left.toDF(*columns)
+    first = Window.partitionBy(doc_id, text).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
     once = left.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return left.join(repeated, same, "left_anti").unionByName(once)
+    return left.join(repeated, same, "left_anti").unionByName(once).toDF(*columns)

@@ -203,3 +203,17 @@ def test_empty_tables(spark, none):
     assert contamination(none, bench).count() == 0
     assert [r.contaminated for r in contamination(docs, bench).collect()] == [False]
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_clashing_column_names_of_the_input(docs, spark):
+    """Columns named like the operators' own come back untouched."""
+    from kestrel.llm.decontaminate import decontaminate
+    from kestrel.llm.near_dedup import deduplicate
+    taken = ["_id", "_key", "_n", "_best", "_bad_id", "_bad_key", "root", "count", "c0", "c1"]
+    wide = docs.select("doc_id", *[F.lit(c).alias(c) for c in taken], "text")
+    bench = spark.createDataFrame([("x", "nothing of this occurs")], "item_id string, text string")
+    for out, plain in ((deduplicate(wide, single=True), deduplicate(docs.select("doc_id", "text"), single=True)),
+                       (decontaminate(wide, bench), docs)):
+        assert out.columns == wide.columns
+        assert out.select(*taken).distinct().collect() == [tuple(taken)]
+        assert out.count() == plain.count()
