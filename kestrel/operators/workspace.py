@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from kestrel import schemas as S
 from kestrel.functions import columns as C
-from kestrel.sources.files import number_rows_in_file_order
+from kestrel.sources.csv_records import read_rows
 
 METADATA_SCHEMA = T.StructType([
     T.StructField("dataset_id", T.StringType(), False),
@@ -126,21 +126,11 @@ def adapt_rows(df: DataFrame, missing: list[str], dataset_type: str) -> DataFram
 
 # --- ingest / read / delete -----------------------------------------------------------
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every cell as text; UTF-8 unless the file is not valid
+def read_upload(spark: SparkSession, path: str, number: str = "row_number") -> DataFrame:
+    """Header CSV, every cell as text, with row numbers in file order; line breaks
+    inside quotes belong to their cell.  UTF-8 unless the file is not valid
     UTF-8, then Latin-1 (decided per file from its bytes, on the executors)."""
-    from kestrel.sources.files import detect_encoding_per_file
-    found = {r["file_path"]: r["encoding"] for r in detect_encoding_per_file(spark, path).collect()}  # a row per uploaded file
-    kinds = set(found.values()) or {"UTF-8"}
-    reader = spark.read.option("header", True).option("inferSchema", False)
-    if len(kinds) == 1:
-        return reader.option("encoding", kinds.pop()).csv(path)
-    # mixed: Latin-1 keeps every byte, so the cells of UTF-8 files are decoded from it
-    raw = reader.option("encoding", "ISO-8859-1").csv(path)
-    utf8 = F.col("_metadata.file_path").isin([f for f, e in found.items() if e == "UTF-8"])
-    cell = lambda c: F.col(f"`{c}`")
-    return raw.select(*[F.when(utf8, F.decode(F.encode(cell(c), "ISO-8859-1"), "UTF-8")).otherwise(cell(c)).alias(c)
-                        for c in raw.columns])
+    return read_rows(spark, path, number=number)
 
 
 def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str, dataset_name: str,
@@ -160,14 +150,13 @@ def workspace_ingest(spark: SparkSession, root: str, path: str, user_email: str,
     """
     dataset_id = dataset_id or uuid.uuid4().hex
     now = now or datetime(2001, 6, 1)
-    raw = read_upload(spark, path)
-    columns = raw.columns
+    numbered = read_upload(spark, path, "row_number")
+    columns = numbered.columns[1:]
     headers = spark.createDataFrame([(dataset_id, columns)], "dataset_id string, columns array<string>")
     if dataset_type:
         headers = headers.withColumn("dataset_type", F.lit(dataset_type))
     report = validate_schemas(headers).first()  # one row of metadata
     missing = list(report["columns_missing"])
-    numbered = number_rows_in_file_order(raw)  # file order, contiguous, no global window
     to_fill = missing if fill_defaults else []
     adapted = adapt_rows(numbered, to_fill, report["dataset_type"])
     all_cols = columns + [c for c in to_fill if c in S.UPLOAD_SCHEMAS.get(report["dataset_type"], {})]

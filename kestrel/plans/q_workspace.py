@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import columns as C
@@ -20,6 +21,7 @@ from kestrel.plans.oracle_views import r, with_views
 from kestrel.plans.q_scoring import _SCORES, _INV, _with_opt
 from kestrel.plans.registry import register
 from kestrel.session import scratch_path
+from kestrel.sources import csv_records
 from kestrel.sources import files as FS
 from kestrel.sources import sinks as SK
 
@@ -282,10 +284,51 @@ def q_scan_dataset_rows(ctx):
                     F.min(F.when(F.col("row_number") == 1, sku)).alias("first_sku"))
 
 
-@register("scan_csv_records", with_views(["skus_f"], """
+_NOTES_SQL = with_views(["skus_f"], """
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY sku) AS BIGINT) AS row_number, sku,
+  sku || ' "' || COALESCE(product_type, '') || '",' || chr(10) || '"' || chr(10) || COALESCE(supplier_name, '') AS note FROM skus_f""")
+
+
+def _notes(ctx) -> str:
+    """A CSV file of every SKU with cells that hold quotes, commas and line breaks."""
+    path = scratch_path(ctx.spark, "notes")
+    text = F.concat(F.col("sku"), F.lit(' "'), F.coalesce("product_type", F.lit("")), F.lit('",\n"\n'), F.coalesce("supplier_name", F.lit("")))
+    SK.sink_csv(ctx.skus().select("sku", text.alias("note"), F.lit("x").alias("last")).orderBy("sku"), path)
+    return path
+
+
+@register("scan_csv_records", _NOTES_SQL)
+def q_scan_csv_records(ctx):
+    """Records with line breaks inside quotes, numbered in file order, cell by cell."""
+    return csv_records.read_rows(ctx.spark, _notes(ctx)).where("last = 'x'").select("row_number", "sku", "note")
+
+
+@register("workspace_ingest_cells", _NOTES_SQL)
+def q_workspace_ingest_cells(ctx):
+    """The same file through an upload: each stored record's cells."""
+    root = scratch_path(ctx.spark, "workspace-cells")
+    W.workspace_ingest(ctx.spark, root, _notes(ctx), USER_A, "Notes", "notes.csv", dataset_id="notes-ds")
+    cell = lambda c: F.get_json_object("payload", f"$.{c}").alias(c)
+    return W.owned_records(ctx.spark, root, USER_A, "notes-ds").select("row_number", cell("sku"), cell("note"))
+
+
+@register("raw_landing_cells", _NOTES_SQL)
+def q_raw_landing_cells(ctx):
+    """The same file landed: each record's cells, numbered over its files."""
+    root, path = scratch_path(ctx.spark, "landed"), _notes(ctx)
+    FS.land_files(ctx.spark, f"{path}/*.csv", "notes", root)
+    cell = lambda c: F.get_json_object("payload", f"$.{c}").alias(c)
+    stored = ctx.spark.read.parquet(f"{root}/raw_source_records").select("file_path", F.col("row_number").alias("n"), cell("sku"), cell("note"))
+    files = ctx.spark.read.parquet(f"{root}/raw_source_files")
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = files.select("file_path", F.coalesce(F.sum("row_count").over(before), F.lit(0)).alias("before"))
+    return stored.join(offsets, "file_path").select((F.col("n") + F.col("before")).alias("row_number"), "sku", "note")
+
+
+@register("scan_dataset_rows_numbers", with_views(["skus_f"], """
 SELECT COUNT(*) AS n_rows, COUNT(DISTINCT rn) AS distinct_rows, CAST(MAX(rn) AS BIGINT) AS last_row
 FROM (SELECT ROW_NUMBER() OVER (ORDER BY sku) AS rn FROM skus_f)"""))
-def q_scan_csv_records(ctx):
+def q_scan_dataset_rows_numbers(ctx):
     root, ids = workspace(ctx)
     rows = W.owned_records(ctx.spark, root, USER_A, ids["inventory"])
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_number").alias("distinct_rows"),
@@ -390,7 +433,7 @@ def q_scan_csv_encoding_fallback(ctx):
     raw = ctx.raw_skus().withColumn("Location", F.concat(F.col("Location"), F.lit(" Sào")))
     SK.sink_csv(raw, path, encoding="ISO-8859-1")
     enc = FS.detect_encoding(ctx.spark, path)
-    back = ctx.spark.read.option("header", True).option("encoding", enc).csv(path)
+    back = csv_records.table_of(csv_records.records(ctx.spark, path, enc))
     ok = back.where(F.col("Location").endswith(" Sào"))
     return ok.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(enc).alias("encoding"), "n_rows")
 

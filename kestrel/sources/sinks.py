@@ -19,8 +19,8 @@ from kestrel.operators.latest import keep_latest
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
-    """Header CSV without an index column."""
-    df.write.mode(mode).option("header", True).option("encoding", encoding).csv(path)
+    """Header CSV without an index column; a quote inside a cell is doubled."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
 
 
 def sink_json_report(df: DataFrame, path: str) -> None:

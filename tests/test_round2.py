@@ -172,5 +172,5 @@ def test_upload_of_files_in_two_encodings(spark, tmp_path):
     from kestrel.sources.files import number_rows_in_file_order
     (tmp_path / "a.csv").write_bytes("id,name\n1,Zoë\n2,x\n".encode("utf-8"))
     (tmp_path / "b.csv").write_bytes("id,name\n3,Zoë\n".encode("latin-1"))
-    rows = number_rows_in_file_order(read_upload(spark, str(tmp_path)), "n").orderBy("n").collect()
+    rows = read_upload(spark, str(tmp_path), "n").orderBy("n").collect()
     assert [(r.n, r.id, r.name) for r in rows] == [(1, "1", "Zoë"), (2, "2", "x"), (3, "3", "Zoë")]
