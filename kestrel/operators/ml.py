@@ -1,7 +1,7 @@
 """Delay classifier, sales regressor, rule scorers, metrics and registry.
 
-Training is MLlib (distributed forests); splits are stable hash splits
-(same rows every run, no ``randomSplit`` re-evaluation hazards); metrics
+Training is MLlib (distributed forests); splits are stable hash splits of exact
+sizes (same rows every run, no ``randomSplit`` re-evaluation hazards); metrics
 are SQL aggregates over the scored rows; models persist as PipelineModel.
 """
 
@@ -11,8 +11,7 @@ from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kestrel import schemas as S
 from kestrel.functions import columns as C
+from kestrel.operators.ranks import value_ranks
 from kestrel.operators.relational import split_stratified, split_train_test
 from kestrel.session import materialize
 
@@ -29,8 +29,10 @@ FOREST_DEPTH = 15
 SEED = 42
 # min_samples_split = 10 has no MLlib twin; 5 rows per child is the closest.
 MIN_INSTANCES_PER_NODE = 5
-# Labelled rows a forest is fitted on at most, taken by a hash of the row key.
+# Labelled rows the delay classifier is fitted on at most, taken by a hash of the row key.
 TRAIN_ROWS = 4_000
+# Quantile bins of a numeric feature of the sales model.
+BINS = 32
 # Node statistics one pass may hold: the forest grows in fewer passes.
 TREE_MEMORY_MB = 1024
 
@@ -49,6 +51,24 @@ def encode_categoricals(categoricals: list[str]) -> StringIndexer:
                          stringOrderType="alphabetAsc", handleInvalid="keep")
 
 
+def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, label, code, n_rows): every column's distinct labels numbered
+    from 0 in sorted order.  All columns are stacked and reduced in one pass, and
+    numbered by distributed ranks, so no label list reaches the driver."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("label")) for c in columns])).alias("x")
+    labels = materialize(df.select(cells).select("x.*").groupBy("column_name", "label").agg(F.count(F.lit(1)).alias("n_rows")), "labels")
+    codes = value_ranks(labels, "label", ["column_name"]).select("column_name", "label", F.col("before").alias("code"))
+    return codes.join(labels, ["column_name", "label"])
+
+
+def with_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``<column>_code`` of :func:`label_codes` (null for a label not in the table)."""
+    for c in columns:
+        own = codes.where(F.col("column_name") == c).select(F.col("label").alias("_label"), F.col("code").alias(f"{c}_code"))
+        df = df.join(own, F.col(f"`{c}`") == F.col("_label"), "left").drop("_label")
+    return df
+
+
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """w = n / (k * n_class) per row (class counts: one small aggregate)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
@@ -85,25 +105,62 @@ def train_delay_classifier(df: DataFrame, num_trees: int = FOREST_TREES, max_dep
                           [*cats, *nums, "label", "weight"], train_rows)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
+                                cacheNodeIds=True,  # rows don't walk down the trees anew for each group of nodes
                                 minInstancesPerNode=MIN_INSTANCES_PER_NODE, maxBins=_max_bins(train, cats))
     pipe = Pipeline(stages=[encode_categoricals(cats),
                             VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + nums, outputCol="features"), rf])
     return pipe.fit(train), d.where(F.col("is_test"))
 
 
+def binning(df: DataFrame, numerics: list[str], bins: int = BINS) -> Bucketizer:
+    """Quantile bins of all numeric columns, from one pass of mergeable sketches.
+    A value's bin is what the forest sees, in training and in scoring alike."""
+    cuts = df.select(*[F.col(c).cast("double") for c in numerics]).approxQuantile(
+        numerics, [k / bins for k in range(1, bins)], 1 / (8 * bins))
+    edge = float("inf")
+    return Bucketizer(splitsArray=[[-edge, *sorted({c for c in own if abs(c) != edge and c == c} or {0.0}), edge] for own in cuts],
+                      inputCols=numerics, outputCols=[f"{c}_bin" for c in numerics], handleInvalid="keep")
+
+
+def binned_cells(rows: DataFrame, categoricals: list[str], numerics: list[str], bucketizer: Bucketizer,
+                 classes: bool = False) -> DataFrame:
+    """All rows reduced to distinct (categories, bins) with ``weight``, the number or
+    weight of their rows, and their mean ``label`` (with ``classes``: distinct labels).
+
+    The variance gain of a split depends on the rows through these sums
+    alone, so a forest grown on the cells sees every row.  Partial aggregation
+    shrinks the rows before the shuffle; the number of cells is bounded by the
+    categories and bins, not by the rows.
+    """
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    key = [*categoricals, *[f"{c}_bin" for c in numerics]]
+    binned = bucketizer.transform(rows).withColumn("_w", weight)
+    if classes:
+        return binned.groupBy(*key, "label").agg(F.sum("_w").alias("weight"))
+    return binned.groupBy(*key).agg(F.sum("_w").alias("weight"), (F.sum(F.col("label") * F.col("_w")) / F.sum("_w")).alias("label"))
+
+
 def train_sales_regressor(df: DataFrame, num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
-                          seed: int = SEED, key: str = "row_key", train_rows: int | None = TRAIN_ROWS) -> tuple[PipelineModel, DataFrame]:
+                          seed: int = SEED, key: str = "row_key", bins: int = BINS) -> tuple[PipelineModel, DataFrame]:
+    """Forest for the sales amount on all training rows (80 %), as weighted cells;
+    returns (model, test rows)."""
     cats, nums, target = S.DELAY_CATEGORICALS, S.DEMAND_NUMERICS, S.DEMAND_TARGET
     d = encode_input(df.where(F.col(target).isNotNull()), cats, nums) \
         .withColumn("label", F.col(target).cast("double"))
     d = split_train_test(d, F.col(key), 0.2, seed)
-    train = training_rows(d.where(~F.col("is_test")), key, [*cats, *nums, "label"], train_rows)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees, maxMemoryInMB=TREE_MEMORY_MB,
-                               maxDepth=max_depth, seed=seed, minInstancesPerNode=MIN_INSTANCES_PER_NODE,
-                               maxBins=_max_bins(train, cats))
-    pipe = Pipeline(stages=[encode_categoricals(cats),
-                            VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + nums, outputCol="features"), rf])
-    return pipe.fit(train), d.where(F.col("is_test"))
+    train = materialize(d.where(~F.col("is_test")).select(*cats, *nums, "label"), "train")
+    bucketizer = binning(train, nums, bins)
+    cells = materialize(binned_cells(train, cats, nums, bucketizer), "cells")
+    cells = cells.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    rows = cells.agg(F.sum("weight")).first()[0] or 1.0
+    rf = RandomForestRegressor(featuresCol="features", labelCol="label", weightCol="weight", numTrees=num_trees,
+                               maxMemoryInMB=TREE_MEMORY_MB, maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+                               minWeightFractionPerNode=min(0.49, MIN_INSTANCES_PER_NODE / rows),
+                               maxBins=max(_max_bins(cells, cats), bins + 1))
+    indexer = encode_categoricals(cats).fit(cells)
+    assembler = VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + [f"{c}_bin" for c in nums], outputCol="features")
+    forest = rf.fit(assembler.transform(indexer.transform(cells)))
+    return PipelineModel([indexer, bucketizer, assembler, forest]), d.where(F.col("is_test"))
 
 
 def score_delay_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -153,7 +210,7 @@ def agg_confusion_matrix(scored: DataFrame, label: str = "label", pred: str = "p
 def eval_classifier(scored: DataFrame, label: str = "label", pred: str = "predicted_label",
                     prob: str | None = None) -> DataFrame:
     """accuracy / precision / recall / F1 (positive class 1) from confusion
-    counts; ROC AUC from MLlib when a probability column is given."""
+    counts; exact ROC AUC when a probability column is given."""
     y, p = F.col(label).cast("long"), F.col(pred).cast("long")
     c = scored.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
                    F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
@@ -166,11 +223,26 @@ def eval_classifier(scored: DataFrame, label: str = "label", pred: str = "predic
         F.bround(F.coalesce(prec, F.lit(0)), 4).cast("double").alias("precision"),
         F.bround(F.coalesce(rec, F.lit(0)), 4).cast("double").alias("recall"),
         F.bround(F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0)), 4).cast("double").alias("f1_score"))
-    if prob:
-        auc = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=label, metricName="areaUnderROC") \
-            .evaluate(scored.withColumn(label, F.col(label).cast("double")))
-        out = out.withColumn("roc_auc", C.round_half_even(F.lit(auc), 4))
-    return out
+    return out.crossJoin(F.broadcast(roc_auc(scored, label, prob))) if prob else out  # one row each
+
+
+def roc_auc(scored: DataFrame, label: str, prob: str) -> DataFrame:
+    """``roc_auc``: exact area under the ROC curve from the rank sum of the positives,
+    tied probabilities sharing their average rank; null if a class is missing.
+
+    Rows are reduced to distinct probabilities with their counts before they are
+    ranked; sums are integers, so the result doesn't depend on partitioning.
+    """
+    score = vector_to_array(prob)[1] if scored.schema[prob].dataType.typeName() not in ("double", "float") else F.col(prob)
+    cells = materialize(scored.where(F.col(label).isNotNull()).groupBy(score.cast("double").alias("p")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(label).cast("long") == 1).alias("n_pos")), "auc")
+    ranks = value_ranks(cells, "p", weight="n_rows").select("p", "cnt", "before")
+    d = lambda c: F.col(c).cast("decimal(18,0)")
+    twice = (d("n_pos") * (2 * d("before") + d("cnt") + 1)).cast("decimal(38,0)")  # pos * 2 * average rank
+    sums = ranks.join(cells, "p").agg(F.sum(twice).alias("r"), F.sum("n_pos").alias("pos"), F.sum(F.col("cnt") - F.col("n_pos")).alias("neg"))
+    pos, neg = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg"))
+    over = (F.col("r") - (pos * (pos + 1)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return sums.select(C.round_half_even(F.try_divide(over, (2 * pos * neg).cast("decimal(38,0)")), 4).cast("double").alias("roc_auc"))
 
 
 def eval_class_report(scored: DataFrame, label: str = "label", pred: str = "predicted_label") -> DataFrame:

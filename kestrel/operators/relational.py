@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import columns as C
+from kestrel.session import materialize
 
 # --- filters --------------------------------------------------------------------
 
@@ -136,23 +139,72 @@ def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
             .select(key, "_r.*"))
 
 
-def hash_unit(key: Column, seed: int = 42) -> Column:
-    """Stable pseudo-random number in [0, 1) from a row key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)).cast("double") / F.lit(1_000_000.0)
+def order_hash(key: Column, seed: int = 42) -> Column:
+    """A number of 60 bits from a row key, the same in any engine: the head of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
 
 
 def sample_rows(df: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows without replacement, deterministic (hash order)."""
-    return df.withColumn("_u", F.xxhash64(key, F.lit(seed))).orderBy("_u", key).limit(n).drop("_u")
+    return df.withColumn("_u", order_hash(key, seed)).orderBy("_u", key).limit(n).drop("_u")
+
+
+def _test_rows(counts: DataFrame, test_share: float) -> DataFrame:
+    """(stratum, want): ceil(share * n) test rows in all, dealt over the strata in
+    proportion; what flooring leaves goes to the largest remainders, then the
+    smallest strata (one row per stratum)."""
+    share, every = F.lit(Decimal(str(test_share))), Window.partitionBy(F.lit(0))
+    whole = F.sum("n").over(every)
+    total = F.ceil(whole.cast("decimal(24,0)") * share).cast("decimal(18,0)")
+    out = counts.withColumns({"_all": whole, "_total": total})
+    exact = (F.col("n").cast("decimal(18,0)") * F.col("_total")).cast("decimal(38,0)")
+    out = out.withColumn("_rest", exact % F.col("_all").cast("decimal(38,0)"))
+    out = out.withColumn("_floor", ((exact - F.col("_rest")) / F.col("_all").cast("decimal(20,0)")).cast("long"))
+    out = out.withColumn("_place", F.row_number().over(every.orderBy(F.col("_rest").desc(), "stratum")))
+    left = F.col("_total").cast("long") - F.sum("_floor").over(every)
+    return out.withColumn("want", F.col("_floor") + (F.col("_place") <= left).cast("long")).select("stratum", "want")
+
+
+def split_stratified(df: DataFrame, key: Column, label: str | None, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``is_test``: in each label the rows with the smallest key hashes, as
+    many as the label's rounded share asks for, the same rows every run.
+
+    The k-th smallest hash of a label is found without a sort: counts per hash
+    range (65,536 of them) tell the range it lies in, counts within that range
+    the sub-range, and the few rows left there are numbered.  ``key`` identifies
+    rows; rows that share a key go together.
+    """
+    stratum = F.lit("all") if label is None else F.col(f"`{label}`").cast("string")
+    slim = materialize(df.select(stratum.alias("stratum"), key.alias("key"), order_hash(key, seed).alias("h")), "split")
+    slim = slim.withColumns({"r1": F.shiftright("h", 44), "r2": F.shiftright("h", 28).bitwiseAND(0xFFFF)})
+    want = _test_rows(slim.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), test_share)
+
+    def crossing(rows: DataFrame, wanted: DataFrame, ranges: str, keep: list[str]) -> DataFrame:
+        """The range of each stratum in which the wanted number is reached, and how many are wanted there."""
+        counts = rows.groupBy("stratum", *keep, ranges).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("stratum").orderBy(ranges))
+        counts = counts.withColumn("upto", upto)
+        found = counts.join(wanted.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")))
+        found = found.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
+        return found.select("stratum", *keep, ranges, (F.col("want") - F.col("upto") + F.col("n")).alias("want"))
+
+    def inside(ranges: DataFrame, names: list[str]) -> DataFrame:
+        at = ranges.select(F.col("stratum").alias("s"), *[F.col(c).alias(f"at_{c}") for c in names])
+        same = F.col("stratum").eqNullSafe(F.col("s"))
+        for c in names:
+            same &= F.col(c) == F.col(f"at_{c}")
+        return slim.join(at, same).select(*slim.columns)
+
+    first = materialize(crossing(slim, want, "r1", []), "split-range")
+    second = materialize(crossing(inside(first, ["r1"]), first.select("stratum", "want"), "r2", ["r1"]), "split-range")
+    few = inside(second, ["r1", "r2"]).withColumn("_n", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "key")))
+    last = (few.join(second.select(F.col("stratum").alias("s"), "want"), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("_n") == F.col("want")))
+            .select(F.col("stratum").alias("_s"), F.col("h").alias("_h"), F.col("key").alias("_k")))
+    h = order_hash(key, seed)
+    below = (h < F.col("_h")) | ((h == F.col("_h")) & (key <= F.col("_k")))
+    return df.join(last, stratum.eqNullSafe(F.col("_s")), "left").withColumn("is_test", F.coalesce(below, F.lit(False))).drop("_s", "_h", "_k")
 
 
 def split_train_test(df: DataFrame, key: Column, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: stable hash split, same rows every run."""
-    return df.withColumn("is_test", hash_unit(key, seed) < F.lit(test_share))
-
-
-def split_stratified(df: DataFrame, key: Column, label: str, test_share: float = 0.2,
-                     seed: int = 42) -> DataFrame:
-    """Hash split inside each label: shares per class hold in expectation."""
-    return df.withColumn("is_test", hash_unit(F.concat_ws("|", F.col(label).cast("string"), key), seed)
-                         < F.lit(test_share))
+    """Adds ``is_test``: ceil(share * n) rows, the same rows every run."""
+    return split_stratified(df, key, None, test_share, seed)

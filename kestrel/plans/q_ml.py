@@ -67,10 +67,13 @@ _CM = f"""(SELECT COUNT(*) FILTER (WHERE y = 1 AND p = 1) AS tp, COUNT(*) FILTER
 SELECT CAST(ROUND_EVEN(CAST(tp + tn AS DECIMAL(38,9)) / (tp + tn + fp + fn), 4) AS DOUBLE) AS accuracy,
   CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fp), 4) AS DOUBLE) AS precision,
   CAST(ROUND_EVEN(CAST(tp AS DECIMAL(38,9)) / (tp + fn), 4) AS DOUBLE) AS recall,
-  CAST(ROUND_EVEN(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1_score
+  CAST(ROUND_EVEN(2.0 * tp / (2 * tp + fp + fn), 4) AS DOUBLE) AS f1_score,
+  CAST(ROUND_EVEN(CAST((SELECT (SUM(pos * (2 * before + n + 1)) - SUM(pos) * (SUM(pos) + 1)) / (2.0 * SUM(pos) * SUM(n - pos))
+    FROM (SELECT n, pos, SUM(n) OVER (ORDER BY p) - n AS before FROM (SELECT {_re(_P, 4)} AS p, COUNT(*) AS n,
+      SUM(late_delivery_flag) AS pos FROM orders_f GROUP BY 1))) AS DECIMAL(38,9)), 4) AS DOUBLE) AS roc_auc
 FROM {_CM}"""))
 def q_eval_classifier(ctx):
-    return ml.eval_classifier(ml.rule_score_delay(ctx.orders()), "late_delivery_flag")
+    return ml.eval_classifier(ml.rule_score_delay(ctx.orders()), "late_delivery_flag", prob="late_probability")
 
 
 @register("eval_class_report", with_views(["orders_f"], f"""
@@ -102,15 +105,16 @@ def q_eval_regressor(ctx):
 
 
 @register("encode_categoricals", with_views(["orders_f"], "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, COUNT(DISTINCT COALESCE({c}, 'nan')) AS labels FROM orders_f"
-    for c in S.DELAY_CATEGORICALS)))
+    f"SELECT '{c}' AS column_name, COALESCE({c}, 'nan') AS label, CAST(ROW_NUMBER() OVER (ORDER BY COALESCE({c}, 'nan')) - 1 AS BIGINT) AS code, "
+    f"COUNT(*) AS n_rows FROM orders_f GROUP BY 2" for c in S.DELAY_CATEGORICALS)))
 def q_encode_categoricals(ctx):
+    """Every label of every column with its code, and how many rows the codes joined to the rows give."""
     df = ml.encode_input(ctx.orders(), S.DELAY_CATEGORICALS, S.DELAY_NUMERICS)
-    model = ml.encode_categoricals(S.DELAY_CATEGORICALS).fit(df)
-    rows = [(c, len(labels)) for c, labels in zip(S.DELAY_CATEGORICALS, model.labelsArray)]
-    labels = ctx.spark.createDataFrame(rows, "column_name string, labels long")
-    # label sets come from one distinct-values job per column inside fit()
-    return labels
+    codes = ml.label_codes(df, S.DELAY_CATEGORICALS)
+    coded = ml.with_codes(df, codes, S.DELAY_CATEGORICALS)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label"), F.col(f"{c}_code").alias("code"))
+                                for c in S.DELAY_CATEGORICALS])).alias("x")
+    return coded.select(pairs).select("x.*").groupBy("column_name", "label", "code").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("prepare_numeric", with_views(["orders_f"], """

@@ -369,24 +369,36 @@ def q_dedupe_in_batch(ctx):
     return first.join(cnt, "product_type")
 
 
-@register("sample_scatter")
+_HASH = "CAST('0x' || SUBSTR(MD5(CAST(line_key AS VARCHAR) || '|42'), 1, 15) AS BIGINT)"
+
+
+@register("sample_scatter", with_views(["orders_f"], f"""
+SELECT sales, benefit_per_order, line_key FROM orders_f ORDER BY {_HASH}, line_key LIMIT 2000"""))
 def q_sample_scatter(ctx):
     o = ctx.orders_clean().select("sales", "benefit_per_order", "Line Key")
     return R.sample_rows(o, F.col("`Line Key`"), 2000).select("sales", "benefit_per_order", F.col("Line Key").alias("line_key"))
 
 
-@register("split_train_test")
+@register("split_train_test", with_views(["orders_f"], f"""
+SELECT line_key FROM orders_f QUALIFY ROW_NUMBER() OVER (ORDER BY {_HASH}, line_key) <= CEIL(0.2 * COUNT(*) OVER ())"""))
 def q_split_train_test(ctx):
-    o = ctx.orders_clean().select("Line Key", "sales")
-    s = R.split_train_test(o, F.col("`Line Key`"))
-    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("split_stratified")
+    """The keys of the test rows."""
+    o = ctx.orders_clean().select(F.col("Line Key").alias("line_key"), "sales")
+    return R.split_train_test(o, F.col("line_key")).where("is_test").select("line_key")
+
+
+@register("split_stratified", with_views(["orders_f"], f"""
+SELECT f.late_delivery_flag, line_key
+FROM (SELECT late_delivery_flag, line_key, ROW_NUMBER() OVER (PARTITION BY late_delivery_flag ORDER BY {_HASH}, line_key) AS rn FROM orders_f) f
+JOIN (SELECT late_delivery_flag, n * t // a + CASE WHEN ROW_NUMBER() OVER (ORDER BY n * t % a DESC, CAST(late_delivery_flag AS VARCHAR)) <=
+        t - SUM(n * t // a) OVER () THEN 1 ELSE 0 END AS want
+      FROM (SELECT late_delivery_flag, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS a, CAST(CEIL(0.2 * SUM(COUNT(*)) OVER ()) AS BIGINT) AS t
+            FROM orders_f GROUP BY 1)) w ON w.late_delivery_flag = f.late_delivery_flag
+WHERE rn <= want"""))
 def q_split_stratified(ctx):
-    o = ctx.orders_clean().select("Line Key", "late_delivery_flag")
-    s = R.split_stratified(o, F.col("`Line Key`"), "late_delivery_flag")
-    return s.groupBy("late_delivery_flag", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    """The keys of the test rows: each class has its rounded share."""
+    o = ctx.orders_clean().select(F.col("Line Key").alias("line_key"), "late_delivery_flag")
+    return R.split_stratified(o, F.col("line_key"), "late_delivery_flag").where("is_test").select("late_delivery_flag", "line_key")
 
 
 @register("history_recent", """
