@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from kestrel.llm.blocks import materialize
 
 WINDOW = 13
+#: Fingerprints of the benchmark (8 bytes each) that are broadcast.
+BROADCAST_PRINTS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -111,6 +113,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         distinct = _minima(distinct.repartition("win"), n, "_m").select("win", F.col("words").alias("_words"), F.col("_m")[0].alias("_fp"))
         distinct = materialize(distinct, "bench-prints")
         prints = distinct.select("_fp").distinct()
+        if distinct.count() <= BROADCAST_PRINTS:  # else the documents' fingerprints are shuffled to them
+            prints = F.broadcast(prints)
         shared = (prepared.select("k", "h", F.explode(f"_m{n}").alias("_fp")).join(prints, "_fp", "left_semi")
                   .groupBy("k", "h").agg(F.collect_set("_fp").alias("_fps")))
         near = source.select(*key, words_of(F.col("t")).alias("w")).join(shared, ["k", "h"])
