@@ -25,6 +25,8 @@ from kestrel.llm.blocks import materialize
 WINDOW = 13
 #: Fingerprints of the benchmark (8 bytes each) that are broadcast.
 BROADCAST_PRINTS = 1_000_000
+#: Documents that share a fingerprint with the benchmark (about 100 bytes each) that are broadcast.
+BROADCAST_DOCS = 100_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -117,6 +119,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             prints = F.broadcast(prints)
         shared = (prepared.select("k", "h", F.explode(f"_m{n}").alias("_fp")).join(prints, "_fp", "left_semi")
                   .groupBy("k", "h").agg(F.collect_set("_fp").alias("_fps")))
+        shared = materialize(shared, "shared")
+        if shared.count() <= BROADCAST_DOCS:  # else all texts are shuffled to the few
+            shared = F.broadcast(shared)
         near = source.select(*key, words_of(F.col("t")).alias("w")).join(shared, ["k", "h"])
         near = _minima(_hashed(near, F.col("w")), n, "_m")
         # extend: the windows at places whose fingerprint the benchmark has, word by word

@@ -101,6 +101,7 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
 def test_decontamination(spark, docs, rows, bound, monkeypatch):
     from kestrel.llm import decontaminate as module
     monkeypatch.setattr(module, "BROADCAST_PRINTS", bound)
+    monkeypatch.setattr(module, "BROADCAST_DOCS", bound)
     from kestrel.llm.decontaminate import contamination, decontaminate
     texts = [r[1] for r in rows]
     items = [(1, texts[0][:200]), (2, texts[3]), (3, "two words"), (3, "two words"), (4, "one"), (5, None), (6, ""), (None, texts[2]),
