@@ -53,6 +53,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
@@ -65,9 +68,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    local = tempfile.mkdtemp(prefix="kestrel-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    # kept here: the setting itself can't be changed in a running session
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="kestrel-ckpt-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
