@@ -142,6 +142,18 @@ def by_bucket(block: int, bucket: np.ndarray, records: np.ndarray, kind: int | N
     return pa.RecordBatch.from_arrays(cols, names)
 
 
+def pieces(bucket: np.ndarray, rows: int):
+    """Slices of sorted ``bucket`` numbers of about ``rows`` values that don't cut a bucket."""
+    at = 0
+    while at < len(bucket):
+        stop = at + rows
+        stop = int(np.searchsorted(bucket, bucket[stop], "left")) if stop < len(bucket) else len(bucket)
+        if stop <= at:
+            stop = int(np.searchsorted(bucket, bucket[at], "right"))
+        yield slice(at, stop)
+        at = stop
+
+
 def scan(blocks: DataFrame, fn, schema: str, columns: list[str] = ("block", "ids", "ends", "texts")) -> DataFrame:
     """``fn(Block) -> iterable of RecordBatch`` over every block, map-only."""
     def run(batches):

@@ -20,7 +20,9 @@ left contexts for l, so repeats follow from the two orders.
 
 Hot anchors, whose core is in ``HOT_BLOCKS`` blocks or more, would bring an
 unbounded group to one bucket; their windows are exchanged as 64-bit keys, once
-for each block, instead (same result, other route).
+for each block, instead (same result, other route).  In a run of short period
+(rulers, padding, blanks) only the first period's windows are compared; the
+others equal those a period before.
 
 Null and empty texts have no bytes.  Every row is a document of its own, rows
 with one id too.
@@ -46,6 +48,8 @@ HOT_BLOCKS = 16
 BLOCK_BYTES = 2 << 20
 BUCKET_TEXT_BYTES = 16 << 20
 _SEGMENT = 1 << 20
+_ROWS = 1 << 14
+MAX_PERIOD = 48
 U64 = np.uint64
 
 
@@ -61,30 +65,35 @@ def _words_at_all(data: np.ndarray) -> np.ndarray:
 def _string_hash(data: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
     """Hash of the ``size`` bytes (a multiple of 8 is used, the last word overlapping) at positions."""
     total = np.zeros(len(at), np.uint64)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # a view: the 8 bytes from every position on
     offsets = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
     for lo in range(0, len(at), 1 << 16):
         part = at[lo: lo + (1 << 16)]
-        raw = data[part[:, None] + np.arange(size)]
         for k, o in enumerate(offsets):
-            word = np.ascontiguousarray(raw[:, o: o + 8]).view("<u8")[:, 0]
-            total[lo: lo + len(part)] += word * _COEF[(salt * 50 + k) % 500]
+            total[lo: lo + len(part)] += words[part + o] * _COEF[(salt * 50 + k) % 500]
     return mix(total + U64(salt))
 
 
 def _anchors(block: B.Block):
-    """(padded bytes, anchors, first and last window start of each anchor)."""
+    """(padded bytes, anchors, first and last window start of each anchor, runs).
+
+    In a run of short period the smallest hash comes back every period, so nearly
+    every byte would be an anchor.  A window that equals the one a period before
+    in its document is a repeat by itself: ``runs`` holds the bytes that such
+    pairs of windows cover, and anchors with no other window are left out; the
+    first period of the run stays and stands for them.
+    """
     data = np.concatenate([block.data, np.zeros(SIZE + 256, np.uint8)])
-    starts, ends = block.starts, block.ends
     n = len(block.data)
-    windows = np.zeros(n + 1, np.int64)  # 1 where a window starts
-    long = ends - starts >= SIZE
-    np.add.at(windows, starts[long], 1)
-    np.add.at(windows, ends[long] - SIZE + 1, -1)
-    valid = np.cumsum(windows)[:n] > 0
-    found_s, found_p = [], []
+    valid = np.zeros(n, bool)  # where a window starts
+    for a, b in zip(block.starts.tolist(), block.ends.tolist()):
+        if b - a >= SIZE:
+            valid[a: b - SIZE + 1] = True
+    found = []
     for lo in range(0, n, _SEGMENT):
         hi = min(n, lo + _SEGMENT)
-        if not valid[lo:hi].any():
+        s = np.flatnonzero(valid[lo:hi])
+        if not len(s):
             continue
         w = _words_at_all(data[lo: hi + ANCHOR_GRAMS + GRAM])
         h = mix(w[:-8] * _COEF[401] + w[8:] * _COEF[402])
@@ -93,16 +102,39 @@ def _anchors(block: B.Block):
         while step < ANCHOR_GRAMS:
             m = np.minimum(m[:-step], m[step:])
             step *= 2
-        s = np.flatnonzero(valid[lo:hi])
-        found_p.append((m[s] & U64(0xFFFFFFFF)).astype(np.int64) + lo)
-        found_s.append(s + lo)
-    if not found_s:
+        p = (m[s] & U64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        found.append(np.stack([p[first], s[first], s[np.append(first[1:], len(s)) - 1]]) + lo)
+    if not found:
         z = np.zeros(0, np.int64)
-        return data, z, z, z
-    s, p = np.concatenate(found_s), np.concatenate(found_p)
-    new = np.concatenate([[True], p[1:] != p[:-1]])
-    first = np.flatnonzero(new)
-    return data, p[first], s[first], s[np.append(first[1:], len(s)) - 1]
+        return data, z, z, z, np.zeros(0, _RUN)
+    p, start, stop = np.concatenate(found, 1)
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))  # an anchor may have windows in two segments
+    p, start, stop = p[first], start[first], stop[np.append(first[1:], len(p)) - 1]
+    keep, runs = _short_periods(block, p, start, stop)
+    return data, p[keep], start[keep], stop[keep], runs
+
+
+def _short_periods(block: B.Block, p: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Which anchors have a window that doesn't equal the one a short period before, and
+    the bytes [lo, hi) of the windows that do, and of those they equal."""
+    keep, runs = np.ones(len(p), bool), []
+    gap = np.diff(p)
+    edge = np.concatenate([[0], np.flatnonzero(gap[1:] != gap[:-1]) + 1, [len(gap)]]) if len(gap) else np.zeros(1, np.int64)
+    steady = np.flatnonzero((np.diff(edge) >= 4) & (gap[edge[:-1]] <= MAX_PERIOD)) if len(gap) else []
+    docs, ends = block.starts, block.ends
+    for k in steady:  # anchors a period apart
+        i, j, q = int(edge[k]), int(edge[k + 1]), int(gap[edge[k]])
+        doc = int(np.searchsorted(ends, start[i], "right"))
+        lo = max(int(docs[doc]) + q, int(start[i]))
+        hi = min(int(ends[doc]), int(stop[j]) + SIZE)
+        differ = np.flatnonzero(block.data[lo:hi] != block.data[lo - q: hi - q]) + lo
+        bounds = np.concatenate([[lo - 1], differ, [hi]])
+        for b in np.flatnonzero(np.diff(bounds) > SIZE).tolist():
+            a, z = int(bounds[b]) + 1, int(bounds[b + 1]) - SIZE  # windows a..z equal those a period before
+            runs.append((a - q, z + SIZE))
+            keep[i: j + 1] &= (start[i: j + 1] < a) | (stop[i: j + 1] > z)
+    return keep, np.array(runs, _RUN)
 
 
 def _core_keys(data, p, buckets):
@@ -114,6 +146,7 @@ _CORE = np.dtype([("key", "<u4"), ("many", "u1")])
 _CONTEXT = np.dtype([("p", "<u4"), ("lmin", "u1"), ("lmax", "u1"), ("bytes", "u1", LEFT + SIZE)])
 _WINDOW = np.dtype([("key", "<u8"), ("here", "u1")])
 _MASK = np.dtype([("p", "<u4"), ("mask", "u1", ANCHOR_GRAMS // 8)])
+_RUN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 
 
 def _reply_table(rows) -> pa.Table:
@@ -249,14 +282,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = ["block", "ids", "ends", "texts"]
 
     def send_cores(block):
-        data, p, _, _ = _anchors(block)
+        data, p, _, _, _ = _anchors(block)
         keys = np.unique(_core_keys(data, p, buckets))
         yield B.by_bucket(block.block, (keys >> U64(32)).astype(np.int64), keys.astype("<u4"))
 
     shared = B.gather(B.scan(packed, send_cores, B.KEYS_SCHEMA), _shared_cores, B.KEYS_SCHEMA)
 
     def send_contexts(block, replies):
-        data, p, first, last = _anchors(block)
+        data, p, first, last, runs = _anchors(block)
         keys = _core_keys(data, p, buckets)
         told = [(b, np.frombuffer(x, _CORE)) for b, x in
                 zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())]
@@ -268,15 +301,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         use = np.flatnonzero((B.contains(known, keys) | B.contains(values[seen > 1], keys)) & ~hot)
         out = []
         squeeze = zstandard.ZstdCompressor(level=1)
-        rows = np.zeros(len(use), _CONTEXT)
-        rows["p"], rows["lmin"], rows["lmax"] = p[use], p[use] - last[use], p[use] - first[use]
-        at = p[use][:, None] + np.arange(-LEFT, SIZE)
-        rows["bytes"] = data[np.maximum(at, 0)]
-        # bytes outside all of an anchor's windows say nothing; zeros pack well
+        # every anchor's surroundings, as a view
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), data]), LEFT + SIZE)
         place = np.arange(-LEFT, SIZE)
-        rows["bytes"][(place < -rows["lmax"].astype(np.int64)[:, None]) | (place >= SIZE - rows["lmin"].astype(np.int64)[:, None])] = 0
-        out += [(b, k, squeeze.compress(x)) for b, k, x in zip(*B.by_bucket(
-            block.block, (keys[use] >> U64(32)).astype(np.int64), rows).to_pydict().values())]
+        use = use[np.argsort(keys[use] >> U64(32), kind="stable")]
+        for part in B.pieces(keys[use] >> U64(32), _ROWS):
+            u = use[part]
+            rows = np.zeros(len(u), _CONTEXT)
+            rows["p"], rows["lmin"], rows["lmax"], rows["bytes"] = p[u], p[u] - last[u], p[u] - first[u], around[p[u]]
+            # bytes outside all of an anchor's windows say nothing; zeros pack well
+            rows["bytes"][(place < -rows["lmax"].astype(np.int64)[:, None]) | (place >= SIZE - rows["lmin"].astype(np.int64)[:, None])] = 0
+            out += [(b, k, squeeze.compress(x)) for b, k, x in zip(*B.by_bucket(
+                block.block, (keys[u] >> U64(32)).astype(np.int64), rows).to_pydict().values())]
+        if len(runs):  # back to this block
+            out.append((2 * buckets + block.block % buckets, block.block, runs.tobytes()))
         hot = np.flatnonzero(hot)
         if len(hot):
             # an anchor's windows are consecutive
@@ -290,6 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def find_repeats(table):
         bucket = table.column("bucket")[0].as_py()
         blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
+        if bucket >= 2 * buckets:
+            return table
         if bucket >= buckets:  # windows of hot anchors
             parts = [np.frombuffer(x, _WINDOW) for x in payloads]
             keys, seen = np.unique(np.concatenate([p["key"] for p in parts]), return_counts=True)
@@ -313,9 +353,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(block, replies):
         n = len(block.data)
-        step = np.zeros(n + 1, np.int64)
+        step = np.zeros(n + 1, np.int32)
         windows = []
         for b, x in zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()):
+            if b >= 2 * buckets:
+                rows = np.frombuffer(x, _RUN)
+                np.add.at(step, rows["lo"], 1)
+                np.add.at(step, rows["hi"], -1)
+                continue
             if b >= buckets:
                 windows.append(np.frombuffer(x, "<u8"))
                 continue

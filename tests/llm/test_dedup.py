@@ -144,6 +144,34 @@ def test_suffix_dedup_random_edits(spark, monkeypatch):
     same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.bytes_repeated(data))
 
 
+def test_suffix_dedup_runs_of_short_period(spark, monkeypatch):
+    """Runs of one byte, of periods up to 60 and of blanks, broken, at document ends, in several documents and blocks."""
+    from kestrel.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 6000)
+    rng = random.Random(12)
+    data = []
+    for i, q in enumerate([1, 1, 2, 3, 7, 16, 31, 33, 47, 48, 49, 60]):
+        unit = "".join(rng.choice("abcd") for _ in range(q))
+        for k, n in enumerate([199, 200, 200 + q - 1, 200 + q, 1500, 5000]):
+            run = (unit * (n // q + 2))[k: n + k]
+            broken = run[: n // 2] + rng.choice(["", "Q", "zz"]) + run[n // 2:]
+            data.append((100 * i + k, rng.choice(["", words(rng, 20)]) + rng.choice([run, broken]) + rng.choice(["", words(rng, 30)])))
+    data += [(2000, " " * 4000), (2001, "x" + " " * 210), (2002, "-" * 3000 + "=" * 3000), (2003, None), (2004, "")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.bytes_repeated(data))
+
+
+def test_suffix_dedup_anchors_in_a_long_run():
+    from types import SimpleNamespace
+
+    from kestrel.llm.suffix_dedup import _anchors
+    for unit in (b"a", b"ab", b" \n", b"abcdefg"):
+        raw = np.frombuffer(unit * (2_000_000 // len(unit)), np.uint8)
+        block = SimpleNamespace(data=raw, starts=np.array([0]), ends=np.array([len(raw)]))
+        _, p, _, _, runs = _anchors(block)
+        assert len(p) <= 2 and runs.tolist() == [(0, len(raw))]
+
+
 def _vectors():
     rng = np.random.default_rng(4)
     data = []
