@@ -3,12 +3,16 @@
 A document's set is its distinct word 4-shingles.  Documents with one set
 form a class; everything below works on classes, so copies are never paired.
 
-Forest: in each of ``trees`` trees, classes that agree on the tree's first 3
-minima form a region.  All classes of a region are compared by byte sketches: a
-pair is a candidate if the sketches agree in ``SKETCH_SHARE`` of all minima, far
-below what a link can show.  Regions of up to ``REGION`` classes are compared in
-one task.  A larger one is dealt over chunks of that size, by hash and anew in
-every tree; then the classes outside the region's most common candidate
+Forest: each of ``TREES`` trees puts the classes in order by its own sequence of
+minima.  Classes with a longest common prefix of ``PREFIX`` minima or more
+form a region, and neighbours in the order are compared by byte sketches, the
+nearest first, farther ones as long as they share the region's prefix and
+aren't joined yet: a pair is a candidate if the sketches agree in
+``SKETCH_SHARE`` of all minima, far below what a link can show.  Depth adapts to
+each region: one of more than ``REGION`` classes is parted by the next minimum,
+and its parts again, up to ``PREFIX + DEEPER`` minima, until they fit in a
+task; a part that never does is dealt over chunks by hash.  Then, so that depth
+costs no pair, the classes outside a parted region's most common candidate
 component so far are compared with all of the region, ``CROSS`` by ``CROSS``.
 So nothing is capped, a large group of near copies costs one pass, and a large
 region of unlike classes costs a square of sketch comparisons.
@@ -39,7 +43,7 @@ from kestrel.llm.components import Forest, components, spanning
 from kestrel.llm.hashing import LOWER, gram_hashes, groups, mix, text_bytes, word_bounds, word_hashes
 
 U64 = np.uint64
-TREES, DEPTH, PREFIX = 20, 4, 3
+TREES, DEPTH, PREFIX, DEEPER = 20, 4, 3, 5
 REGION, CROSS = 512, 4096
 SKETCH_SHARE = 0.55
 GROUP = 64
@@ -139,31 +143,40 @@ def _region_names(batches):
 
 
 def _tree_rows(batches):
+    """Every class in every tree: its region, and the minima by which the region is in order."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         minima = _matrix(batch.column(1))
         sketches = pa.array([r.tobytes() for r in np.ascontiguousarray(minima[:, 3::4])], pa.binary())
         for t in range(TREES):
-            yield pa.RecordBatch.from_arrays([pa.array(_region_keys(minima, t)), batch.column(0), sketches],
-                                             names=["region", "node", "sketch"])
+            places = (t * DEPTH + PREFIX + np.arange(DEEPER)) % (TREES * DEPTH)  # on into the next trees' minima
+            order = np.ascontiguousarray(minima.reshape(len(minima), -1, 4)[:, places])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_region_keys(minima, t)), pa.array([r.tobytes() for r in order], pa.binary()), batch.column(0), sketches],
+                names=["region", "order", "node", "sketch"])
 
 
 def _region_edges(batches):
-    """Over rows (region, chunk, node, sketch) gathered by region and chunk: edges among all of each."""
+    """Over rows (part, chunk, node, sketch) gathered by part and chunk and in the tree's
+    order: edges between neighbours of each, from the nearest to the farthest."""
     forest = Forest()
 
     def edges(key, node, sketch):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(1)
         group = np.cumsum(new)
+        root = np.array([forest.root(x) for x in node.tolist()], np.int64)
         at, step, out = np.arange(len(node)), 0, []
         while len(at):
             step += 1
             at = at[at + step < len(node)]
             at = at[group[at + step] == group[at]]
-            alike = at[(sketch[at] == sketch[at + step]).mean(1) >= SKETCH_SHARE] if len(at) else at
-            out += [(a, b) for a, b in zip(node[alike].tolist(), node[alike + step].tolist()) if forest.join(a, b)]
+            apart = at[root[at] != root[at + step]]
+            alike = apart[(sketch[apart] == sketch[apart + step]).mean(1) >= SKETCH_SHARE] if len(apart) else apart
+            if len(alike):
+                out += [(a, b) for a, b in zip(node[alike].tolist(), node[alike + step].tolist()) if forest.join(a, b)]
+                root = np.array([forest.root(x) for x in root.tolist()], np.int64)
         if len(forest.up) > 2_000_000:
             forest.up.clear()
         return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])] if out else []
@@ -219,17 +232,21 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): candidate components of classes (node, minima)."""
     names = classes.select("minima").mapInArrow(_region_names, "region long")
     large = scratch.keep(names.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > REGION), "large-regions")
-    rows = classes.select("node", "minima").mapInArrow(_tree_rows, "region long, node long, sketch binary")
-    chunk = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("size") / REGION))
-    dealt = (rows.join(large, "region", "left").select("region", F.coalesce(chunk, F.lit(0)).cast("long").alias("chunk"), "node", "sketch")
-             .repartition("region", "chunk").sortWithinPartitions("region", "chunk"))
+    rows = classes.select("node", "minima").mapInArrow(_tree_rows, "region long, order binary, node long, sketch binary")
+    some = not large.isEmpty()
+    dealt = rows.join(large, "region", "left_anti") if some else rows
+    dealt = dealt.select(F.col("region").alias("part"), F.lit(0).cast("long").alias("chunk"), "order", "node", "sketch")
+    if some:
+        crowd = scratch.keep(rows.join(large, "region"), "large-region-rows")
+        dealt = dealt.unionByName(_parted(crowd, scratch))
+    dealt = dealt.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "order").drop("order")
     edges = scratch.keep(dealt.mapInArrow(_region_edges, "a long, b long"), "candidates")
     near = components(edges, scratch)
-    if large.isEmpty():
+    if not some:
         return near
-    inside = (rows.join(large, "region").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = (crowd.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
               .select("region", "size", "node", "root", "sketch"))
-    inside = scratch.keep(inside, "large-region-rows")
+    inside = scratch.keep(inside, "large-region-roots")
     most = (inside.groupBy("region", "root").count().groupBy("region")
             .agg(F.max(F.struct("count", "root")).getField("root").alias("main"), F.sum("count").alias("all"),
                  F.max("count").alias("inner")).where(F.col("all") > F.col("inner"))
@@ -248,6 +265,23 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return components(edges.unionByName(scratch.keep(cross, "cross-candidates")), scratch)
 
 
+def _parted(crowd: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of large regions by part: the shortest prefix that at most ``REGION`` classes
+    share, or the longest one, dealt over chunks, where more do."""
+    levels = range(1, DEEPER + 1)
+    keys = [F.xxhash64("region", F.substring("order", 1, 4 * d)) for d in levels]
+    sizes = (crowd.select(F.posexplode(F.array(*keys)).alias("level", "key")).groupBy("level", "key")
+             .agg(F.count("*").alias("n")).where(F.col("n") > REGION))
+    sizes = scratch.keep(sizes, "large-parts")
+    rows = crowd.select("region", "order", "node", "sketch", *[k.alias(f"k{d}") for d, k in zip(levels, keys)])
+    part = F.col(f"k{DEEPER}")
+    for d in reversed(levels):
+        rows = rows.join(sizes.where(F.col("level") == d - 1).select(F.col("key").alias(f"k{d}"), F.col("n").alias(f"n{d}")), f"k{d}", "left")
+        part = F.when(F.col(f"n{d}").isNull(), F.col(f"k{d}")).otherwise(part)
+    chunk = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col(f"n{DEEPER}") / REGION))
+    return rows.select(part.alias("part"), F.coalesce(chunk, F.lit(0)).cast("long").alias("chunk"), "order", "node", "sketch")
+
+
 def _linked(nodes, sides, texts, shingle: int, percent: int):
     """Links (as a spanning forest) among the texts of one task, on full sets.
 
@@ -305,7 +339,7 @@ def _verify(tasks: DataFrame, shingle: int, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _hubs(large: DataFrame) -> DataFrame:
+def _hubs(large: DataFrame, scratch: Scratch) -> DataFrame:
     """A few central classes of each large component: those whose sketches agree
     most with the most common values of some of its classes."""
     some = (large.withColumn("_n", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node"))))
@@ -316,7 +350,7 @@ def _hubs(large: DataFrame) -> DataFrame:
         typical = bytes(int(np.bincount(m[:, j]).argmax()) for j in range(m.shape[1]))
         return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "typical": [typical]})
 
-    typical = some.groupBy("comp").applyInPandas(common, "comp long, typical binary")
+    typical = scratch.keep(some.groupBy("comp").applyInPandas(common, "comp long, typical binary"), "typical")
 
     @F.pandas_udf("int")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -345,7 +379,9 @@ def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch)
 
     near = _candidates(classes, scratch)
     near = near.select("node", F.col("root").alias("comp"))
-    sized = near.join(near.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    # sizes, like the other small tables below, are written first: a join then knows how small they are
+    # and needs no exchange by component, where one large component would fill one task
+    sized = near.join(scratch.keep(near.groupBy("comp").agg(F.count("*").alias("size")), "sizes"), "comp")
     texts = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     found = (sized.join(classes.select("node", "k", "h", "minima"), "node").join(texts, ["k", "h"])
              .select("comp", "size", "node", "minima", "text").dropDuplicates(["node"]))
@@ -360,7 +396,7 @@ def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch)
         edges = scratch.keep(_verify(plain, shingle, percent), "links")
     else:
         sketch = F.udf(lambda m: _sketch(m).tobytes(), "binary")
-        hubs = scratch.keep(_hubs(large.select("comp", "node", sketch("minima").alias("sketch"))), "hubs")
+        hubs = scratch.keep(_hubs(large.select("comp", "node", sketch("minima").alias("sketch")), scratch), "hubs")
         spread = (large.join(hubs.select("node"), "node", "left_semi")
                   .select("node", "text", "comp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP) - 1)).alias("c"))
                   .select(name("comp", "c").alias("task"), "node", F.lit(0).alias("side"), "text"))
@@ -371,9 +407,10 @@ def _near_duplicates(docs, shingle, percent, id_col, text_col, scratch: Scratch)
                   .withColumn("root", F.coalesce("root", "node")))
         most = (inside.groupBy("comp", "root").count().groupBy("comp")
                 .agg(F.max(F.struct("count", "root")).getField("root").alias("main")))
+        most = scratch.keep(most, "main-parts")
         rest = inside.join(most, "comp").where("root <> main")
         n = F.ceil(F.col("rest_size") / GROUP)
-        counts = rest.groupBy("comp").agg(F.count("*").alias("rest_size"))
+        counts = scratch.keep(rest.groupBy("comp").agg(F.count("*").alias("rest_size")), "rest-sizes")
         rest = rest.join(counts, "comp").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), n))
         every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP) - 1)).alias("j")
         left = (rest.select("comp", "i", "node", "text", every)

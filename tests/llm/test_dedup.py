@@ -63,6 +63,24 @@ def test_near_dedup_large_loose_group(spark, monkeypatch, group):
     same(out.select("doc_id", "n_shingles", "component_id", "kept").collect(), brute.near(data))
 
 
+def test_near_dedup_deepened_regions(spark, monkeypatch):
+    """Regions of more than 8 classes are parted by further minima, the deepest parts dealt over chunks."""
+    from kestrel.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    monkeypatch.setattr(near_dedup, "CROSS", 16)
+    rng = random.Random(17)
+    data = []
+    for g, edits in enumerate([0, 1, 4, 9]):
+        base = words(rng, 150).split()
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = rng.choice(["same", f"edit{i}"])
+            data.append((1000 * g + i, " ".join(w)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    same(out.select("doc_id", "n_shingles", "component_id", "kept").collect(), brute.near(data))
+
+
 @pytest.mark.parametrize("cross", [100, 4096])
 def test_near_dedup_pairs_far_apart_in_a_large_region(spark, monkeypatch, cross):
     """Pairs that only share a region of 3,000 unlike classes become candidates, at any distance in its order."""
