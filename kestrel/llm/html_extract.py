@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -52,27 +53,32 @@ SAME_CLOSES = frozenset("li dt dd td th tr option p".split())
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of the text in links) of the leaf blocks in page order."""
     out, stack, text, linked, total = [], [], [], 0, 0
-    path: tuple[str, ...] = ()
+    opened = Counter()  # names on the stack
 
     def flush():
         nonlocal linked, total
         if text:
             joined = " ".join("".join(text).split())
             if joined:
+                path = tuple(w for s in stack if s[0] not in INLINE for w in s[1])
                 out.append((path, joined, linked / max(1, total)))
             text.clear()
             linked = total = 0
 
+    def close(k):
+        opened.subtract(s[0] for s in stack[k:])
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         name = m[3]
         if name is None:
             raw = m[0]
             if raw[0] != "<" or raw == "<":
                 raw = html.unescape(raw) if "&" in raw else raw
-                if not path or path[-1] != "_head":
+                if not opened["head"] and not opened["title"]:
                     text.append(raw)
                     total += len(raw)
-                    if any(s[0] == "a" for s in stack):
+                    if opened["a"]:
                         linked += len(raw)
             continue
         name = name.lower()
@@ -83,9 +89,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if not inline:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if inline and stack[k][0] not in INLINE:
                     break  # a stray end tag of an inline element ends nothing outside its block
@@ -93,7 +99,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             if name in SAME_CLOSES or not inline:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name and name in SAME_CLOSES or stack[k][0] == "p" and not inline:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] not in INLINE and stack[k][0] != "p":
                         break
@@ -101,12 +107,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             for a in _NAMED.finditer(m[4]):
                 marks += ["." + w for w in _PART.findall((a[2] or a[3] or a[4] or "").lower())]
             stack.append((name, marks))
-        else:
-            continue
-        if not inline:
-            path = tuple(w for s in stack if s[0] not in INLINE for w in s[1])
-            if any(s[0] in ("head", "title") for s in stack):
-                path += ("_head",)
+            opened[name] += 1
     flush()
     return out
 

@@ -217,6 +217,15 @@ def test_blocks_of_markup():
     assert blocks("") == [] and blocks("plain") == [((), "plain", 0.0)]
 
 
+def test_html_deep_nesting_takes_linear_time():
+    import time
+
+    from kestrel.llm.html_extract import blocks
+    start = time.time()
+    found = blocks("<div class='a'>" * 40_000 + "x" + "</div>" * 40_000)
+    assert [t for _, t, _ in found] == ["x"] and len(found[0][0]) == 80_000 and time.time() - start < 20
+
+
 def test_html_labels_hold_out():
     from kestrel.llm.html_extract import trained, training_pages
     xs, ys = training_pages(150, 4242)  # other pages than those trained on
