@@ -7,9 +7,11 @@ bidirectional LSTM in numpy reads the whole sequence, so every block is judged
 in the context of its document, and labels it as article text or not.
 
 The labeller is trained here, on ``TRAIN_PAGES`` generated pages (a documented
-bound) of many layouts: articles in semantic and in plain containers, among
-menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments.  Training is deterministic and takes seconds.
+bound) of many layouts: articles in semantic, plain and table containers or in
+none, short pages, titles and leads before the container, lists, tables, bylines
+and threads, among menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments.  Bylines, captions and the posts of a thread count as text.
+Training is deterministic and takes about half a minute once an application.
 
 Scripts, styles, comments of the markup and the head never give blocks.
 Character references are decoded, white space in a block becomes one space,
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 1500
+TRAIN_PAGES = 3000
 EPOCHS = 12
 HIDDEN = 20
-PATH_DIM, WORD_DIM, SHAPE_DIM = 192, 96, 8
+PATH_DIM, WORD_DIM, SHAPE_DIM = 256, 96, 8
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 _TOKEN = re.compile(
@@ -258,6 +260,10 @@ _PHRASES = {
     "footer": "copyright all rights reserved terms of use privacy imprint contact sitemap impressum powered by",
     "share": "share tweet facebook twitter linkedin print email whatsapp pin it",
 }
+# fixed values: frequent words of some languages
+_FREQUENT = ("the of and to in a is that for it as was with be on by at from are this have not or which one you were all their has will more "
+             "its new can we after his they said who de la le et les des en un une du que est pour qui dans sur pas el los las por con para una "
+             "del se al der die und das ist den von zu mit auf für nicht ein eine im dem")
 _CLASSES = {
     "menu": "nav menu navbar navigation topnav breadcrumb breadcrumbs tabs main-menu links",
     "header": "header masthead top topbar site-header logo branding page-header",
@@ -280,7 +286,15 @@ class _Writer:
     def __init__(self, rng):
         self.r = rng
         parts = "the an er on re ti en es le ou de la que ich sch un ge ver os ar ción mo ta li su ké ße ü ne ra ko".split()
-        self.lexicon = ["".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(1500)]
+        invented = ["".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(1500)]
+        numbers = [str(n) for n in rng.integers(1, 2030, 60)]
+        furniture = sorted({x for own in _PHRASES.values() for x in own.split()})
+        pools = ((_FREQUENT.split(), 0.42), (invented, 0.46), (furniture, 0.08), (numbers, 0.04))
+        self.pool = np.array([x for words, _ in pools for x in words], object)
+        weights = np.concatenate([share * (v := 1 / (3 + np.arange(len(words)))) / v.sum() for words, share in pools])
+        self.upto = np.cumsum(weights / weights.sum())
+        self.names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(800)]
+        self.style = None
 
     def pick(self, *options):
         return options[self.r.integers(len(options))]
@@ -289,8 +303,12 @@ class _Writer:
         return self.r.random() < p
 
     def words(self, n):
-        out = [self.lexicon[int(i)] for i in self.r.zipf(1.3, n) % len(self.lexicon)]
-        return " ".join(w + (self.pick(".", ",", "", "", "", "") if k < n - 1 else ".") for k, w in enumerate(out)).capitalize()
+        """Prose of all kinds of words: none of them is a sign of furniture by itself."""
+        at = np.minimum(np.searchsorted(self.upto, self.r.random(n)), len(self.pool) - 1)
+        ends = self.r.random(n)
+        out = [x + ("." if e < 0.1 else "," if e < 0.18 else "") for x, e in zip(self.pool[at], ends)]
+        out[-1] = out[-1].rstrip(".,")
+        return (" ".join(out) + ("." if n > 3 or self.chance(0.5) else "")).capitalize()
 
     def phrase(self, kind, n):
         if self.chance(0.5):
@@ -301,7 +319,7 @@ class _Writer:
     def named(self, kind):
         own = _CLASSES[kind].split()
         names = " ".join(self.pick(*own) for _ in range(self.r.integers(1, 3)))
-        extra = self.pick("", " clearfix", " col-8", " row", " block")
+        extra = self.pick("", "", "", " " + self.pick(*self.names))
         return f' {self.pick("class", "class", "class", "id")}="{names}{extra}"'
 
     def box(self, kind, tag, inner):
@@ -324,7 +342,7 @@ class _Writer:
     def furniture(self, kind):
         tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind)
         if kind == "header":
-            inner = self.pick("", "<h1>", "<div>") + self.phrase("menu", self.r.integers(1, 5))
+            inner = self.pick("", "", "<div>", "<div>", "<h1>") + self.phrase("menu", self.r.integers(1, 5))
             inner += self.furniture("menu") if self.chance(0.5) else ""
         elif kind == "menu":
             inner = self.lines("menu", 2, 9, 2)
@@ -347,65 +365,131 @@ class _Writer:
         return self.box(kind, tag, inner)
 
     def prose(self, least, most):
-        n = int(np.clip(self.r.lognormal(3, 1.4), least, most))
-        text = self.words(n)
+        text = self.words(int(np.clip(self.r.lognormal(3, 1.4), least, most)))
         if self.style is not None:
             text = self.styled(text)
-        if self.chance(0.15):
-            cut = text.split(" ")
-            k = int(self.r.integers(len(cut)))
-            cut[k] = self.pick(f"<b>{cut[k]}</b>", f'<a href="/y">{cut[k]}</a>', f"<em>{cut[k]}</em>", f"{cut[k]}<br>", f"<span>{cut[k]}</span>")
-            text = " ".join(cut)
-        return _CONTENT + text
+        cut = text.split(" ")
+        marked = self.r.binomial(len(cut), 0.15) if self.linked else int(self.chance(0.15))
+        for k in self.r.integers(0, len(cut), marked):
+            cut[k] = self.pick(f"<b>{cut[k]}</b>", f'<a href="/y">{cut[k]}</a>', f"<em>{cut[k]}</em>", f"{cut[k]}<br>", f"<span>{cut[k]}</span>",
+                               f'<a href="/z">{cut[k]}</a>')
+        return _CONTENT + " ".join(cut)
 
     def styled(self, text):
-        """Odd prose: marks after words, separators, capitals, numbers."""
-        if self.style == "marks":
-            return " ".join(w + self.pick("***", "###", "&amp;&amp;&amp;", "%%%", "$$$", "!!") for w in text.split())
-        if self.style == "bars":
-            return " | ".join(text.split())
+        """Odd prose: symbols after words, separators, capitals, numbers and addresses."""
+        if self.style == "symbols":
+            return " ".join(w + html.escape(self.pick(*"!#$%&*+=~^?") * int(self.r.integers(1, 4))) for w in text.split())
+        if self.style == "separators":
+            return f" {self.pick(*'|/-;:')} ".join(text.split())
         if self.style == "capitals":
             return text.upper()
         return " ".join(self.pick(w, w, w, str(self.r.integers(10**6)), "a@b.example", "http://c.example/d") for w in text.split())
 
+    def plain_name(self):
+        """Attributes that say nothing about the kind of an element."""
+        if self.chance(0.6):
+            return ""
+        return f' {self.pick("class", "id")}="{self.pick(*self.names)}{self.pick("", "", "-" + self.pick(*self.names))}"'
+
+    def title(self):
+        h = f"<h1{self.plain_name()}>{self.prose(1, 14)}</h1>" if self.chance(0.88) else f"<h2>{self.prose(1, 14)}</h2>"
+        return f"<header>{h}</header>" if self.chance(0.12) else h
+
+    def byline(self):
+        t = self.pick("p", "div", "span", "address", "time")
+        return f'<{t} class="{self.pick("byline", "author", "meta", "date", "dateline", "info")}">{_CONTENT}{self.pick("By ", "Von ", "", "")}{self.words(self.r.integers(2, 6))}</{t}>'
+
+    def passage(self, most=160):
+        """One element of an article."""
+        roll = self.r.random()
+        if roll < 0.68:
+            return self.pick("<p>", "<p>", "<p>", "<p><b>", f"<p{self.plain_name()}>") + self.prose(1, most) + self.pick("</p>", "</p>", "<br>")
+        if roll < 0.75:
+            k = self.r.integers(2, 5)
+            return f"<h{k}{self.plain_name()}>{self.prose(1, 9)}</h{k}>"
+        if roll < 0.82:
+            t = self.pick("ul", "ul", "ol")
+            return f"<{t}{self.plain_name()}>" + "".join(f"<li>{self.prose(1, 20)}</li>" for _ in range(self.r.integers(2, 7))) + f"</{t}>"
+        if roll < 0.85:
+            return f"<blockquote>{self.pick('<p>', '')}{self.prose(5, 50)}</blockquote>"
+        if roll < 0.91:
+            return f"<div{self.plain_name()}>{self.prose(3, 90)}</div>"
+        if roll < 0.95:
+            cell = self.pick("td", "td", "th")
+            return f"<table{self.plain_name()}>" + "".join(
+                f"<tr><{cell}>{self.prose(1, 6)}</{cell}><td>{self.prose(1, 6)}</td></tr>" for _ in range(self.r.integers(2, 5))) + "</table>"
+        if roll < 0.97:
+            return f"<figure><img src=i><figcaption>{self.prose(2, 15)}</figcaption></figure>"
+        if roll < 0.985:
+            return "<dl>" + "".join(f"<dt>{self.prose(1, 4)}</dt><dd>{self.prose(2, 25)}</dd>" for _ in range(self.r.integers(1, 4))) + "</dl>"
+        return f"<pre>{self.prose(2, 40)}</pre>"
+
+    def wrapped(self, inner, own=0.35, told=0.35):
+        """An article in its element, in one with a telling name, with another name, or in none."""
+        roll = self.r.random()
+        if roll < own:
+            return f"<article{self.plain_name()}>{inner}</article>"
+        if roll < own + told:
+            return f"<{(t := self.pick('div', 'section', 'main'))}{self.named('article')}>{inner}</{t}>"
+        if roll < own + told + 0.13:
+            t = self.pick("div", "div", "section")
+            return f"<{t}{self.plain_name()}>{inner}</{t}>"
+        return inner
+
     def article(self):
-        self.style = self.pick("marks", "bars", "capitals", "numbers") if self.chance(0.3) else None
+        self.style = self.pick("symbols", "separators", "capitals", "numbers") if self.chance(0.25) else None
+        self.linked = self.chance(0.2)
+        opening = [self.title()] if self.chance(0.85) else []
+        if self.chance(0.2):
+            opening.append(self.byline())
         out = []
-        if self.chance(0.85):
-            h = f"<h1>{self.prose(1, 14)}</h1>"
-            out.append(f"<header>{h}</header>" if self.chance(0.12) else h)
-        for _ in range(int(self.r.integers(1, 25))):
-            roll = self.r.random()
-            if roll < 0.74:
-                out.append(self.pick("<p>", "<p>", "<p>", "<p><b>", "<p class=\"par\">") + self.prose(1, 160) + self.pick("</p>", "</p>", "<br>"))
-            elif roll < 0.8:
-                out.append(f"<h2>{self.prose(1, 9)}</h2>")
-            elif roll < 0.85:
-                out.append("<ul>" + "".join(f"<li>{self.prose(1, 20)}</li>" for _ in range(self.r.integers(2, 6))) + "</ul>")
-            elif roll < 0.88:
-                out.append(f"<blockquote>{self.prose(5, 50)}</blockquote>")
-            elif roll < 0.91:
-                out.append(f"<div>{self.prose(3, 90)}</div>")
-            elif roll < 0.93:
-                out.append("<table>" + "".join(f"<tr><td>{self.prose(1, 6)}</td><td>{self.prose(1, 6)}</td></tr>" for _ in range(2)) + "</table>")
-            else:
-                out.append(self.furniture(self.pick("ad", "share", "ad", "side", "notice", "form")))
+        for _ in range(int(self.r.integers(1, 25)) if self.chance(0.75) else int(self.r.integers(1, 4))):
+            out.append(self.passage() if self.chance(0.93) else self.furniture(self.pick("ad", "share", "ad", "side", "notice", "form")))
         if self.chance(0.08):  # the same paragraph again and again
             k = int(self.r.integers(len(out)))
             out[k:k + 1] = [out[k]] * int(self.r.integers(2, 90))
-        inner = "".join(out)
-        roll = self.r.random()
-        if roll < 0.45:
-            inner = f"<article>{inner}</article>"
-        elif roll < 0.85:
-            inner = f"<{(t := self.pick('div', 'section', 'main'))}{self.named('article')}>{inner}</{t}>"
-        return f"<main>{inner}</main>" if self.chance(0.25) else self.pick(inner, inner, f'<div class="wrap container">{inner}</div>')
+        if self.chance(0.2):  # the title, and perhaps a lead, stand before the container
+            inner = "".join(opening) + (f"<p{self.plain_name()}>{self.prose(5, 60)}</p>" if self.chance(0.5) else "") + self.wrapped("".join(out))
+        else:
+            inner = self.wrapped("".join(opening + out))
+        if self.chance(0.1):  # parts in elements of their own
+            t = self.pick("section", "section", "div")
+            inner = "".join(f"<{t}{self.plain_name()}>{x}</{t}>" for x in opening + out)
+        return f"<main>{inner}</main>" if self.chance(0.2) else self.pick(inner, inner, f'<div class="wrap container">{inner}</div>')
+
+    def thread(self):
+        """Posts of a discussion that is itself the page's matter."""
+        self.style, self.linked = None, False
+        mark = self.pick("post", "message", "topic", "thread", "postbody", "answer", "question", "entry")
+        t = self.pick("div", "div", "article", "li", "section")
+        posts = []
+        for _ in range(int(self.r.integers(1, 9))):
+            who = f'<div class="{self.pick("author", "username", "poster", "meta")}">{_CONTENT}{self.words(self.r.integers(1, 4))}</div>' if self.chance(0.5) else ""
+            posts.append(f'<{t} class="{mark}">{who}' + "".join(f"<p>{self.prose(2, 80)}</p>" for _ in range(self.r.integers(1, 4))) + f"</{t}>")
+        inner = "".join(posts)
+        return self.title() + (f'<div class="{self.pick("thread", "topic", "posts", "messages")}">{inner}</div>' if self.chance(0.5) else inner)
+
+    def bare(self):
+        """A short page without any container."""
+        self.style, self.linked = None, self.chance(0.1)
+        return (self.title() if self.chance(0.8) else "") + "".join(
+            self.pick(f"<p>{self.prose(2, 40)}</p>", f"<p>{self.prose(2, 40)}</p>", self.prose(2, 40) + "<br><br>", f"<div>{self.prose(2, 40)}</div>", self.passage(40))
+            for _ in range(self.r.integers(1, 6)))
 
     def page(self):
         before = [k for k, p in (("header", 0.5), ("menu", 0.7), ("notice", 0.25), ("ad", 0.45), ("form", 0.15), ("side", 0.2)) if self.chance(p)]
         after = [k for k, p in (("share", 0.25), ("side", 0.35), ("comment", 0.4), ("ad", 0.25), ("form", 0.25), ("menu", 0.15),
                                 ("notice", 0.15), ("footer", 0.8)) if self.chance(p)]
-        body = "".join(map(self.furniture, before)) + self.article() + "".join(map(self.furniture, after))
+        form = self.r.random()
+        matter = self.bare() if form < 0.1 else self.thread() if form < 0.18 else self.article()
+        if form < 0.06 or 0.18 < form < 0.22:  # hardly anything around it
+            before, after = before[:1] if self.chance(0.3) else [], after[-1:] if self.chance(0.4) else []
+        first, last = ("".join(map(self.furniture, kinds)) for kinds in (before, after))
+        if 0.22 < form < 0.28:  # laid out by a table
+            cut = int(self.r.integers(0, 2))
+            body = f"<table><tr><td>{first if cut else ''}</td><td>{'' if cut else first}{matter}</td></tr><tr><td>{last}</td></tr></table>"
+        else:
+            body = first + matter + last
         return f"<html><head><title>x</title></head><body>{body}</body></html>"
 
 
@@ -427,6 +511,7 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
     net, rng = Labeller(), np.random.default_rng(3)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
+    mean = {k: np.zeros_like(v) for k, v in net.p.items()}  # of the last half of the steps
     step, batch = 0, 32
     order = np.argsort([len(x) for x in xs], kind="stable")
     starts = np.arange(0, len(xs), batch)
@@ -446,6 +531,12 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.999 * s[k] + 0.001 * g * g
                 net.p[k] = net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+            if epoch >= epochs // 2:
+                for k, v in net.p.items():
+                    mean[k] += v
+    seen = (epochs - epochs // 2) * len(starts)
+    if seen:
+        net.p = {k: v / np.float32(seen) for k, v in mean.items()}
     return net
 
 

@@ -330,3 +330,19 @@ def _cut(rows, window=13):
                 gone.update(range(i, i + window))
         out.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t))
     return out
+
+
+def test_html_labelled_pages_of_other_layouts():
+    """Characters of hand-labelled pages: none of their layouts comes from the generator."""
+    from kestrel.llm.html_extract import blocks, main_text, trained
+    from tests.llm.labelled_pages import PAGES
+    assert len(PAGES) >= 50
+    both = extra = missed = 0
+    for page in PAGES:
+        marked = [(t.replace("¶", ""), "¶" in t) for _, t, _ in blocks(page)]
+        found = main_text([page.replace("¶", "")], trained())[0].split("\n\n")
+        for text, wanted in marked:
+            kept = text in found
+            both, extra, missed = both + len(text) * (kept and wanted), extra + len(text) * (kept and not wanted), missed + len(text) * (wanted and not kept)
+    assert both / (both + extra) >= 0.95
+    assert both / (both + missed) >= 0.88
