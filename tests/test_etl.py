@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from kestrel import schemas as S
 from kestrel.operators import etl
 
@@ -49,3 +51,19 @@ def test_duplicates_null_safe(spark):
     from kestrel.operators.relational import agg_duplicate_rows
     df = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "a"), (None, "a")], "a int, b string")
     assert agg_duplicate_rows(df).first()[0] == 2
+
+
+def test_typed_numbers_skip_text(spark):
+    """Numbers of a numeric column are the same doubles, without text and pattern in between."""
+    values = [1.5, -0.0, 1e300, 4.9e-324, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v, None if v is None else str(v), 7 + i) for i, v in enumerate(values)], "d double, t string, n long")
+    typed, text = etl.coerce_numeric(df, ["d", "t", "n", "absent"]), etl.coerce_numeric(df.withColumn("d", F.col("d").cast("string")), ["d"])
+    assert [repr(r["d"]) for r in typed.collect()] == [repr(r["d"]) for r in text.collect()] == [repr(r["t"]) for r in typed.collect()]
+    assert typed.collect()[0]["n"] == 7.0 and typed.schema["n"].dataType.typeName() == "double"
+    assert "RLIKE" not in etl.coerce_numeric(df, ["d", "n"])._jdf.queryExecution().optimizedPlan().toString()
+    zips = spark.createDataFrame([(0.5,), (1.5,), (-2.5,), (725.0,), (None,)], "z double")
+    assert [r["z"] for r in etl.zipcodes_to_text(zips, ["z"]).collect()] == ["0", "2", "-2", "725", None]
+
+
+def test_wide_projection_is_cut(spark, ctx):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
