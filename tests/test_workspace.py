@@ -75,3 +75,22 @@ def test_approx_median_close(spark):
     exact = RK.median(df, "v").first()["median"]
     approx = RK.approx_median(df, "v").first()["median"]
     assert exact == 5000.0 and abs(approx - exact) <= 2
+
+
+def test_payload_parses_a_cell_once(spark):
+    """Typed fragments of odd cells, a cell's number pattern applied once in the plan."""
+    cells = ["1.5", "1.", ".5", "1.5e400", "-2.50", "7", " 8 ", "99999999999999999999", "nan", "inf", "a.b", "", '["x"]', 'q"\\[', "1.5d", None]
+    want = ["1.5", "1.0", "0.5", '"1.5e400"', "-2.5", "7", "8", '"99999999999999999999"', '"nan"', '"inf"', '"a.b"', '""',
+            '"[\\"x\\"]"', '"q\\"\\\\["', '"1.5d"', "null"]
+    df = spark.createDataFrame([(i, c, "1") for i, c in enumerate(cells)], "row_number long, `a.b` string, _float string")
+    out = W.with_payload(df, ["a.b", "_float"], ["row_number"])
+    assert [r["payload"] for r in out.orderBy("row_number").collect()] == [f'{{"a.b":{w},"_float":1}}' for w in want]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("inf(inity)?") == 2  # one for each column
+
+
+def test_uploads_are_not_hashed(spark, tmp_path):
+    from kestrel.sources import csv_records
+    (tmp_path / "a.csv").write_text('x,y\n1,"2\n3"\n')
+    assert [r["digest"] for r in csv_records.splits(spark, str(tmp_path), digest=False).collect()] == [None]
+    assert [r["y"] for r in csv_records.read_rows(spark, str(tmp_path)).collect()] == ["2\n3"]
+    assert len(csv_records.digests(csv_records.splits(spark, str(tmp_path))).first()["file_hash"]) == 64
