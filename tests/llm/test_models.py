@@ -346,3 +346,21 @@ def test_html_labelled_pages_of_other_layouts():
             both, extra, missed = both + len(text) * (kept and wanted), extra + len(text) * (kept and not wanted), missed + len(text) * (wanted and not kept)
     assert both / (both + extra) >= 0.95
     assert both / (both + missed) >= 0.88
+
+
+def test_language_features_of_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from kestrel.llm import langid
+    texts = ["", "İß ab " * 40_000, "x", "", "aé\n" * 90_000] + ["long Text " * 20_000] * 8 + ["1 2"]
+    langid._letters()
+    tracemalloc.start()
+    counts, some = langid._features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # about 170 MB when all texts were hashed at once
+    alone = [langid._grams([t]) for t in texts]
+    assert np.array_equal(counts, np.concatenate([c for c, _ in alone]))
+    assert some.tolist() == [bool(s[0]) for _, s in alone] == [False, True, True, False, True] + [True] * 8 + [False]
