@@ -141,3 +141,19 @@ def test_the_state_machine():
     for line, outside, inside in ((b"a,b", False, True), (b'"a', True, False), (b'a,"b', True, False), (b'12" x', False, False),
                                   (b'"a""b', True, False), (b'""', False, True), (b'x"",y', False, True), (b'a,"b",c', False, False), (b'"a"b"c', False, False)):
         assert (R.ends_inside(line, False), R.ends_inside(line, True)) == (outside, inside), line
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_records_are_written_only_where_one_crosses_a_border(spark, tmp_path, tiny_splits, monkeypatch, size):
+    tiny_splits(size)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(size))  # small files aren't cut finer
+    text = '\n"k ""1""","v\n2"\n' + "".join(f'{k},"a{k}\nb,é"\n' for k in range(40))
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    (tmp_path / "b.csv").write_bytes("k,v\n40,é\n".encode("latin-1"))
+    names, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    rows = R.rows_of(spark, str(tmp_path))
+    assert rows.columns == ["_file", "_row", 'k "1"', "v\n2"]
+    got = [tuple(r)[1:] for r in rows.orderBy("_file", "_row").collect()]
+    assert got == [(k + 1, str(k), f"a{k}\nb,é") for k in range(40)] + [(1, "40", "é")]
+    assert ("csv-records" in names) == (size == 40)
