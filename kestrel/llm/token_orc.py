@@ -32,8 +32,9 @@ from kestrel.session import scratch_path
 CACHE_WORDS = 500_000
 #: Files whose offsets (16 bytes each) are broadcast when reading back.
 BROADCAST_FILES = 100_000
-_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
-_ALNUM = b"abcdefghijklmnopqrstuvwxyz0123456789"
+# Lower-case words in normal form, without an apostrophe, and how the vocabulary's pattern cuts them.
+_PLAIN = re.compile("[!-&(-@\\[-`{-~a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 STORED = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
@@ -42,11 +43,11 @@ class _Words:
 
     Sound for vocabularies that lower-case and whose splitting drops white
     space: then no token reaches across it, and a text's ids are those of its
-    words in turn.  A word of lower-case Latin letters needs no normalizing and
-    is one piece, so the library's merge model alone is asked; a full stop or
-    comma after a letter or digit is a piece of its own; every other word goes
-    through the whole tokenizer, and so does a text that may hold the string of
-    a special token.
+    words in turn.  A word of lower-case Latin letters, digits and ASCII signs
+    needs no normalizing; its runs of letters, its digits and its runs of signs
+    are the pieces, each learnt once by the library's merge model alone.  A word
+    with an apostrophe or any other character goes through the whole tokenizer,
+    and so does a text that may hold the string of a special token.
     """
 
     def __init__(self, path: str):
@@ -63,24 +64,20 @@ class _Words:
         self.pack = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.cache = _Cache(self)
 
-    def _direct(self, word: bytes) -> bytes | None:
-        """Ids of a word that is a single piece in normal form, else None."""
+    def learn(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters only
-            text = word.decode()
-        elif _LETTERS(word.decode()):
-            text = word.decode("latin-1").translate(self.chars)
-        else:
-            return None
+            return self.piece(word.decode())
+        text = word.decode()
+        if not _PLAIN(text):
+            return self.whole(word)
+        pieces = _PIECES(text)
+        if len(pieces) > 1:
+            return b"".join([self.cache[p.encode()] for p in pieces])
+        return self.piece(word.decode("latin-1").translate(self.chars))
+
+    def piece(self, chars: str) -> bytes:
         pack = self.pack
-        return b"".join([pack[t.id] for t in self.model.tokenize(text)])
-
-    def learn(self, word: bytes) -> bytes:
-        ids = self._direct(word)
-        if ids is None and word[-1] in b".," and len(word) > 1 and word[-2] in _ALNUM:
-            core = self._direct(word[:-1])
-            if core is not None:
-                ids = core + self.cache[word[-1:]]
-        return self.whole(word) if ids is None else ids
+        return b"".join([pack[t.id] for t in self.model.tokenize(chars)])
 
     def whole(self, text: bytes) -> bytes:
         return b"".join([self.pack[i] for i in self.tokenizer.encode(text.decode(), add_special_tokens=False).ids])
