@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of what is left: their number, digest, and the decoded text's digest."""
-    out = encode_decode(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    out = encode_decode(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -22,10 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_WORDS = 250_000
+# Bytes of text encoded at a time (a longer text alone).
+PART_BYTES = 1 << 21
 #: Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -217,27 +220,47 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+def parts(batch: pa.RecordBatch):
+    """Consecutive slices of a batch: 512 rows, less where its first column (text) has more than
+    ``PART_BYTES`` there, but one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size, dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(max(int(np.searchsorted(ends, before + PART_BYTES, "right")), at + 1), at + 512)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The documents with ``token_ids`` (binary: little-endian unsigned 32-bit),
     ``n_tokens`` and ``decoded`` (the text the ids decode to) added; columns of
     those names in the input are replaced.  ``vocabulary``: a path that every
-    executor can read."""
-    keep = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
-    source = docs.select(F.col(f"`{text_col}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"))
-    inner = source.schema["r"].dataType.simpleString()
+    executor can read.  ``keep``: the input columns to return, all by default.
+
+    A text crosses to Python once, and back only if it is kept."""
+    added = ("token_ids", "n_tokens", "decoded")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    others = [c for c in keep if c != text_col]
+    source = docs.select(F.col(f"`{text_col}`").alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("r")] if others else []))
+    carried = ["r"] * bool(others) + ["t"] * (text_col in keep)
+    schema = ", ".join([*[f"{c} {source.schema[c].dataType.simpleString()}" for c in carried],
+                        "token_ids binary", "n_tokens long", "decoded string"])
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         bpe = load(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = ["" if t is None else t for t in part.column(0).to_pylist()]
-                ids = bpe.encode(texts)
+            for part in parts(batch):
+                ids = bpe.encode(["" if t is None else t for t in part.column(0).to_pylist()])
                 decoded = [bpe.decode(np.frombuffer(i, "<u4")) for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                     pa.array(decoded, pa.string())], names=["r", "token_ids", "n_tokens", "decoded"])
+                    [*[part.column(c) for c in carried], pa.array(ids, pa.binary()),
+                     pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(decoded, pa.string())],
+                    names=[*carried, "token_ids", "n_tokens", "decoded"])
         bpe.forget()
+        pa.default_memory_pool().release_unused()
 
-    out = source.mapInArrow(run, f"r {inner}, token_ids binary, n_tokens long, decoded string")
-    return out.select("r.*", "token_ids", "n_tokens", "decoded")
+    out = source.mapInArrow(run, schema)
+    columns = [F.col("t").alias(c) if c == text_col else F.col(f"r.`{c}`").alias(c) for c in keep]
+    return out.select(*columns, *added)

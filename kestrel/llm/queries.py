@@ -75,7 +75,7 @@ def vocabulary(name: str) -> str:
 @query("op3_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.bpe import encode_decode
-    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
