@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 CACHE_WORDS = 250_000
 # Bytes of text encoded at a time (a longer text alone).
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 #: Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
